@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media
+from tessera.llm import fingerprint, langid, media, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_langid": langid.op3_langid,
         "op7_media": media.op7_media,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_fingerprint": fingerprint.op9_fingerprint,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.OP8_SQL}
