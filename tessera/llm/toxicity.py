@@ -1,6 +1,7 @@
 """Toxicity: a logistic classifier regularised by counterfactual identity swaps.
 
-Features are the distinct hashed words of a text. Training takes a bounded
+Features are the distinct hashed words of a text and their first PREFIXES
+letters, so that forms of one stem count together. Training takes a bounded
 sample of labelled rows (``MAX_ROWS``, those of the smallest hash of the id), keeps
 the ``FEATURES`` hash buckets whose presence differs most between the classes (chi
 square), and fits on the driver. For each sampled text with identity terms, every
@@ -11,6 +12,7 @@ of a group has no weight of its own.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 BITS = 20
-MAX_ROWS, FEATURES = 20_000, 4096
+PREFIXES = (4, 5, 6, 7)
+MAX_ROWS, FEATURES = 20_000, 512
+#: Sampled rows in which a feature must be.
+MIN_ROWS = 5
 #: Weights of the squared score change and of the squared weights; steps of the optimiser.
-SWAP_PENALTY, RIDGE, STEPS = 1.0, 1e-3, 300
+SWAP_PENALTY, RIDGE, STEPS = 1.0, 3e-4, 300
 SWAPS = 2
 #: Terms that may stand for each other, by kind and language.
 IDENTITY_TERMS = (
@@ -41,20 +46,22 @@ _KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
 _TOKEN = re.compile(r"\w+")
 
 
-def _bucket(token: str) -> int:
-    return xxhash.xxh32_intdigest(token) >> (32 - BITS)
+def _buckets(word: str) -> tuple[int, ...]:
+    """Hash buckets of a word and of its longer prefixes."""
+    parts = [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
+    return tuple(xxhash.xxh32_intdigest(p) >> (32 - BITS) for p in parts)
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def encode(text: str) -> np.ndarray:
-    """Sorted distinct hash buckets of a text's words."""
-    return np.unique(np.fromiter(map(_bucket, set(tokens(text))), np.int32))
+def encode(words: set[str]) -> list[int]:
+    """Sorted distinct hash buckets of some words."""
+    return sorted({f for w in words for f in _buckets(w)})
 
 
-def swapped(text: str) -> list[np.ndarray]:
+def swapped(text: str) -> list[list[int]]:
     """Up to SWAPS counterfactual encodings: every identity term replaced by the next, or the one after, of its kind; none without such a term."""
     found = set(tokens(text))
     terms = found & _KIND.keys()
@@ -65,7 +72,7 @@ def swapped(text: str) -> list[np.ndarray]:
             kind = _KIND[t]
             words = words | {kind[(kind.index(t) + shift) % len(kind)]}
         if words != found:
-            out.append(np.unique(np.fromiter(map(_bucket, words), np.int32)))
+            out.append(encode(words))
     return out
 
 
@@ -126,14 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = common.strings(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([encode(t) for t in body], pa.list_(pa.int32())), pa.array([[s.tolist() for s in swapped(t)] for t in body], pa.list_(pa.list_(pa.int32())))], names=["i", "y", "x", "swaps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([encode(set(tokens(t))) for t in body], pa.list_(pa.int32())), pa.array([swapped(t) for t in body], pa.list_(pa.list_(pa.int32())))], names=["i", "y", "x", "swaps"])
 
     kind = docs.schema[id].dataType.simpleString()
     coded = common.cut(rows.select("i", "t", "y").mapInArrow(run, f"i {kind}, y int, x array<int>, swaps array<array<int>>"))
     n, positive = coded.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = coded.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     gain = (F.col("p") * n - F.col("n") * positive) ** 2 / (F.col("n") * F.lit(float(max(1, n))) * 1.0)
-    columns = np.sort(np.array([r.f for r in seen.where("n > 1").orderBy(gain.desc(), "f").limit(FEATURES).collect()], np.int64))
+    columns = np.sort(np.array([r.f for r in seen.where(f"n >= {MIN_ROWS}").orderBy(gain.desc(), "f").limit(FEATURES).collect()], np.int64))
     used = F.array(*[F.lit(int(x)) for x in columns]) if len(columns) else F.array().cast("array<int>")
     # At most max_rows rows of at most FEATURES numbers each come to the driver.
     found = coded.select("i", "y", F.array_intersect("x", used).alias("x"), F.transform("swaps", lambda s: F.array_intersect(s, used)).alias("swaps")).collect()
@@ -142,9 +149,24 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return optimise([r.x for r in found], np.array([r.y for r in found], float), pairs, columns, swap_penalty)
 
 
-def score_text(model: Model, text: str) -> float:
-    logit = float(model.weights[encode(text)].sum()) + model.bias
-    return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
+class Scorer:
+    """Scores of texts; remembers which used features a word has (mostly none)."""
+
+    def __init__(self, model: Model, room: int = 500_000) -> None:
+        self.used = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
+        self.bias, self.room, self.known = model.bias, room, {}
+
+    def __call__(self, text: str) -> float:
+        if len(self.known) > self.room:
+            self.known.clear()
+        found: set[int] = set()
+        for w in set(tokens(text)):
+            features = self.known.get(w)
+            if features is None:
+                features = self.known[w] = tuple(f for f in _buckets(w) if f in self.used)
+            found.update(features)
+        logit = math.fsum(self.used[f] for f in found) + self.bias
+        return 1 / (1 + math.exp(-min(60.0, max(-60.0, logit))))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -153,9 +175,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in batches:
-            m = shared.value
-            scores = [score_text(m, t) for t in common.strings(batch.column(batch.num_columns - 1))]
+            scores = [scorer(t) for t in common.strings(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
