@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, langid, media, mixing, simhash, substring, surrogates, toxicity
+from tessera.llm import fingerprint, langid, media, mixing, pieces, simhash, substring, surrogates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring": substring.op5_substring,
         "op10_toxicity": toxicity.op10_toxicity,
         "op2_surrogates": surrogates.op2_surrogates,
+        "op6_pieces": pieces.op6_pieces,
         "op7_media": media.op7_media,
         "op8_mixing": mixing.op8_mixing,
         "op9_fingerprint": fingerprint.op9_fingerprint,
