@@ -24,6 +24,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ MARK = "▁"
 BETWEEN = 0x110000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of a batch of words, and words remembered by a task.
-CHUNK, REMEMBERED = 1 << 19, 400_000
+CHUNK, REMEMBERED = 1 << 21, 400_000
 
 
 class Vocabulary:
@@ -66,7 +67,8 @@ class Vocabulary:
         self.lengths = np.array([len(p) for p in self.usable], np.int64)
         for row, p in zip(self.codes, self.usable):
             row[: len(p)] = [ord(c) for c in p]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE of a sequence of symbols: the pair of the least rank merges first, the leftmost of equals."""
@@ -97,12 +99,12 @@ class Vocabulary:
         """What an id spells; characters outside the vocabulary stand as ids beyond it until they become bytes."""
         return self.pieces[i] if i < self.size else chr(i - self.size)
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE splits the two pieces' characters into just these pieces."""
-        known = self.pairs.get((a, b))
+    def compatible(self, pair: int) -> bool:
+        """Whether BPE splits the characters of two pieces, packed as first * 2^21 + second, into just these pieces."""
+        known = self.pairs.get(pair)
         if known is None:
-            x, y = self.string(a), self.string(b)
-            known = self.pairs[a, b] = self.merge(list(x + y)) == [x, y]
+            x, y = self.string(pair >> 21), self.string(pair & 0x1FFFFF)
+            known = self.pairs[pair] = self.merge(list(x + y)) == [x, y]
         return known
 
 
@@ -175,35 +177,56 @@ def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return end[by], start[by], piece[by]
 
 
+def _relax(end: np.ndarray, start: np.ndarray, piece: np.ndarray, first: np.ndarray, total: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The last piece of the encoding up to each place, and where it starts; -1 at the starts of words.
+
+    All words go on by one character at a time together: the edges that end at
+    the n-th character of a word need only what was found for fewer characters.
+    """
+    last, origin = np.full(total + 1, -1, np.int64), np.full(total + 1, -1, np.int64)
+    step = end - first[np.searchsorted(first, start, "right") - 1]
+    by = np.argsort(step, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, np.diff(step[by]) != 0, True])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        e, s, p = end[by[a:b]], start[by[a:b]], piece[by[a:b]]
+        before = last[s]
+        ok = before < 0
+        later = np.flatnonzero(~ok)
+        if len(later) > 64:
+            pairs, which = np.unique(before[later] << 21 | p[later], return_inverse=True)
+            ok[later] = np.fromiter(map(vocab.compatible, pairs.tolist()), bool, len(pairs))[which]
+        elif len(later):
+            ok[later] = [vocab.compatible(x) for x in (before[later] << 21 | p[later]).tolist()]
+        last[e[ok]], origin[e[ok]] = p[ok], s[ok]
+    return last, origin
+
+
 def encode_words(words: list[str], vocab: Vocabulary) -> list[tuple[int, ...]]:
     """Ids of each of some non-empty words."""
     if not words:
         return []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(lengths + 1) - lengths - 1
     end, start, piece = edges(words, vocab)
-    total = sum(len(w) + 1 for w in words)
-    # The last piece of the encoding up to each place, and where it starts; -1 at the start of a word.
-    last, origin = [-1] * (total + 1), [-1] * (total + 1)
-    compatible, known = vocab.compatible, vocab.pairs
-    for e, s, p in zip(end.tolist(), start.tolist(), piece.tolist()):
-        if last[e] < 0:
-            before = last[s]
-            if before < 0 or (known[before, p] if (before, p) in known else compatible(before, p)):
-                last[e], origin[e] = p, s
-    if len(known) > REMEMBERED * 4:
-        known.clear()
-    out, at, size = [], 0, vocab.size
-    for w in words:
-        ids: list[int] = []
-        e = at + len(w)
-        while e > at:
-            p = last[e]
-            if p < size:
-                ids.append(p)
-            else:
-                ids += [vocab.bytes[b] for b in reversed(chr(p - size).encode("utf-8", "surrogatepass"))]
-            e = origin[e]
-        out.append(tuple(ids[::-1]))
-        at += len(w) + 1
+    total = int(lengths.sum()) + len(words)
+    last, origin = _relax(end, start, piece, first, total, vocab)
+    # Walk back from all words' ends at once; what is met are the ends of the pieces.
+    met, at, stop = np.zeros(total + 1, bool), first + lengths, first
+    while len(at):
+        met[at] = True
+        at = origin[at]
+        open_ = at > stop
+        at, stop = at[open_], stop[open_]
+    ends = np.flatnonzero(met)
+    bounds = np.searchsorted(ends, np.r_[first + 1, total + 1])
+    flat = last[ends]
+    outside = np.add.reduceat(flat >= vocab.size, bounds[:-1]) > 0
+    ids, bounds = flat.tolist(), bounds.tolist()
+    out = [tuple(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+    for k in np.flatnonzero(outside).tolist():
+        out[k] = tuple(x for i in out[k] for x in ([i] if i < vocab.size else [vocab.bytes[b] for b in chr(i - vocab.size).encode("utf-8", "surrogatepass")]))
+    if len(vocab.pairs) > REMEMBERED * 4:
+        vocab.pairs.clear()
     return out
 
 
@@ -218,28 +241,30 @@ class Encoder:
     def __init__(self, path: str = MODEL_PATH) -> None:
         self.vocab, self.known = vocabulary(path), {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for a, b in common.slices([len(t) for t in texts], CHUNK):
             split = [words_of(t) for t in texts[a:b]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-            self.known.update(zip(new, encode_words(new, self.vocab)))
             known = self.known
-            out += [[i for w in words for i in known[w]] for words in split]
+            new = list({w for words in split for w in words if w not in known})
+            known.update(zip(new, encode_words(new, self.vocab)))
+            out += [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in split]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: bytes joined to characters (broken ones replaced), marks as spaces, without the mark before the text."""
-        vocab, byte_of = self.vocab, self.vocab.byte_of
-        if byte_of.keys().isdisjoint(ids) and vocab.control.isdisjoint(ids):
-            text = "".join([vocab.pieces[i] for i in ids]).replace(MARK, " ")
-        else:
-            text = b"".join(bytes([byte_of[i]]) if i in byte_of else vocab.pieces[i].replace(MARK, " ").encode() for i in ids if i not in vocab.control).decode("utf-8", "replace")
+        text = b"".join(map(self.vocab.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(1)
+def encoder(path: str = MODEL_PATH) -> Encoder:
+    """One encoder a Python worker, so that what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
 def encode(df: DataFrame, text: str = "text", path: str = MODEL_PATH) -> DataFrame:
     """All columns and ``ids``, ``n_tokens`` and ``decoded`` (the text read back from the ids). Null and empty texts have no id and decode to the empty text.
 
@@ -249,15 +274,15 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL_PATH) -> DataFra
     kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             body = common.strings(batch.column(len(kept)))
             for a, b in common.slices([len(t) for t in body], CHUNK):
-                ids = encoder.encode(body[a:b])
+                ids = own.encode(body[a:b])
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, offsets[-1].as_py()))
+                flat = pa.array(np.concatenate(ids))
                 columns = [c.slice(a, b - a) for c in batch.columns[: len(kept)]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat), pa.array([len(x) for x in ids], pa.int64()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=[*kept, "ids", "n_tokens", "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat), pa.array([len(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())], names=[*kept, "ids", "n_tokens", "decoded"])
 
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
     return df.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(run, head + "ids array<int>, n_tokens bigint, decoded string")
