@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, langid, media, mixing, pieces, simhash, substring, surrogates, toxicity
+from tessera.llm import fingerprint, langid, media, mixing, pieces, simhash, substring, surrogates, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
         "op3_langid": langid.op3_langid,
         "op4_simhash": simhash.op4_simhash,
         "op5_substring": substring.op5_substring,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
