@@ -69,6 +69,17 @@ class Prefix:
             np.cumsum(_modulo(values * powers[k][0][: self.n], p), out=sums[1:])
             self.sums.append(_modulo(sums, p))
 
+    def spliced(self, keep: int, tail: np.ndarray) -> Prefix:
+        """The prefix arrays of the first ``keep`` code points followed by ``tail``; only the tail is hashed."""
+        out = object.__new__(Prefix)
+        out.n, out.sums = keep + len(tail), []
+        powers = _powers.upto(out.n + 1)
+        values = tail.astype(np.uint64) + np.uint64(1)
+        for k, p in enumerate(PRIMES):
+            more = np.cumsum(_modulo(values * powers[k][0][keep : out.n], p)) + self.sums[k][keep]
+            out.sums.append(np.concatenate([self.sums[k][: keep + 1], _modulo(more, p)]))
+        return out
+
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 62-bit hash of each span [start, end); equal spans have equal hashes wherever they stand."""
         out = np.zeros(len(starts), np.uint64)
@@ -96,13 +107,17 @@ def common_extension(x: Prefix, a: int, y: Prefix, b: int) -> int:
     return low
 
 
-def fingerprint(prefix: Prefix) -> np.ndarray:
-    """The sorted smallest distinct 32-bit span hashes; a text shorter than a span is one span, an empty one has none."""
+def span_values(prefix: Prefix, begin: int = 0) -> np.ndarray:
+    """Mixed 32-bit hashes of the spans from place ``begin`` on; a text shorter than a span is one span, an empty one has none."""
     if not prefix.n:
         return np.zeros(0, np.uint32)
     width = min(SPAN, prefix.n)
-    starts = np.arange(prefix.n - width + 1)
-    values = (common.mix(prefix.spans(starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
+    starts = np.arange(begin, prefix.n - width + 1)
+    return (common.mix(prefix.spans(starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The sorted smallest distinct values."""
     least = 4 * SKETCH
     while len(values) > least:  # repeated spans may crowd the smallest values
         found = np.unique(np.partition(values, least)[:least])
@@ -124,14 +139,30 @@ def as_hex(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
 
-def compared(text: str, following: str) -> tuple:
+class Hashed:
+    """A text with its prefix arrays, span values and fingerprint."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.prefix = text, Prefix(codes(text))
+        self.values = span_values(self.prefix)
+        self.sketch = sketch(self.values)
+
+    def edited(self, following: str) -> tuple[str, Prefix, np.ndarray]:
+        """The edited text, its prefix arrays and its fingerprint; spans before the edit are taken over."""
+        n = len(self.text)
+        cut = n // 3
+        keep, tail = n - cut, following[:cut]
+        prefix = self.prefix.spliced(keep, codes(tail))
+        shared = max(0, keep - SPAN + 1) if prefix.n >= SPAN else 0
+        values = np.concatenate([self.values[:shared], span_values(prefix, shared)])
+        return self.text[:keep] + tail, prefix, sketch(values)
+
+
+def compared(own: Hashed, following: Hashed) -> tuple:
     """What op9 says of one text and the next document's."""
-    n = len(text)
-    cut = n // 3
-    edited = text[: n - cut] + following[:cut]
-    own, other = Prefix(codes(text)), Prefix(codes(edited))
-    a, b, c = fingerprint(own), fingerprint(other), fingerprint(Prefix(codes(following)))
-    return (n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_hex(a), as_hex(b), likeness(a, b), likeness(a, c), common_extension(own, 0, other, 0))
+    edited, prefix, b = own.edited(following.text)
+    a, c = own.sketch, following.sketch
+    return (len(own.text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_hex(a), as_hex(b), likeness(a, b), likeness(a, c), common_extension(own.prefix, 0, prefix, 0))
 
 
 FIELDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix bigint"
@@ -163,20 +194,22 @@ def neighbours(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches:
             rows, id_type = [], batch.column(0).type
             for key, body in zip(batch.column(0).to_pylist(), common.strings(batch.column(1))):
+                here = Hashed(body)
                 if before is None:
                     rows.append((key, *[None] * 7, 0, body))  # the first of this task
                 else:
-                    rows.append((before[0], *compared(before[1], body), None, None))
-                before = (key, body)
+                    rows.append((before[0], *compared(before[1], here), None, None))
+                before = (key, here)
             if rows:
                 yield batch_of(rows)
         if before is not None:
-            yield batch_of([(before[0], *[None] * 7, 1, before[1])])
+            yield batch_of([(before[0], *[None] * 7, 1, before[1].text)])
 
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     order = [F.col("id").desc_nulls_last(), F.col("body")]
-    ranged = rows.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(common.shuffle_partitions(spark), order[0])  # equal ids meet; no text is sampled
+    ranged = ranged.sortWithinPartitions(*order)
     parts = common.cut(ranged.mapInArrow(run, whole).withColumn("task", F.spark_partition_id()))
     done = parts.where(F.col("edge").isNull())
     # Two rows a task: heads (0) and tails (1). Only their task numbers are put in order; a tail looks for the next task's head.
@@ -186,7 +219,7 @@ def neighbours(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [compared(a, b) for a, b in zip(common.strings(batch.column(1)), common.strings(batch.column(2)))]
+            found = [compared(Hashed(a), Hashed(b)) for a, b in zip(common.strings(batch.column(1)), common.strings(batch.column(2)))]
             columns = list(zip(*found)) if found else [[] for _ in TYPES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, TYPES))], names=["id", *(f.split()[0] for f in FIELDS.split(", "))])
 
