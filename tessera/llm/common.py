@@ -22,8 +22,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the session names, of ``parts`` files at most.
 
     A folder of this process's own is used only where ``spark.checkpoint.dir``
     is unset, as in tests on one machine.
@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 
+#: Links a checkpoint file holds at least, if there are more than six files.
+ROWS_A_FILE = 100_000
+
+
 def _both(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
@@ -26,16 +30,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     e = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e, before = common.cut(e.distinct()), None
+    # Few links need few files; the rounds only ever have fewer.
+    parts = min(common.shuffle_partitions(links.sparkSession), 6 + e.count() // ROWS_A_FILE)
     for _ in range(max_rounds):
         # Large star: each node's larger neighbours are linked to the smallest node around it.
         both = _both(e)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = common.cut(large.where(F.col("a") != F.col("b")).distinct())
+        large = common.cut(large.where(F.col("a") != F.col("b")).distinct(), parts)
         # Small star: each node and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
-        e = common.cut(small.where(F.col("a") != F.col("b")).distinct())
+        e = common.cut(small.where(F.col("a") != F.col("b")).distinct(), parts)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
