@@ -134,31 +134,60 @@ def window_hashes(words: np.ndarray, windows: np.ndarray, width: int = WIDTH) ->
     return common.mix((sums[windows + width] - sums[windows]) * inverse[windows])
 
 
+def _narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Numbers in two bytes each if they fit, else in four."""
+    size = 2 if not len(values) or values.max() < 1 << 16 else 4
+    return size, values.astype(f"<u{size}").tobytes()
+
+
 def _pack(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
+    """One task's anchors of one bucket: 5 bytes of each name, 6 of each window's hash."""
     used, doc = np.unique(doc, return_inverse=True)
+    (d, docs), (s, starts) = _narrow(doc), _narrow(start)
     return b"".join([
-        struct.pack("<III", len(used), len(doc), len(hashes)), ids[used].tobytes(), keys[used].tobytes(), doc.astype(np.uint32).tobytes(), start.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(),
+        struct.pack("<IIIBB", len(used), len(doc), len(hashes), d, s), ids[used].tobytes(), keys[used].tobytes(), docs, starts, count.astype(np.uint8).tobytes(),
         np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
     ])
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    n_docs, n, n_hashes = struct.unpack_from("<III", data)
-    at, out = 12, []
-    for kind, size, count in (("<i8", 8, n_docs), ("<u4", 4, n_docs), ("<u4", 4, n), ("<u4", 4, n), ("<u4", 4, n), (5, 5, n), (6, 6, n_hashes)):
+    """ids, keys, doc, start, count, name, hashes."""
+    n_docs, n, n_hashes, d, s = struct.unpack_from("<IIIBB", data)
+    at, out = 14, []
+    for kind, size, count in (("<i8", 8, n_docs), ("<u4", 4, n_docs), (f"<u{d}", d, n), (f"<u{s}", s, n), ("u1", 1, n), ("", 5, n), ("", 6, n_hashes)):
         raw = np.frombuffer(data, np.uint8, size * count, at)
         at += size * count
-        if isinstance(kind, int):
+        if kind:
+            out.append(np.frombuffer(raw.tobytes(), kind).astype(np.int64 if size < 8 else kind))
+        else:
             wide = np.zeros((count, 8), np.uint8)
-            wide[:, :kind] = raw.reshape(count, kind)
+            wide[:, :size] = raw.reshape(count, size)
             out.append(wide.view("<u8").reshape(-1))
-        else:
-            out.append(raw.view(kind))
     return out
 
 
-def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, width: int) -> Iterator[tuple[int, bytes | None, int, int, bytes | None]]:
-    """Rows (bucket, packed anchors, None...) and (bucket, None, id, key, starts of windows that this task knows to be repeated)."""
+def _pack_starts(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of the document, its part of some repeated windows); ``doc`` indexes ids and keys."""
+    bucket = ids[doc] % buckets
+    order = np.lexsort((start, doc, bucket))
+    doc, start, bucket = doc[order], start[order], bucket[order]
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else []
+    for x, y in zip(edges, np.r_[edges[1:], len(bucket)]) if len(bucket) else ():
+        used, count = np.unique(doc[x:y], return_counts=True)
+        yield int(bucket[x]), b"".join([struct.pack("<II", len(used), y - x), ids[used].astype(np.int64).tobytes(), keys[used].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), start[x:y].astype(np.uint32).tobytes()])
+
+
+def _unpack_starts(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    n, total = struct.unpack_from("<II", data)
+    ids, keys, count = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n), np.frombuffer(data, "<u4", n, 8 + 12 * n)
+    at = 8 + 16 * n
+    for i, k, c in zip(ids.tolist(), keys.tolist(), count.tolist()):
+        yield i, k, data[at : at + 4 * c]
+        at += 4 * c
+
+
+def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, width: int) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+    """Rows (bucket, packed anchors, None) and (bucket, None, packed starts of windows that this task knows to be repeated)."""
     order = np.lexsort((keys, ids))
     ids, keys = ids[order], keys[order]
     hashes, counts = word_hashes([texts[i] for i in order])
@@ -185,8 +214,8 @@ def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
     repeat[a] = ~itself
     drop = np.zeros(len(own), bool)
     drop[a] = a != b
-    for d in np.unique(doc[repeat]):
-        yield int(ids[d] % buckets), None, int(ids[d]), int(keys[d]), start[repeat & (doc == d)].astype(np.uint32).tobytes()
+    for b, packed in _pack_starts(ids, keys, doc[repeat], start[repeat], buckets):
+        yield b, None, packed
     name, place = anchors(words, windows, width)
     left = np.flatnonzero(~drop)
     windows, doc, start, own, name, place = windows[left], doc[left], start[left], own[left], name[left], place[left]
@@ -201,11 +230,11 @@ def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
         rows = by_bucket[x:y]
         h, n = heads[rows], size[rows]
         inside = np.repeat(h, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield int(bucket[rows[0]]), _pack(ids, keys, doc[h], name[h], start[h], n, own[inside]), 0, 0, None
+        yield int(bucket[rows[0]]), _pack(ids, keys, doc[h], name[h], start[h], n, own[inside]), None
 
 
-def _repeats(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(id, key, starts) of the windows of one bucket that come earlier elsewhere."""
+def _repeats(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, doc, start) of the windows of one bucket that come earlier elsewhere; doc indexes ids and keys."""
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
@@ -215,8 +244,6 @@ def _repeats(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, int, np.ndarr
     same = ranked[1:] == ranked[:-1]
     shared = np.zeros(len(name), bool)
     shared[order] = np.r_[same, False] | np.r_[False, same]
-    if not shared.any():
-        return
     own = own[np.repeat(shared, count)]
     name, doc, start, count = name[shared], doc[shared], start[shared], count[shared]
     start = np.repeat(start, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -229,15 +256,10 @@ def _repeats(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, int, np.ndarr
     found = rank[doc]
     order = np.lexsort((start, found, own, name))
     name, own, found, start, doc = name[order], own[order], found[order], start[order], doc[order]
-    head = np.r_[True, (name[1:] != name[:-1]) | (own[1:] != own[:-1])]
+    head = np.r_[True, (name[1:] != name[:-1]) | (own[1:] != own[:-1])][: len(name)]
     chain = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
     gone = (found != found[chain]) | (start != start[chain])
-    found, start, doc = found[gone], start[gone], doc[gone]
-    order = np.argsort(found, kind="stable")
-    found, start, doc = found[order], start[order], doc[order]
-    edges = np.flatnonzero(np.r_[True, np.diff(found) != 0]) if len(found) else []
-    for x, y in zip(edges, np.r_[edges[1:], len(found)]) if len(found) else ():
-        yield int(ids[doc[x]]), int(keys[doc[x]]), start[x:y]
+    return ids, keys, doc[gone], start[gone]
 
 
 def kept_words(text: bytes, starts: np.ndarray, width: int = WIDTH) -> tuple[int, list[bytes]]:
@@ -258,30 +280,51 @@ def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", widt
     rows = keyed(df, id, text)
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(common.shuffle_partitions(spark), chars // BUCKET_CHARS + 1)
-    out_schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
+    n = int(buckets)
+    schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("starts", pa.binary())])
+    sql = "bucket int, anchors binary, starts binary"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             body = common.texts(batch.column(2))
             for a, b in common.slices([len(t) for t in body], CHUNK):
-                found = list(_parse(ids[a:b], keys[a:b].astype(np.uint32), body[a:b], buckets, width))
+                found = list(_parse(ids[a:b], keys[a:b].astype(np.uint32), body[a:b], n, width))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), out_schema)], schema=out_schema)
+                    yield batch_of(found)
 
-    def settle(table: pa.Table) -> pa.Table:
-        ids, keys, starts, parts = [], [], [], []
-        for packed, i, k, s in zip(*(table.column(c).to_pylist() for c in ("packed", "id", "key", "starts"))):
-            if packed is not None:
-                parts.append(_unpack(packed))
-            else:
-                ids.append(i), keys.append(k), starts.append(s)
-        for i, k, s in _repeats(parts) if parts else ():
-            ids.append(i), keys.append(k), starts.append(s.astype(np.uint32).tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.binary())], names=["id", "key", "starts"])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            known = []
+            for bucket, packed, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                if packed is None:
+                    known.append((bucket, None, starts))
+                else:
+                    parts.setdefault(bucket, []).append(_unpack(packed))
+            if known:
+                yield batch_of(known)
+        for bucket in list(parts):
+            found = [(b, None, s) for b, s in _pack_starts(*_repeats(parts.pop(bucket)), n)]
+            if found:
+                yield batch_of(found)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for packed in batch.column(2).to_pylist():
+                for i, k, s in _unpack_starts(packed):
+                    starts.setdefault((i, k), []).append(s)
+        rows = [(i, k, b"".join(s)) for (i, k), s in starts.items()]
+        for a, b in common.slices([len(s) for *_, s in rows], 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int64(), pa.binary()))], names=["id", "key", "starts"])
 
-    packed = rows.mapInArrow(parse, "bucket int, packed binary, id bigint, key bigint, starts binary")
-    return packed.repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(settle, "id bigint, key bigint, starts binary")
+    # One bucket is one partition (dealt out by its number, not by a hash of it), first of anchors, then of documents.
+    settled = rows.mapInArrow(parse, sql).repartitionById(n, "bucket").mapInArrow(settle, sql)
+    return settled.repartitionById(n, "bucket").mapInArrow(gather, "id bigint, key bigint, starts binary")
 
 
 def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -298,7 +341,7 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     word. Rows of one id with different texts are ordered by a hash of the text;
     equal rows are one document and have equal results. Null ids come last.
     """
-    pieces = repeated_windows(df, id, text, width).groupBy("id", "key").agg(F.collect_list("starts").alias("starts"))
+    pieces = repeated_windows(df, id, text, width)
     rows = keyed(df, id, text)
     joined = rows.join(pieces.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "t", "starts")
 
@@ -306,7 +349,7 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
         for batch in batches:
             total, left, kept = [], [], []
             for body, starts in zip(common.texts(batch.column(1)), batch.column(2).to_pylist()):
-                n, words = kept_words(body, np.frombuffer(b"".join(starts or ()), np.uint32), width)
+                n, words = kept_words(body, np.frombuffer(starts or b"", np.uint32), width)
                 total.append(n), left.append(n - len(words)), kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(left, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
