@@ -118,7 +118,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     docs = np.zeros(len(languages))
-    blocks = counts.reshape(len(languages), BLOCKS, -1)
+    blocks = counts.reshape(len(languages), BLOCKS, (1 << BUCKET_BITS) // BLOCKS)
     for r in found:
         values = np.frombuffer(r.counts, np.int64)
         if r.block == BLOCKS:
