@@ -40,7 +40,7 @@ MARK = "▁"
 BETWEEN = 0x110000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of a batch of words, and words remembered by a task.
-CHUNK, REMEMBERED = 1 << 21, 400_000
+CHUNK, REMEMBERED = 1 << 21, 500_000
 
 
 class Vocabulary:
@@ -67,7 +67,7 @@ class Vocabulary:
         self.lengths = np.array([len(p) for p in self.usable], np.int64)
         for row, p in zip(self.codes, self.usable):
             row[: len(p)] = [ord(c) for c in p]
-        self.pairs: dict[int, bool] = {}
+        self.pairs = PairTable(self)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -101,11 +101,46 @@ class Vocabulary:
 
     def compatible(self, pair: int) -> bool:
         """Whether BPE splits the characters of two pieces, packed as first * 2^21 + second, into just these pieces."""
-        known = self.pairs.get(pair)
-        if known is None:
-            x, y = self.string(pair >> 21), self.string(pair & 0x1FFFFF)
-            known = self.pairs[pair] = self.merge(list(x + y)) == [x, y]
-        return known
+        x, y = self.string(pair >> 21), self.string(pair & 0x1FFFFF)
+        return self.merge(list(x + y)) == [x, y]
+
+
+class PairTable:
+    """Known answers of ``compatible`` in an open hash table that is read for many pairs at once."""
+
+    def __init__(self, vocab: Vocabulary, bits: int = 21) -> None:
+        self.vocab, self.shift = vocab, np.uint64(64 - bits)
+        self.keys, self.good = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
+        self.held = 0
+
+    def _places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each pair, or the free place where it belongs, and whether it is there."""
+        mask = len(self.keys) - 1
+        at = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        there = self.keys[at]
+        todo = np.flatnonzero((there != pairs) & (there >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & mask
+            there = self.keys[at[todo]]
+            todo = todo[(there != pairs[todo]) & (there >= 0)]
+        return at, self.keys[at] == pairs
+
+    def __call__(self, pairs: np.ndarray) -> np.ndarray:
+        at, known = self._places(pairs)
+        if not known.all():
+            new = np.unique(pairs[~known])
+            if self.held + len(new) > len(self.keys) // 2:  # start over rather than fill up
+                self.keys[:], self.held = -1, 0
+                new = np.unique(pairs)
+            if len(new) > len(self.keys) // 2:
+                answers = np.fromiter(map(self.vocab.compatible, new.tolist()), bool, len(new))
+                return answers[np.searchsorted(new, pairs)]
+            for pair in new.tolist():
+                place = int(self._places(np.array([pair]))[0][0])
+                self.keys[place], self.good[place] = pair, self.vocab.compatible(pair)
+            self.held += len(new)
+            at, _ = self._places(pairs)
+        return self.good[at]
 
 
 @lru_cache(4)
@@ -114,20 +149,30 @@ def vocabulary(path: str = MODEL_PATH) -> Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their first ``depth`` codes at least, by prefix doubling; a code beyond the end counts as less than any other."""
-    n, width = len(codes), 1
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, order = rank + 1, np.argsort(codes, kind="stable")
-    while width < depth:
-        further = np.zeros(n, np.int64)
-        further[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 2) + further
-        order = np.argsort(key, kind="stable")
+    """Positions ordered by their first ``depth`` codes at least; a code beyond the end counts as less than any other.
+
+    As many codes as fit are packed into the first key; then prefix doubling.
+    """
+    n = len(codes)
+    letters = np.zeros(int(codes.max()) + 1, bool)
+    letters[codes] = True
+    code = np.cumsum(letters)[codes]  # 1 and up, in the order of the codes
+    bits = int(code.max()).bit_length()
+    width = max(1, min(62 // bits, depth))
+    padded = np.zeros(n + width, np.int64)
+    padded[:n] = code
+    key = padded[:n].copy()
+    for k in range(1, width):
+        key = key << bits | padded[k : k + n]
+    while True:
+        order = np.argsort(key)
+        if width >= depth:
+            return order
         ordered = key[order]
-        rank = np.empty(n, np.int64)
+        rank = np.zeros(n + width, np.int64)
         rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
+        key = rank[:n] * (n + 2) + rank[width:]
         width *= 2
-    return order
 
 
 def find(pieces: np.ndarray, lengths: np.ndarray, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +200,7 @@ def find(pieces: np.ndarray, lengths: np.ndarray, codes: np.ndarray, order: np.n
 
 
 def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(end, start, piece id) of every occurrence of a piece within a word of the concatenated words, sorted by end, then start.
+    """(end, start, piece id) of every occurrence of a piece within a word of the concatenated words.
 
     Words are joined by a character that no piece has, so no edge leaves its word.
     """
@@ -172,9 +217,7 @@ def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     single[start[length == 1]] = True
     alone = np.flatnonzero(~single & (codes != BETWEEN))
     start, piece = np.r_[start, alone], np.r_[piece, codes[alone] + vocab.size]
-    end = start + np.r_[length, np.ones(len(alone), np.int64)]
-    by = np.lexsort((start, end))
-    return end[by], start[by], piece[by]
+    return start + np.r_[length, np.ones(len(alone), np.int64)], start, piece
 
 
 def _relax(end: np.ndarray, start: np.ndarray, piece: np.ndarray, first: np.ndarray, total: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -184,27 +227,29 @@ def _relax(end: np.ndarray, start: np.ndarray, piece: np.ndarray, first: np.ndar
     the n-th character of a word need only what was found for fewer characters.
     """
     last, origin = np.full(total + 1, -1, np.int64), np.full(total + 1, -1, np.int64)
-    step = end - first[np.searchsorted(first, start, "right") - 1]
-    by = np.argsort(step, kind="stable")
-    bounds = np.flatnonzero(np.r_[True, np.diff(step[by]) != 0, True])
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    word = np.zeros(total + 1, np.int64)
+    word[first] = first
+    step = end - np.maximum.accumulate(word)[start]
+    # The edges in the order of where they end in their words.
+    by = np.argsort(step.astype(np.uint16) if step.max() < 1 << 16 else step, kind="stable")
+    bounds = np.r_[0, np.cumsum(np.bincount(step))]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if a == b:
+            continue
         e, s, p = end[by[a:b]], start[by[a:b]], piece[by[a:b]]
         before = last[s]
         ok = before < 0
         later = np.flatnonzero(~ok)
-        if len(later) > 64:
-            pairs, which = np.unique(before[later] << 21 | p[later], return_inverse=True)
-            ok[later] = np.fromiter(map(vocab.compatible, pairs.tolist()), bool, len(pairs))[which]
-        elif len(later):
-            ok[later] = [vocab.compatible(x) for x in (before[later] << 21 | p[later]).tolist()]
+        if len(later):
+            ok[later] = vocab.pairs(before[later] << 21 | p[later])
         last[e[ok]], origin[e[ok]] = p[ok], s[ok]
     return last, origin
 
 
-def encode_words(words: list[str], vocab: Vocabulary) -> list[tuple[int, ...]]:
-    """Ids of each of some non-empty words."""
+def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some non-empty words, one after another, and the number of each word's."""
     if not words:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(lengths + 1) - lengths - 1
     end, start, piece = edges(words, vocab)
@@ -218,16 +263,19 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[tuple[int, ...]]:
         open_ = at > stop
         at, stop = at[open_], stop[open_]
     ends = np.flatnonzero(met)
-    bounds = np.searchsorted(ends, np.r_[first + 1, total + 1])
+    count = np.diff(np.searchsorted(ends, np.r_[first + 1, total + 1]))
     flat = last[ends]
-    outside = np.add.reduceat(flat >= vocab.size, bounds[:-1]) > 0
-    ids, bounds = flat.tolist(), bounds.tolist()
-    out = [tuple(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
-    for k in np.flatnonzero(outside).tolist():
-        out[k] = tuple(x for i in out[k] for x in ([i] if i < vocab.size else [vocab.bytes[b] for b in chr(i - vocab.size).encode("utf-8", "surrogatepass")]))
-    if len(vocab.pairs) > REMEMBERED * 4:
-        vocab.pairs.clear()
-    return out
+    outside = np.flatnonzero(flat >= vocab.size)
+    if len(outside):
+        # Characters outside the vocabulary become their bytes.
+        spelt = [[vocab.bytes[b] for b in chr(i).encode("utf-8", "surrogatepass")] for i in (flat[outside] - vocab.size).tolist()]
+        size = np.ones(len(flat), np.int64)
+        size[outside] = [len(x) for x in spelt]
+        owner = np.repeat(np.arange(len(count)), count)
+        wide = np.repeat(flat, size)
+        wide[np.repeat(flat >= vocab.size, size)] = list(chain.from_iterable(spelt))
+        flat, count = wide, np.bincount(owner, size, len(count)).astype(np.int64)
+    return flat.astype(np.int32), count
 
 
 def words_of(text: str) -> list[str]:
@@ -235,22 +283,46 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+class _Index(dict):
+    """Numbers words as they are looked up; ``new`` has those that came since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Encodes batches of texts; remembers words between batches."""
 
     def __init__(self, path: str = MODEL_PATH) -> None:
-        self.vocab, self.known = vocabulary(path), {}
+        self.vocab = vocabulary(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.flat, self.count = _Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for a, b in common.slices([len(t) for t in texts], CHUNK):
-            split = [words_of(t) for t in texts[a:b]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            new = list({w for words in split for w in words if w not in known})
-            known.update(zip(new, encode_words(new, self.vocab)))
-            out += [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in split]
+            if len(self.index) > REMEMBERED:
+                self._forget()
+            index = self.index
+            numbers = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts[a:b]]
+            if index.new:
+                flat, count = encode_words(index.new, self.vocab)
+                self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+                index.new = []
+            begin = np.cumsum(self.count) - self.count
+            for words in numbers:
+                n = self.count[words]
+                ends = np.cumsum(n)
+                at = np.repeat(begin[words] - ends + n, n)
+                out.append(self.flat[at + np.arange(len(at))])
         return out
 
     def decode(self, ids: np.ndarray) -> str:
