@@ -135,7 +135,7 @@ def _links(x: _Tile, y: _Tile | None, radius: int, wide: tuple[int, int] | None
 
     With two fingerprints, ``wide`` is (limit of the first, limit of both): after
     the links of the small radius (for both together twice as much), nearest
-    links first, those that connect the rest.
+    links first, a forest of those between what is not linked yet.
     """
     other, at = (x, 0) if y is None else (y, len(x.fps))
     n = len(x.fps) + (0 if y is None else len(y.fps))
@@ -213,7 +213,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     component_id is the smallest id that can be reached, the row's own
     included. Texts without a word have fingerprint zero and are linked like
     any others. Ids are integers; rows with a null id are linked too, but
-    never name a component (null where all ids of a fingerprint are null).
+    never name a component (null where all ids of a fingerprint are null). Rows
+    of one id with different texts are separate rows, each in its own class.
     """
     docs = common.cut(fingerprints(df, id, text, k).select(F.col(id).alias("id"), "fp"))
     distinct = common.cut(docs.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()))
