@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 WIDTH = 20
-PAIR_ROUNDS = 8
+PAIR_ROUNDS = 5
 #: Text bytes parsed at once in a task, and characters of text for each bucket of anchors.
 CHUNK, BUCKET_CHARS = 1 << 20, 12_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,12 +141,12 @@ def _narrow(values: np.ndarray) -> tuple[int, bytes]:
 
 
 def _pack(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
-    """One task's anchors of one bucket: 5 bytes of each name, 6 of each window's hash."""
+    """One task's anchors of one bucket: 3 bytes of each name (the bucket has others), 6 of each window's hash."""
     used, doc = np.unique(doc, return_inverse=True)
     (d, docs), (s, starts) = _narrow(doc), _narrow(start)
     return b"".join([
         struct.pack("<IIIBB", len(used), len(doc), len(hashes), d, s), ids[used].tobytes(), keys[used].tobytes(), docs, starts, count.astype(np.uint8).tobytes(),
-        np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
+        np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes(), np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
     ])
 
 
@@ -154,7 +154,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     """ids, keys, doc, start, count, name, hashes."""
     n_docs, n, n_hashes, d, s = struct.unpack_from("<IIIBB", data)
     at, out = 14, []
-    for kind, size, count in (("<i8", 8, n_docs), ("<u4", 4, n_docs), (f"<u{d}", d, n), (f"<u{s}", s, n), ("u1", 1, n), ("", 5, n), ("", 6, n_hashes)):
+    for kind, size, count in (("<i8", 8, n_docs), ("<u4", 4, n_docs), (f"<u{d}", d, n), (f"<u{s}", s, n), ("u1", 1, n), ("", 3, n), ("", 6, n_hashes)):
         raw = np.frombuffer(data, np.uint8, size * count, at)
         at += size * count
         if kind:
