@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import events, fit, graph, layout, match, pairs, render, report
+from tessera.plans import engines, mosaic, synthetic
 from tessera.plans.views import prelude, view
-from tessera.sources import scan
+from tessera.sources import images, scan
 from tessera.streaming import growing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,3 +528,64 @@ def report_rejected_of(spark, d):
 def stream_growing_bbox(spark, d):
     frames = _tiles(spark, d).select(F.concat(F.lit("row "), F.col("grid_row").cast("string")).alias("session"), F.col("tile_id").alias("seq"), F.col("true_x").cast("double").alias("x"), F.col("true_y").cast("double").alias("y"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
     return growing.growing_map_batch(frames)
+
+
+# ---------------------------------------------------------------- catalog and whole runs
+
+
+@query()
+def catalog_engines(spark, d):
+    return engines.engines(spark)
+
+
+@query("SELECT 'native' AS status, 2 AS n UNION ALL SELECT 'implemented', 16 UNION ALL SELECT 'blocked', 58")
+def catalog_gated(spark, d):
+    return engines.engines(spark).groupBy("status").agg(F.count("*").cast("int").alias("n"))
+
+
+@query()
+def catalog_verify(spark, d):
+    return mosaic.verify(spark, "phase").union(mosaic.verify(spark, "corner")).drop("elapsed")
+
+
+@query()
+def run_register(spark, d):
+    """Places of a synthetic slide's tiles against their true places."""
+    tiles = synthetic.tiles(spark)
+    poses = mosaic.register(tiles)["poses"].join(tiles.select("tile_id", "true_x", "true_y"), "tile_id")
+    return poses.select("tile_id", "component", F.round(F.col("x") - F.col("true_x"), 2).alias("off_x"), F.round(F.col("y") - F.col("true_y"), 2).alias("off_y"))
+
+
+@query()
+def run_rows_first(spark, d):
+    return mosaic.rows_first(synthetic.tiles(spark))["poses"].select("component", "tile_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query()
+def run_mosaic(spark, d):
+    tiles = synthetic.tiles(spark)
+    poses = tiles.select("tile_id", F.lit(0).cast("long").alias("component"), F.col("true_x").cast("double").alias("x"), F.col("true_y").cast("double").alias("y"))
+    return mosaic.mosaic(tiles, poses, 256).select("component", "cy", "cx", F.sha2("data", 256).alias("sha256"))
+
+
+@query()
+def image_keypoints(spark, d):
+    return images.keypoints(synthetic.tiles(spark), 64).select("tile_id", "kp", "x", "y", F.round("score", 3).alias("score"))
+
+
+@query()
+def image_preprocess(spark, d):
+    return images.preprocess(synthetic.tiles(spark), 64, True).select("tile_id", "height", "width", F.sha2("data", 256).alias("sha256"))
+
+
+@query()
+def image_flatfield(spark, d):
+    return images.correct_flatfield(synthetic.tiles(spark)).select("tile_id", F.sha2("data", 256).alias("sha256"))
+
+
+@query("SELECT tile_id FROM (SELECT unnest(range(12)) AS tile_id)")
+def image_png_round_trip(spark, d):
+    """Tiles that are the same after they were written as PNG and read back."""
+    t = synthetic.tiles(spark).select("tile_id", "height", "width", "channels", "dtype", "data")
+    back = images.decode(images.encode_png(t).select("tile_id", "png"), "png").select("tile_id", F.col("data").alias("again"))
+    return t.join(back, "tile_id").where("data = again").select("tile_id")
