@@ -141,3 +141,34 @@ def mesh(points: DataFrame, named: DataFrame, width: int, height: int, max_motio
         return pd.DataFrame({"component": pdf.component.iloc[0], "tile_id": nodes, "mesh": [m.reshape(-1).tolist() for m in meshes], "accepted": ok})
 
     return rows.groupBy("component").applyInPandas(fit, "component bigint, tile_id bigint, mesh array<double>, accepted boolean")
+
+
+def relative_to(poses: DataFrame, references: DataFrame) -> DataFrame:
+    """Poses with each component's reference tile (component, tile_id) at zero."""
+    at = references.join(poses, ["component", "tile_id"]).select("component", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    return poses.join(at, "component").select("component", "tile_id", (F.col("x") - F.col("rx")).alias("x"), (F.col("y") - F.col("ry")).alias("y"))
+
+
+def layout_warning(residual: DataFrame, limit: float = 25.0) -> DataFrame:
+    """One row: the worst residual and whether it passes the limit."""
+    return residual.agg(F.max("residual_px").alias("worst_px")).withColumn("warning", F.coalesce(F.col("worst_px") > limit, F.lit(False)))
+
+
+def cycle_residuals(edges: DataFrame, forest: DataFrame, poses: DataFrame, limit: float = 8.0) -> DataFrame:
+    """Residuals of the accepted edges that close cycles, under places that only the forest's edges set."""
+    return residuals(edges.join(forest.select("i", "j"), ["i", "j"], "left_anti"), poses, limit)
+
+
+def mesh_basis(x: str, y: str, width: float, height: float, nodes: int = 5) -> list[Column]:
+    """Row and column of the mesh cell around a point, and the four bilinear weights (upper left, upper right, lower left, lower right)."""
+    u, v = F.least(F.greatest(F.col(x) / width, F.lit(0.0)), F.lit(1.0)) * (nodes - 1), F.least(F.greatest(F.col(y) / height, F.lit(0.0)), F.lit(1.0)) * (nodes - 1)
+    c, r = F.least(F.floor(u), F.lit(nodes - 2)), F.least(F.floor(v), F.lit(nodes - 2))
+    fu, fv = u - c, v - r
+    return [r.alias("mesh_row"), c.alias("mesh_col"), ((1 - fu) * (1 - fv)).alias("w00"), (fu * (1 - fv)).alias("w01"), ((1 - fu) * fv).alias("w10"), (fu * fv).alias("w11")]
+
+
+def refinement_gate(samples: DataFrame, minimum: int = 12, share: float = 0.98) -> DataFrame:
+    """(i, j, points, baseline, refined, kept) from samples (i, j, a, b, b_refined, inside): a refinement is kept if enough points are inside and their mean error falls."""
+    ok = samples.where("inside")
+    out = ok.groupBy("i", "j").agg(F.count("*").alias("points"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("baseline"), F.avg(F.abs(F.col("a") - F.col("b_refined"))).alias("refined"))
+    return out.withColumn("kept", (F.col("points") >= minimum) & (F.col("refined") < share * F.col("baseline")))

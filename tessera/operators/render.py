@@ -143,3 +143,16 @@ def paste(base: DataFrame, added: DataFrame) -> DataFrame:
 def row_fallback(rows: DataFrame) -> DataFrame:
     """The completed row (grid_row, covered) of most covered pixels, the first of equals."""
     return rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("covered"), "grid_row"))).where("r = 1").drop("r")
+
+
+def incremental_gain(pixels: DataFrame, minimum: int = 200, limit: float = 1.6) -> DataFrame:
+    """(frame, n, gain) from overlap pixels (frame, base, added): the ratio of medians within 1 / limit to limit; 1 for small overlaps."""
+    out = pixels.groupBy("frame").agg(F.count("*").alias("n"), F.median("base").alias("b"), F.median("added").alias("a"))
+    gain = F.when((F.col("n") >= minimum) & (F.col("a") > 0), F.least(F.greatest(F.col("b") / F.col("a"), F.lit(1 / limit)), F.lit(limit))).otherwise(F.lit(1.0))
+    return out.select("frame", "n", gain.alias("gain"))
+
+
+def world_origin(poses: DataFrame) -> DataFrame:
+    """Canvas places of tiles that are kept in world coordinates: the origin is their least x and y at the time of reading, and may be negative."""
+    least = poses.agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return poses.join(F.broadcast(least)).select("tile_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "x0", "y0")

@@ -79,3 +79,23 @@ def distinct_in_order(frame: DataFrame, key: str, order: str) -> DataFrame:
 def benchmark_matrix(slides: DataFrame, configurations: DataFrame) -> DataFrame:
     """Every slide under every configuration: a small matrix of runs, not of data."""
     return slides.crossJoin(configurations)
+
+
+def health(jobs: DataFrame) -> DataFrame:
+    """One row: jobs, and those that run, are done or have failed."""
+    return jobs.agg(F.count("*").alias("jobs"), *(F.count_if(F.col("status") == s).alias(s) for s in ("running", "done", "error")))
+
+
+def evenly(frame: DataFrame, order: str, n: int) -> DataFrame:
+    """At most n rows at even steps of the order, both ends included; for listings."""
+    ranked = frame.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
+    total = frame.count()
+    if total <= n:
+        return ranked.drop("k")
+    wanted = sorted({int(i * (total - 1) / (n - 1)) for i in range(n)}) if n > 1 else [0]
+    return ranked.where(F.col("k").isin(wanted)).drop("k")
+
+
+def best_features(features: DataFrame, cap: int = 4000) -> DataFrame:
+    """The strongest features of a merged map."""
+    return features.orderBy(F.desc("score"), "tile_id", "kp").limit(cap)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import events, fit, graph, layout, match, pairs, render, report
-from tessera.plans import engines, mosaic, synthetic
+from tessera.plans import cache, engines, mosaic, synthetic
 from tessera.plans.views import prelude, view
 from tessera.sources import images, scan
 from tessera.streaming import growing
@@ -589,3 +589,78 @@ def image_png_round_trip(spark, d):
     t = synthetic.tiles(spark).select("tile_id", "height", "width", "channels", "dtype", "data")
     back = images.decode(images.encode_png(t).select("tile_id", "png"), "png").select("tile_id", F.col("data").alias("again"))
     return t.join(back, "tile_id").where("data = again").select("tile_id")
+
+
+@query(_COMPONENTS + "SELECT e.i, e.j, a.file AS file_i, b.file AS file_j FROM edges e JOIN tiles a ON a.tile_id = e.i JOIN tiles b ON b.tile_id = e.j", "edges")
+def pair_named(spark, d):
+    return pairs.named(_edges(spark, d).select("i", "j"), _tiles(spark, d))
+
+
+@query("SELECT f.tile_id AS frame, p.tile_id FROM tiles f JOIN tiles p ON abs(f.grid_row - p.grid_row) + abs(f.grid_col - p.grid_col) = 1 WHERE f.tile_id % 2 = 1 AND p.tile_id % 2 = 0", "tiles")
+def pair_frame_candidates(spark, d):
+    t = _tiles(spark, d)
+    return pairs.frame_candidates(t.where("tile_id % 2 = 1").withColumnRenamed("tile_id", "frame"), t.where("tile_id % 2 = 0"))
+
+
+@query("SELECT 0::BIGINT AS component, t.tile_id, (t.true_x - r.true_x)::BIGINT AS x, (t.true_y - r.true_y)::BIGINT AS y FROM tiles t, (SELECT true_x, true_y FROM tiles WHERE tile_id = 45) r", "tiles")
+def layout_relative(spark, d):
+    poses = _tiles(spark, d).select(F.lit(0).cast("long").alias("component"), "tile_id", F.col("true_x").cast("long").alias("x"), F.col("true_y").cast("long").alias("y"))
+    return layout.relative_to(poses, spark.createDataFrame([(0, 45)], "component long, tile_id long"))
+
+
+@query("SELECT round(CASE WHEN bool_or((i * 31 + j) % 17 = 0) THEN sqrt(40.0 * 40 + 25 * 25) ELSE 0 END, 6) AS worst_px, bool_or((i * 31 + j) % 17 = 0) AS warning FROM edges WHERE status = 'accepted'", "edges")
+def layout_warning(spark, d):
+    truth = _tiles(spark, d).select("tile_id", F.col("true_x").alias("x"), F.col("true_y").alias("y"))
+    return layout.layout_warning(layout.residuals(_edges(spark, d), truth)).withColumn("worst_px", F.round("worst_px", 6))
+
+
+@query("+ q AS (SELECT pair_id, k, x0, y0, least(floor(x0 / 100.0), 3) c, least(floor(y0 / 75.0), 3) r FROM correspondences) SELECT pair_id, k, x0, y0, CAST(r AS BIGINT) AS mesh_row, CAST(c AS BIGINT) AS mesh_col, round((1 - (x0 / 100.0 - c)) * (1 - (y0 / 75.0 - r)), 9) AS w00, round((x0 / 100.0 - c) * (1 - (y0 / 75.0 - r)), 9) AS w01, round((1 - (x0 / 100.0 - c)) * (y0 / 75.0 - r), 9) AS w10, round((x0 / 100.0 - c) * (y0 / 75.0 - r), 9) AS w11 FROM q", "correspondences")
+def layout_mesh_basis(spark, d):
+    out = view(spark, d, "correspondences").select("pair_id", "k", "x0", "y0", *layout.mesh_basis("x0", "y0", 400.0, 300.0))
+    return out.select("pair_id", "k", "x0", "y0", F.col("mesh_row").cast("long").alias("mesh_row"), F.col("mesh_col").cast("long").alias("mesh_col"), *(F.round(w, 9).alias(w) for w in ("w00", "w01", "w10", "w11")))
+
+
+@query("SELECT pair_id AS i, pair_id + 1 AS j, count(*) AS points, round(avg(abs(y0 - y1)), 6) AS baseline, round(avg(abs(y0 - y1 + 3)), 6) AS refined, count(*) >= 12 AND avg(abs(y0 - y1 + 3)) < 0.98 * avg(abs(y0 - y1)) AS kept FROM correspondences WHERE x1 >= 0 AND x1 < 398 GROUP BY pair_id", "correspondences")
+def layout_refinement_gate(spark, d):
+    m = view(spark, d, "correspondences").select(F.col("pair_id").alias("i"), (F.col("pair_id") + 1).alias("j"), F.col("y0").alias("a"), F.col("y1").alias("b"), (F.col("y1") - 3).alias("b_refined"), ((F.col("x1") >= 0) & (F.col("x1") < 398)).alias("inside"))
+    return layout.refinement_gate(m).withColumns({c: F.round(c, 6) for c in ("baseline", "refined")})
+
+
+@query("SELECT pair_id AS frame, count(*) AS n, round(CASE WHEN count(*) >= 200 AND median(y1 + 50) > 0 THEN least(greatest(median(y0 + 50) / median(y1 + 50), 1 / 1.6), 1.6) ELSE 1.0 END, 9) AS gain FROM correspondences GROUP BY pair_id", "correspondences")
+def render_incremental_gain(spark, d):
+    m = view(spark, d, "correspondences").select(F.col("pair_id").alias("frame"), (F.col("y0") + 50).alias("base"), (F.col("y1") + 50).alias("added"))
+    return render.incremental_gain(m).withColumn("gain", F.round("gain", 9))
+
+
+@query("SELECT tile_id, (true_x - (SELECT min(true_x) FROM tiles))::BIGINT AS x, (true_y - (SELECT min(true_y) FROM tiles))::BIGINT AS y, (SELECT min(true_x) FROM tiles)::BIGINT AS x0, (SELECT min(true_y) FROM tiles)::BIGINT AS y0 FROM tiles", "tiles")
+def render_world_origin(spark, d):
+    out = render.world_origin(_placed(spark, d))
+    return out.select("tile_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "x0", "y0")))
+
+
+@query("+ s AS (SELECT job_id, arg_max(type, seq) t FROM job_events GROUP BY job_id) SELECT count(*) AS jobs, count(*) FILTER (WHERE t IN ('step', 'plan', 'image')) AS running, count(*) FILTER (WHERE t = 'result') AS done, count(*) FILTER (WHERE t = 'error') AS error FROM s", "job_events")
+def report_health(spark, d):
+    last = events.latest_status(_events(spark, d))
+    status = F.when(F.col("type") == "result", "done").when(F.col("type") == "error", "error").otherwise("running")
+    return report.health(last.select(status.alias("status")))
+
+
+@query("SELECT l_suppkey AS tile_id, l_orderkey * 8 + l_linenumber AS kp, l_extendedprice AS score FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem) t ORDER BY l_extendedprice DESC, 1, 2 LIMIT 4000")
+def report_best_features(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("tile_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("kp"), F.col("l_extendedprice").alias("score")).distinct()
+    return report.best_features(rows)
+
+
+@query("SELECT user_id AS session, seq FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) seq FROM events) e WHERE NOT (user_id % 2 = 0 AND seq >= 5)")
+def stream_open_sessions(spark, d):
+    e = _events(spark, d).select(F.col("job_id").alias("session"), F.col("seq").cast("long").alias("seq"))
+    ends = e.where("session % 2 = 0 AND seq = 5").withColumn("action", F.lit("finish"))
+    return growing.sessions(e, ends)
+
+
+@query("SELECT tile_id, sha256(file) AS sha256, CASE WHEN tile_id % 10 > 0 THEN sha256(file || 'x') END AS now FROM tiles WHERE tile_id % 5 = 0", "tiles")
+def cache_changed_sources(spark, d):
+    t = _tiles(spark, d)
+    stored = t.select("tile_id", F.sha2("file", 256).alias("sha256"))
+    now = t.where("tile_id % 10 > 0").select("tile_id", F.when(F.col("tile_id") % 5 == 0, F.concat("file", F.lit("x"))).otherwise(F.col("file")).cast("binary").alias("content"))
+    return cache.changed_sources(stored, now)

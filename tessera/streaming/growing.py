@@ -86,3 +86,23 @@ def job_status(events: DataFrame) -> DataFrame:
 def windowed_activity(events: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     """Events by window and type."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "type", "n")
+
+
+def sessions(frames: DataFrame, controls: DataFrame) -> DataFrame:
+    """Frames of sessions that were not finished or deleted before them, from control rows (session, seq, action)."""
+    ends = controls.where(F.col("action").isin("finish", "delete")).groupBy("session").agg(F.min("seq").alias("closed"))
+    return frames.join(ends, "session", "left").where(F.col("closed").isNull() | (F.col("seq") < F.col("closed"))).drop("closed")
+
+
+def isolated(write):
+    """A foreachBatch function whose failures are noted in ``errors`` and never stop the stream."""
+    errors: list[tuple[int, str]] = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            write(batch, number)
+        except Exception as e:  # a broken transport must not end the job
+            errors.append((number, str(e)))
+
+    run.errors = errors
+    return run

@@ -347,3 +347,25 @@ def test_reports_and_staging(spark):
     assert report.benchmark_matrix(spark.range(3), spark.range(4).toDF("c")).count() == 12
     assert report.landmark_metrics(spark.createDataFrame([], "error_px double")).first() == (0, None, None)
     assert render.row_fallback(spark.createDataFrame([(0, 5), (1, 9), (2, 9)], "grid_row int, covered int")).first().grid_row == 1
+
+
+def test_cycles_cache_and_isolation(spark):
+    e = view(spark, D, "edges")
+    forest = spark.createDataFrame([(0, 1, 9, 10.0, 0.0), (1, 2, 8, 10.0, 0.0)], "i long, j long, inliers long, dx double, dy double")
+    all_ = forest.drop("inliers").union(spark.createDataFrame([(0, 2, 26.0, 8.0)], "i long, j long, dx double, dy double")).withColumn("status", F.lit("accepted"))
+    poses = graph.tree_positions(forest, spark.createDataFrame([(0,)], "tile_id long"))
+    assert [r.residual_px for r in layout.cycle_residuals(all_, forest, poses).collect()] == [10.0]
+    from tessera.plans import cache
+
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "tile_id long, sha256 string")
+    assert cache.stage_key(t, "s") == cache.stage_key(t.orderBy(F.desc("tile_id")), "s") != cache.stage_key(t, "other")
+    same = spark.createDataFrame([(1, bytearray(b"x"))], "tile_id long, content binary")
+    cache.require_unchanged(same.select("tile_id", F.sha2("content", 256).alias("sha256")), same)
+    with pytest.raises(ValueError, match=r"\[1, 2\]"):
+        cache.require_unchanged(t, same)
+    assert t.select(cache.content_key("tile_id", "sha256").alias("k")).distinct().count() == 2
+    write = growing.isolated(lambda batch, n: 1 / n)
+    write(e, 1)
+    write(e, 0)
+    assert [n for n, _ in write.errors] == [0]
+    assert [r.tile_id for r in report.evenly(spark.range(100).toDF("tile_id"), "tile_id", 3).orderBy("tile_id").collect()] == [0, 49, 99]
