@@ -35,6 +35,11 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
+def files_for(df: DataFrame) -> int:
+    """How many checkpoint files a frame of about as many rows as this (checkpointed) one needs, up to the shuffle partitions."""
+    return min(shuffle_partitions(df.sparkSession), 6 + df.count() // 100_000)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))

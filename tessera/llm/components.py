@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 
-#: Links a checkpoint file holds at least, if there are more than six files.
-ROWS_A_FILE = 100_000
-
-
 def _both(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
@@ -31,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e, before = common.cut(e.distinct()), None
     # Few links need few files; the rounds only ever have fewer.
-    parts = min(common.shuffle_partitions(links.sparkSession), 6 + e.count() // ROWS_A_FILE)
+    parts = common.files_for(e)
     for _ in range(max_rounds):
         # Large star: each node's larger neighbours are linked to the smallest node around it.
         both = _both(e)

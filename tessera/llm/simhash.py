@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     of one id with different texts are separate rows, each in its own class.
     """
     docs = common.cut(fingerprints(df, id, text, k).select(F.col(id).alias("id"), "fp"))
-    distinct = common.cut(docs.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()))
+    distinct = common.cut(docs.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), common.files_for(docs))
     groups = components(links(distinct, radius))
     # Only fingerprints that are linked to another move; all others keep the least id of their own fingerprint.
     named = distinct.join(groups, distinct.rep == groups.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
@@ -246,12 +246,13 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("id").isNotNull())
     hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint"))
+    files = common.files_for(hashed)
     equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
-    same = common.cut(hashed.join(equal, ["fp", "fp2", "whole"]).select("id", "rep").where("id != rep").distinct())
+    same = common.cut(hashed.join(equal, ["fp", "fp2", "whole"]).select("id", "rep").where("id != rep").distinct(), files)
     distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
     # Different texts of one fingerprint are tested against its least id.
     crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
-    pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct())
+    pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), files)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
