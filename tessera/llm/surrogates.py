@@ -18,7 +18,8 @@ import hmac
 import ipaddress
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,8 @@ TITLES = {"f": ("Mrs", "Ms", "Miss", "Madame", "Mme", "Mademoiselle", "Frau", "S
 _TITLE_GENDER = {t: g for g, names in TITLES.items() for t in names}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΑ-ΩА-Я][a-zß-öø-ÿā-žά-ώа-яё]+"
 _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})(\.? )({_CAPITAL}(?:[ \-]{_CAPITAL}){{0,2}})")
-_QUICK_NAME = rf"(?:{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.? "
+#: What a text with a name has.
+_QUICK_NAMES = tuple(f"{t}{end}" for t in _TITLE_GENDER for end in (" ", ". "))
 
 
 def _luhn(digits: str) -> bool:
@@ -71,7 +73,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text)]
     if _QUICK_HEX.search(text):
         found += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text)]
-    found += [(m.start(3), m.end(3), "name") for m in _NAME.finditer(text)]
+    if any(t in text for t in _QUICK_NAMES):
+        found += [(m.start(3), m.end(3), "name") for m in _NAME.finditer(text)]
     taken: list[tuple[int, int, str]] = []
     if len(found) > 1:
         order = {"email": 0, "token": 1, "ip": 2, "ssn": 3, "iban": 4, "card": 5, "phone": 6, "name": 7}
@@ -324,7 +327,8 @@ def names(df: DataFrame, text: str = "text") -> DataFrame:
             found = {name_entity(m[1], m[3]) for t in common.strings(batch.column(0)) for m in _NAME.finditer(t)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["entity"])
 
-    return df.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike(_QUICK_NAME)).mapInArrow(run, "entity string").distinct()
+    titled = reduce(or_, (F.contains(F.col("t"), F.lit(q)) for q in _QUICK_NAMES))
+    return df.select(F.col(text).cast("string").alias("t")).where(titled).mapInArrow(run, "entity string").distinct()
 
 
 def settle_names(entities: DataFrame, key: bytes = DEFAULT_KEY, max_exceptions: int = MAX_EXCEPTIONS) -> tuple[dict[str, int], int]:
@@ -335,9 +339,9 @@ def settle_names(entities: DataFrame, key: bytes = DEFAULT_KEY, max_exceptions:
     exceptions than the bound lengthen all surnames instead.
     """
     spark = entities.sparkSession
-    entities = common.cut(entities)
     if entities.isEmpty():
         return {}, 3
+    entities = common.cut(entities)
     # Genders may share a surrogate's letters, so surrogates are compared without it.
     for width in range(3, 12):
         draws: dict[str, int] = {}
