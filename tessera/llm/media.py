@@ -1,15 +1,13 @@
 """Media columns: PNG files in binary columns, decoded with numpy, and cosine-transform hashes.
 
-The codec needs no image library: chunks are walked by hand and their
-checksums tested, pixel data goes through zlib, and the five row filters are
-undone in numpy. 8-bit grey, grey with alpha, RGB and RGBA images without
-interlacing are supported.
+The codec (``tessera.functions.png``) needs no image library: chunks are walked
+by hand and their checksums tested, pixel data goes through zlib, and the five
+row filters are undone in numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,122 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.png import decode, encode
 from tessera.llm import common
 
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Channels by PNG colour type, and the reverse.
-CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
-COLOUR = {n: kind for kind, n in CHANNELS.items()}
 #: Text payloads are images of 64 RGB pixels a row.
 ROW_PIXELS, ROW_BYTES = 64, 192
-LEVEL = 6
-
-
-def _chunk(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-
-def _predict(kind: int, row: np.ndarray, up: np.ndarray, bpp: int) -> np.ndarray:
-    """What filter ``kind`` subtracts from the bytes of a known row."""
-    left = np.r_[np.zeros(bpp, np.int16), row[:-bpp]]
-    if kind == 0:
-        return np.zeros_like(row)
-    if kind == 1:
-        return left
-    if kind == 2:
-        return up
-    if kind == 3:
-        return (left + up) >> 1
-    corner = np.r_[np.zeros(bpp, np.int16), up[:-bpp]]
-    return _paeth(left, up, corner)
-
-
-def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-    return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-
-
-def encode(pixels: np.ndarray, filters: list[int] | int = 0, level: int = LEVEL) -> bytes:
-    """A PNG of an (h, w, channels) array of 8-bit samples; ``filters``: one for all rows or one for each."""
-    h, w, n = pixels.shape
-    rows = pixels.reshape(h, w * n)
-    if isinstance(filters, int) and filters == 0:
-        raw = np.zeros((h, w * n + 1), np.uint8)
-        raw[:, 1:] = rows
-        data = raw.tobytes()
-    else:
-        kinds = [filters] * h if isinstance(filters, int) else filters
-        wide, up, parts = rows.astype(np.int16), np.zeros(w * n, np.int16), []
-        for kind, row in zip(kinds, wide):
-            parts.append(bytes([kind]) + ((row - _predict(kind, row, up, n)) & 255).astype(np.uint8).tobytes())
-            up = row
-        data = b"".join(parts)
-    head = struct.pack(">IIBBBBB", w, h, 8, COLOUR[n], 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(data, level)) + _chunk(b"IEND", b"")
-
-
-def decode(data: bytes) -> np.ndarray:
-    """The (h, w, channels) samples of a PNG; ValueError for broken or unsupported files."""
-    if data[:8] != SIGNATURE:
-        raise ValueError("not a PNG")
-    at, head, body, ended = 8, None, [], False
-    while at < len(data) and not ended:
-        if at + 12 > len(data):
-            raise ValueError("truncated chunk")
-        size = struct.unpack_from(">I", data, at)[0]
-        kind, content, check = data[at + 4 : at + 8], data[at + 8 : at + 8 + size], data[at + 8 + size : at + 12 + size]
-        if len(check) < 4 or zlib.crc32(kind + content) != struct.unpack(">I", check)[0]:
-            raise ValueError(f"checksum of chunk {kind!r}")
-        at += 12 + size
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", content)
-        elif kind == b"IDAT":
-            body.append(content)
-        elif kind == b"IEND":
-            ended = True
-        elif not kind[0] & 32:
-            raise ValueError(f"unknown critical chunk {kind!r}")
-    if head is None or not ended:
-        raise ValueError("no header or end")
-    w, h, depth, colour, method, filtering, interlace = head
-    if depth != 8 or colour not in CHANNELS or method or filtering or interlace:
-        raise ValueError("unsupported PNG")
-    n = CHANNELS[colour]
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    except zlib.error as e:
-        raise ValueError(f"pixel data: {e}") from e
-    if len(raw) != h * (w * n + 1):
-        raise ValueError("pixel data of a wrong length")
-    raw = raw.reshape(h, w * n + 1)
-    return unfilter(raw[:, 0], raw[:, 1:], n).reshape(h, w, n)
-
-
-def unfilter(kinds: np.ndarray, rows: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the row filters. Rows of the kinds none, sub and up are whole-row operations, average and Paeth go pixel by pixel."""
-    if not kinds.any():
-        return np.ascontiguousarray(rows)
-    if kinds.max() > 4:
-        raise ValueError("unknown row filter")
-    out = np.zeros(rows.shape, np.uint8)
-    up = np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        row = rows[y]
-        if kind == 0:
-            out[y] = row
-        elif kind == 1:
-            out[y] = np.cumsum(row.reshape(-1, bpp), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == 2:
-            out[y] = row + up
-        else:
-            line, above = row.reshape(-1, bpp).astype(np.int16), up.reshape(-1, bpp).astype(np.int16)
-            done, left, corner = out[y].reshape(-1, bpp), np.zeros(bpp, np.int16), np.zeros(bpp, np.int16)
-            for x in range(len(line)):
-                guess = (left + above[x]) >> 1 if kind == 3 else _paeth(left, above[x], corner)
-                left = (line[x] + guess) & 255
-                done[x], corner = left, above[x]
-        up = out[y]
-    return out
 
 
 @lru_cache(1)

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tessera.functions import png
 from tessera.llm import media
 
 
@@ -21,10 +22,10 @@ def test_broken_files():
     flipped[45] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         media.decode(bytes(flipped))
-    for bad in (b"", good[:-5], good[:20], b"GIF89a", good[:8] + media._chunk(b"IEND", b"")):
+    for bad in (b"", good[:-5], good[:20], b"GIF89a", good[:8] + png._chunk(b"IEND", b"")):
         with pytest.raises(ValueError):
             media.decode(bad)
-    short = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 9, 8, 2, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(b"123")) + media._chunk(b"IEND", b"")
+    short = png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 9, 8, 2, 0, 0, 0)) + png._chunk(b"IDAT", zlib.compress(b"123")) + png._chunk(b"IEND", b"")
     with pytest.raises(ValueError, match="length"):
         media.decode(short)
 
@@ -32,8 +33,8 @@ def test_broken_files():
 def test_split_data_and_extra_chunks():
     pixels = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
     raw = zlib.compress(b"".join(b"\0" + r.tobytes() for r in pixels.reshape(2, -1)))
-    head = media._chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0))
-    data = media.SIGNATURE + head + media._chunk(b"tEXt", b"a\0b") + media._chunk(b"IDAT", raw[:5]) + media._chunk(b"IDAT", raw[5:]) + media._chunk(b"IEND", b"")
+    head = png._chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0))
+    data = png.SIGNATURE + head + png._chunk(b"tEXt", b"a\0b") + png._chunk(b"IDAT", raw[:5]) + png._chunk(b"IDAT", raw[5:]) + png._chunk(b"IEND", b"")
     assert (media.decode(data) == pixels).all()
 
 
