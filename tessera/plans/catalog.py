@@ -255,9 +255,9 @@ def _attempts(spark, d):
     return first.union(e.where("(i + j) % 3 = 0").select("i", "j", F.lit(2), "status"))
 
 
-@query("+" + _ATTEMPTS + "SELECT i, j, CASE WHEN bool_or(status = 'accepted') THEN 'accepted' WHEN bool_or(status = 'ambiguous') THEN 'ambiguous' ELSE 'failed' END AS status, min(CASE WHEN status = 'accepted' THEN attempt END) AS attempt, count(*) AS attempts FROM a GROUP BY i, j", "edges")
+@query("+" + _ATTEMPTS + "SELECT i, j, CASE WHEN bool_or(status = 'accepted') THEN 'accepted' WHEN bool_or(status = 'ambiguous') THEN 'ambiguous' ELSE 'failed' END AS status, coalesce(min(CASE WHEN status = 'accepted' THEN attempt END), 0) AS attempt, count(*) AS attempts FROM a GROUP BY i, j", "edges")
 def fit_cascade(spark, d):
-    return fit.cascade(_attempts(spark, d))
+    return fit.cascade(_attempts(spark, d)).withColumn("attempt", F.coalesce("attempt", F.lit(0)))
 
 
 @query("+" + _ATTEMPTS + "SELECT i, j FROM edges e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.i = e.i AND a.j = e.j AND a.status IN ('accepted', 'ambiguous'))", "edges")
