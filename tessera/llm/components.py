@@ -8,7 +8,7 @@ checkpoints.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -18,6 +18,15 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
 
+def _apart(node: str) -> Column:
+    """A node's number, in the row of its minimum ``m``, as an expression by which rows are not yet dealt out.
+
+    The minima then get an exchange of their own, so both sides of the join are
+    plain exchanges and skew handling may split a hub's rows.
+    """
+    return F.greatest(node, F.least(node, "m"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of a link; component is the smallest node that can be reached.
 
@@ -31,11 +40,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         # Large star: each node's larger neighbours are linked to the smallest node around it.
         both = _both(e)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(_apart("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.cut(large.where(F.col("a") != F.col("b")).distinct(), parts)
         # Small star: each node and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(_apart("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
         e = common.cut(small.where(F.col("a") != F.col("b")).distinct(), parts)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
