@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a checkpoint file holds at least, if there are more than six files.
@@ -25,11 +25,6 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
-def _apart() -> Column:
-    """Node ``a`` as an expression by which rows are not yet dealt out, so that the minima get an exchange of their own and a hub's rows may be split in the join."""
-    return F.greatest("a", F.least("a", "m"))
-
-
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(tile_id, component): the smallest tile that edges (i, j) reach; ``nodes`` (tile_id) adds tiles without an edge.
 
@@ -40,10 +35,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     parts = 6 + e.count() // ROWS_A_FILE
     before = None
     for _ in range(max_rounds):
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(_apart().alias("u"), F.least("a", "m").alias("m"))
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = cut(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), parts)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(_apart().alias("u"), "m")
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
         e = cut(small.where("a <> b").distinct(), parts)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
