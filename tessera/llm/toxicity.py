@@ -31,7 +31,7 @@ MAX_ROWS, FEATURES = 20_000, 512
 #: Sampled rows in which a feature must be.
 MIN_ROWS = 5
 #: Weights of the squared score change and of the squared weights; steps of the optimiser.
-SWAP_PENALTY, RIDGE, STEPS = 1.0, 3e-4, 300
+SWAP_PENALTY, RIDGE, STEPS = 1.0, 1e-4, 300
 SWAPS = 2
 #: Terms that may stand for each other, by kind and language.
 IDENTITY_TERMS = (
