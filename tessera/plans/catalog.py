@@ -118,7 +118,7 @@ def pair_sequential(spark, d):
 
 @query("SELECT a.tile_id AS i, b.tile_id AS j FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE b.grid_row < 2", "tiles")
 def pair_all(spark, d):
-    """All pairs of one slide's first rows, as unordered stitching of a few images asks for."""
+    """All pairs of one slide's first rows, as a mosaic of a few unordered images asks for."""
     return pairs.all_pairs(scan.layout_slice(_tiles(spark, d), 2, 20))
 
 
