@@ -40,13 +40,16 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_ratio(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+def knn_ratio(left: DataFrame, right: DataFrame, ratio: float, block: int = 16_384) -> DataFrame:
     """(kp0, kp1, distance) of left keypoints whose nearest right descriptor is nearer than ``ratio`` times the second (or is the only one).
 
-    Exact: both nearest neighbours come from partial aggregates, so no list of all
-    distances is built. For the descriptors of one pair of images.
+    Exact, for the descriptors of one pair of images. Up to ``block`` right descriptors are
+    broadcast; more are dealt into blocks of about that size, to each of which all left ones go.
     """
-    pairs = left.select(F.col("kp_id").alias("kp0"), F.col("descriptor").alias("d0")).join(F.broadcast(right.select(F.col("kp_id").alias("kp1"), F.col("descriptor").alias("d1"))))
+    blocks = max(1, -(-right.count() // block))
+    queries = left.select(F.col("kp_id").alias("kp0"), F.col("descriptor").alias("d0"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    r = right.select(F.col("kp_id").alias("kp1"), F.col("descriptor").alias("d1"), F.pmod(F.xxhash64("kp_id"), F.lit(blocks)).cast("int").alias("blk"))
+    pairs = queries.join(F.broadcast(r) if blocks == 1 else r, "blk")
     scored = pairs.select("kp0", F.struct(F.sqrt(squared_distance("d0", "d1")).alias("distance"), "kp1").alias("n"))
     rank = F.row_number().over(Window.partitionBy("kp0").orderBy("n"))
     best = scored.withColumn("r", rank).where("r <= 2").groupBy("kp0").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count("*").alias("c"))

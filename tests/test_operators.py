@@ -118,6 +118,7 @@ def test_sampling_knn_and_mutual(spark):
     out = {r.kp0: r.kp1 for r in match.knn_ratio(make(left), make(right), 0.5).collect()}
     assert all(out.get(i) == i for i in range(20))
     assert match.knn_ratio(make(left), make(right[:1]), 0.1).count() == 30
+    assert {r.kp0: r.kp1 for r in match.knn_ratio(make(left), make(right), 0.5, block=4).collect()} == out
     rows = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.8), (1, 1, 0.7), (2, 2, 0.1)], "kp0 int, kp1 int, score double")
     assert {(r.kp0, r.kp1) for r in match.mutual(rows).collect()} == {(0, 0), (2, 2)}
     some = view(spark, D, "correspondences")
