@@ -29,6 +29,8 @@ TILE, BLOCK = 8192, 64
 FOREST_ROOM = 1_000_000
 #: The pipeline's stage: words a shingle, similarity, and the limits of distance (first fingerprint, both) of pairs that are tested.
 WORDS, SIMILARITY, WIDE = 5, 0.8, (16, 28)
+#: Texts sampled and shingles held to know common ones; signatures a bucket; pairs of rows looked at at once.
+SAMPLE, COMMON, BUCKET, PAIRS = 8192, 200_000, 500_000, 1_000_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -224,35 +226,101 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     return docs.join(named, docs.fp == named.f, "left").select(F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component): every non-null id, and the smallest id that links of similar texts reach.
-
-    Two texts are similar if the Jaccard similarity of their sets of k-word
-    shingles is ``similarity`` or more (two texts without a word are, too). Texts of
-    equal sets are joined at once. The rest is compared by two SimHashes of the
-    sets; pairs within WIDE are tested on the sets themselves. Of the pairs
-    within a group of tiles only those that connect it, the nearest first, are
-    tested. About 2 % of pairs at a similarity of just 0.8 have fingerprints
-    further apart than WIDE; from 0.85 on almost none.
-    """
+def _common(rows: DataFrame, k: int) -> np.ndarray:
+    """Shingles that several texts of a sample share, sorted, and their places from the rarest on. They only set an order: no pair depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, k) for t in common.texts(batch.column(1))]
-            first = np.array([simhash(s) for s in sets], np.uint64)
-            second = np.array([simhash(common.mix(s)) for s in sets], np.uint64)
-            whole = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (first, second, whole))], names=["id", "fp", "fp2", "whole"])
+            found = [shingle_set(t, k) for t in common.texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    share = max(1, -(-rows.count() // SAMPLE))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("t")
+    counts = sample.mapInArrow(run, "h bigint").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes = counts.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return np.stack([hashes[order], (len(order) - order).astype(np.uint64)])
+
+
+def _prefix(shingles: np.ndarray, known: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, common ones last: sets at least so similar share one of them."""
+    if not len(shingles):
+        return shingles
+    need = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1
+    if not known.shape[1]:
+        return shingles[:need]
+    at = np.minimum(np.searchsorted(known[0], shingles), known.shape[1] - 1)
+    place = np.where(known[0][at] == shingles, known[1][at], np.uint64(0))
+    return shingles[np.argsort(place, kind="stable")[:need]]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes by their places, which compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _sharing(sig: np.ndarray, id: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of different groups that share a signature and, by sizes and places (of a first shared one), may be similar."""
+    order = np.lexsort((group, sig))
+    sig, id, group, n, at = sig[order], id[order], group[order], n[order].astype(np.int64), at[order].astype(np.int64)
+    new = np.r_[True, sig[1:] != sig[:-1]]
+    starts = np.flatnonzero(new)
+    ends = np.repeat(np.r_[starts[1:], len(sig)], np.diff(np.r_[starts, len(sig)]))
+    runs = np.flatnonzero(new | np.r_[True, group[1:] != group[:-1]])
+    after = np.repeat(np.r_[runs[1:], len(sig)], np.diff(np.r_[runs, len(sig)]))
+    # Each row meets the rows of its signature after those of its own group.
+    rows = np.flatnonzero(ends > after)
+    sizes = (ends - after)[rows]
+    for a, b in common.slices(sizes.tolist(), PAIRS):
+        i = np.repeat(rows[a:b], sizes[a:b])
+        j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
+        may = np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+        x, y = id[i[may]], id[j[may]]
+        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+
+
+def shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different groups that may be similar, from rows (id, component, n, prefix)."""
+    spark = sets.sparkSession
+    total = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    buckets = max(common.shuffle_partitions(spark), -(-total // (8 * BUCKET)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            lengths = np.array([len(x) for x in prefixes], np.int64)
+            if not lengths.sum():
+                continue
+            sig = common.mix(np.concatenate(prefixes))
+            id, group, n = (np.repeat(batch.column(c).to_numpy(), lengths) for c in range(3))
+            at = np.arange(len(sig)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+            # 32 bits within a bucket: equal ones of different shingles only add pairs to test.
+            parts = (sig.astype(np.uint32), id.astype(np.int64), group.astype(np.int64), n.astype(np.uint32), at.astype(np.uint32))
+            parts = [[_planes(x[a:b]) for a, b in zip(edges, edges[1:])] for x in (y[order] for y in parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "sig", "id", "grp", "n", "place"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(bucket, []).append([_unplanes(x, kind) for x, kind in zip(parts, (np.uint32, np.int64, np.int64, np.uint32, np.uint32))])
+        for bucket in list(held):
+            for a, b in _sharing(*(np.concatenate(x) for x in zip(*held.pop(bucket))), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("id").isNotNull())
-    hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint"))
-    files = common.files_for(hashed)
-    equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
-    same = common.cut(hashed.join(equal, ["fp", "fp2", "whole"]).select("id", "rep").where("id != rep").distinct(), files)
-    distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
-    # Different texts of one fingerprint are tested against its least id.
-    crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
-    pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), files)
+    dealt = sets.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket int, sig binary, id binary, grp binary, n binary, place binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint").where("a != b").distinct()
+
+
+def _tested(rows: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' sets are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +339,53 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    linked = both.mapInArrow(test, "a bigint, b bigint").union(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    return both.mapInArrow(test, "a bigint, b bigint")
+
+
+def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component): every non-null id, and the smallest id that links of similar texts reach.
+
+    Two texts are similar if the Jaccard similarity of their sets of k-word
+    shingles is ``similarity`` or more (two texts without a word are, too). Texts of
+    equal sets are joined at once. Then two SimHashes of the sets propose
+    links, of which those that connect a pair of tiles are tested on the sets;
+    this joins most of each group, but misses pairs. So all pairs between the
+    groups found that share a shingle of their prefixes, as any similar pair
+    does, are tested in the end.
+    """
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("id").isNotNull())
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(_common(rows, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in common.texts(batch.column(1))]
+            first = np.array([simhash(s) for s in sets], np.uint64)
+            second = np.array([simhash(common.mix(s)) for s in sets], np.uint64)
+            whole = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            prefixes = pa.array([_prefix(s, known.value, similarity).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (first, second, whole)), sizes, prefixes], names=["id", "fp", "fp2", "whole", "n", "prefix"])
+
+    hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint, n int, prefix binary"))
+    files = common.files_for(hashed)
+    equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
+    same = common.cut(hashed.select("id", "fp", "fp2", "whole").join(equal, ["fp", "fp2", "whole"]).select("id", "rep", "whole").where("id != rep").distinct(), files)
+    distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
+    # Different texts of one fingerprint are tested against its least id.
+    crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
+    pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), files)
+    linked = _tested(rows, pairs, k, similarity).union(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = components(linked)
-    return hashed.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    first = common.cut(hashed.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")), files)
+
+    # Of texts of equal sets only the least id's is compared.
+    sets = hashed.select("id", "whole", "n", "prefix").join(same.select("id", "whole"), ["id", "whole"], "left_anti").join(first, "id")
+    pairs = common.cut(shared_prefixes(sets, similarity), files)
+    joined = _tested(rows, pairs, k, similarity)
+    ends = joined.join(first.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    last = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("component").alias("least"))
+    return first.join(last, F.col("component") == F.col("node"), "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -100,6 +100,42 @@ def test_stage_keeps_one_of_similar_texts(spark):
     assert sorted(kept) == sorted(set(truth.values()))
 
 
+def edited(words, m, rng):
+    """The words with m of them, spread out, replaced by new ones."""
+    w = list(words)
+    for at in rng.choice(len(w) // 6, m, replace=False) * 6 + int(rng.integers(6)):
+        w[min(at, len(w) - 1)] = f"n{rng.integers(1 << 40)}"
+    return w
+
+
+def assert_groups(spark, rows):
+    ids = [i for i, _ in rows]
+    sets = [set(s.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    groups = {r.id: r.component for r in s.similar_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert pairs and sum(groups[a] != groups[b] for a, b in pairs) == 0, len(pairs)
+    assert groups == union(ids, pairs)
+
+
+def test_links_behind_a_false_family(spark):
+    """Texts about 0.7 alike, and of some of them a copy just over 0.8 alike."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(1 << 40, size=604)]
+    family = [edited(base, 11, rng) for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+    rows += [(1000 + i, " ".join(edited(w, 12, rng))) for i, w in enumerate(family[:60])]
+    assert 0.6 < jaccard(rows[0][1], rows[1][1]) < 0.8 <= jaccard(rows[0][1], rows[150][1])
+    assert_groups(spark, rows)
+
+
+def test_one_id_with_two_texts(spark):
+    """An id whose first text equals another id's: its second one is compared too."""
+    one, two = sentence(5, 90), " ".join(f"w{k}" for k in range(90))
+    rows = [(1, one), (2, one), (2, two), (3, two + " end")]
+    groups = {r.id: r.component for r in s.similar_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert groups == {1: 1, 2: 1, 3: 1}
+
+
 def test_awkward_rows(spark, awkward, empty):
     out = s.near_duplicates(awkward).collect()
     assert len(out) == awkward.count() and s.near_duplicates(empty).count() == 0
