@@ -128,6 +128,15 @@ def test_links_behind_a_false_family(spark):
     assert_groups(spark, rows)
 
 
+def test_short_texts(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(200):
+        w = [f"w{x}" for x in rng.integers(1 << 40, size=16 if k % 2 else 9)]
+        rows += [(2 * k, " ".join(w[: 8 if k % 2 == 0 else 13])), (2 * k + 1, " ".join(w))]
+    assert_groups(spark, rows)
+
+
 def test_one_id_with_two_texts(spark):
     """An id whose first text equals another id's: its second one is compared too."""
     one, two = sentence(5, 90), " ".join(f"w{k}" for k in range(90))
