@@ -372,7 +372,7 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
     equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
     same = common.cut(hashed.select("id", "fp", "fp2", "whole").join(equal, ["fp", "fp2", "whole"]).select("id", "rep", "whole").where("id != rep").distinct(), files)
     distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
-    # Different texts of one fingerprint are tested against its least id.
+    # Different texts of one fingerprint are tested against its least id here, and against all others by their prefixes below.
     crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
     pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), files)
     linked = _tested(rows, pairs, k, similarity).union(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))

@@ -137,6 +137,21 @@ def test_short_texts(spark):
     assert_groups(spark, rows)
 
 
+def test_second_text_of_a_fingerprint(spark):
+    """B has A's fingerprint; D is similar to B, but not to A."""
+    rng = np.random.default_rng(13)
+    fp = lambda w: s.simhash(s.shingle_set(" ".join(w).encode(), 5))
+    rows = []
+    for k in range(40):
+        a = [f"w{x}" for x in rng.integers(1 << 40, size=604)]
+        b = next(b for b in iter(lambda: edited(a, 1, rng), None) if fp(b) == fp(a))
+        d = edited(b, 13, rng)
+        if jaccard(" ".join(a), " ".join(d)) < 0.8 <= jaccard(" ".join(b), " ".join(d)) and fp(d) != fp(a):
+            rows += [(3 * k + i, " ".join(w)) for i, w in enumerate((a, b, d))]
+    assert len(rows) >= 15
+    assert_groups(spark, rows)
+
+
 def test_one_id_with_two_texts(spark):
     """An id whose first text equals another id's: its second one is compared too."""
     one, two = sentence(5, 90), " ".join(f"w{k}" for k in range(90))
