@@ -1,8 +1,10 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline as c
 from tessera.llm import simhash, surrogates, toxicity
-from tests.llm.test_simhash import jaccard
+from tests.llm.test_simhash import jaccard, union
 
 D = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,3 +72,26 @@ def test_awkward_rows(spark, awkward, empty):
         for _, stage in c.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.count() <= 3 * frame.count()
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """No shingle is left out, however many texts share it, and no pair may be lost."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    ids = [i for i, _ in rows]
+    sets = [simhash.shingle_set((t or "").encode(), 5) for _, t in rows]
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(code, kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(code))]
+    codes, linked = np.split(code, np.cumsum(sizes)[:-1]), []
+    for i, mine in enumerate(codes):
+        shared = np.bincount(np.concatenate([owner[order[starts[c] : starts[c + 1]]] for c in mine] or [np.zeros(0, int)]), minlength=len(sets))
+        js = np.flatnonzero(shared >= 0.8 * (sizes[i] + sizes - shared))
+        linked += [(ids[i], ids[j]) for j in js if j < i]
+    truth = union(ids, linked)
+    assert linked and {r.id: r.component for r in simhash.similar_groups(docs).collect()} == truth
+    kept = [r.doc_id for r in c.drop_near_duplicates(spark, docs, D).collect()]
+    assert sorted(kept) == sorted(set(truth.values()))
+    assert max(np.bincount(code)) >= 60
