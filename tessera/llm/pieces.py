@@ -14,14 +14,15 @@ A BPE encoding isn't a best path by scores but has this property: the encoding
 of each prefix extends that of a shorter prefix by one piece, and the last
 piece is the one edge whose pair with the piece before it is what BPE itself
 makes of these two pieces. So the relaxation keeps the one edge whose pair is
-compatible; pairs are tested by merging them once and remembered. This gives the
-library's ids exactly.
+compatible; pairs are tested by undoing their merges, the latest first, and
+remembered. This gives the library's ids exactly.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,9 +39,12 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What stands between words; no piece has it.
 BETWEEN = 0x110000
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Characters of a batch of words, and words remembered by a task.
-CHUNK, REMEMBERED = 1 << 21, 500_000
+#: Characters of a batch of texts and of a batch of new words, and words remembered by a task: what one worker holds.
+CHUNK, WORD_CHARS, REMEMBERED = 1 << 20, 1 << 18, 150_000
+#: Words beyond this length are relaxed by themselves, in parts of PART characters.
+LONG, PART = 1024, 1 << 16
 
 
 class Vocabulary:
@@ -61,17 +65,42 @@ class Vocabulary:
             raise ValueError("the model isn't BPE with byte fallback whose pieces begin words")
         self.longest = max(map(len, self.id))
         # Pieces that BPE never makes of their own characters aren't reachable as a whole.
-        self.usable = [p for p in self.id if len(p) == 1 or self.merge(list(p)) == [p]]
+        whole = {p: self.merge(list(p)) for p in self.id}
+        self.usable = [p for p, (symbols, _) in whole.items() if symbols == [p]]
         self.usable_ids = np.array([self.id[p] for p in self.usable], np.int64)
         self.codes = np.zeros((len(self.usable), self.longest), np.uint32)
         self.lengths = np.array([len(p) for p in self.usable], np.int64)
         for row, p in zip(self.codes, self.usable):
             row[: len(p)] = [ord(c) for c in p]
+        # When each piece is merged (single characters: 0), and the two pieces that its last merge joins.
+        self.when, self.left, self.right = np.zeros(self.size, np.int64), np.arange(self.size), np.arange(self.size)
+        self.when[list(self.id.values())] = np.argsort(np.argsort([self.rank[p] for p in self.id], kind="stable")) + 1
+        for p in self.usable:
+            if len(p) == 1:
+                self.when[self.id[p]] = 0
+            else:
+                at = whole[p][1]
+                self.left[self.id[p]], self.right[self.id[p]] = self.id.get(p[:at], -1), self.id.get(p[at:], -1)
+        # Polynomial hashes, so that the hash of two joined pieces follows from theirs; all pieces' differ.
+        self.hash, self.power = np.zeros(self.size, np.uint64), np.ones(self.size, np.uint64)
+        for p, i in self.id.items():
+            h = 0
+            for c in p:
+                h = (h * _BASE + ord(c) + 1) & _MASK
+            self.hash[i], self.power[i] = h, pow(_BASE, len(p), 1 << 64)
+        ids = np.array(list(self.id.values()))
+        self.by_hash = ids[np.argsort(self.hash[ids])]
+        self.hashes = self.hash[self.by_hash]
+        if len(np.unique(self.hashes)) < len(self.hashes):
+            raise ValueError("two pieces have one hash")
         self.pairs = PairTable(self)
+        self._lists = [x.tolist() for x in (self.when, self.left, self.right)]
+        self.one_pair = lru_cache(1 << 17)(self._one_pair)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """BPE of a sequence of symbols: the pair of the least rank merges first, the leftmost of equals."""
+    def merge(self, symbols: list[str]) -> tuple[list[str], int]:
+        """BPE of a sequence of symbols: the pair of the least rank merges first, the leftmost of equals; and the length of the left side of the last merge."""
+        last = 0
         after = list(range(1, len(symbols))) + [-1]
         before = [-1, *range(len(symbols) - 1)]
         heap: list[tuple[float, int, int, str]] = []
@@ -87,28 +116,67 @@ class Vocabulary:
             _, i, j, merged = heapq.heappop(heap)
             if not symbols[i] or after[i] != j or symbols[i] + symbols[j] != merged:
                 continue
+            last = len(symbols[i])
             symbols[i], symbols[j] = merged, ""
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             push(before[i])
             push(i)
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], last
 
     def string(self, i: int) -> str:
         """What an id spells; characters outside the vocabulary stand as ids beyond it until they become bytes."""
         return self.pieces[i] if i < self.size else chr(i - self.size)
 
-    def compatible(self, pair: int) -> bool:
-        """Whether BPE splits the characters of two pieces, packed as first * 2^21 + second, into just these pieces."""
-        x, y = self.string(pair >> 21), self.string(pair & 0x1FFFFF)
-        return self.merge(list(x + y)) == [x, y]
+    def compatible(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether BPE splits the characters of two pieces, packed as first * 2^21 + second, into just these pieces.
+
+        The later of the two sides' last merges is undone again and again. The split
+        stands unless two symbols that then meet at the border are a piece that
+        would have been merged before the merge that was undone (or, as it is further
+        left, at the same time as one of the second side).
+        """
+        good = np.ones(len(pairs), bool)
+        # A character outside the vocabulary merges with nothing.
+        at = np.flatnonzero((pairs >> 21 < self.size) & ((pairs & 0x1FFFFF) < self.size))
+        x, y = pairs[at] >> 21, pairs[at] & 0x1FFFFF
+        limit = np.full(len(at), np.iinfo(np.int64).max)
+        while len(at):
+            joined = self.hash[x] * self.power[y] + self.hash[y]
+            found = np.minimum(np.searchsorted(self.hashes, joined), len(self.hashes) - 1)
+            broken = (self.hashes[found] == joined) & (self.when[self.by_hash[found]] < limit)
+            good[at[broken]] = False
+            first, second = self.when[x], self.when[y]
+            go = ~broken & ((first > 0) | (second > 0))
+            one = first > second
+            limit = np.where(one, first, second + 1)[go]
+            x, y, at = np.where(one, self.right[x], x)[go], np.where(one, y, self.left[y])[go], at[go]
+        return good
+
+
+    def _one_pair(self, pair: int) -> bool:
+        """``compatible`` of one pair."""
+        x, y = pair >> 21, pair & 0x1FFFFF
+        if x >= self.size or y >= self.size:
+            return True
+        (when, left, right), limit = self._lists, self.size + 1
+        while True:
+            joined = self.id.get(self.pieces[x] + self.pieces[y])
+            if joined is not None and when[joined] < limit:
+                return False
+            if when[x] > when[y]:
+                limit, x = when[x], right[x]
+            elif when[y]:
+                limit, y = when[y] + 1, left[y]
+            else:
+                return True
 
 
 class PairTable:
     """Known answers of ``compatible`` in an open hash table that is read for many pairs at once."""
 
-    def __init__(self, vocab: Vocabulary, bits: int = 21) -> None:
+    def __init__(self, vocab: Vocabulary, bits: int = 19) -> None:
         self.vocab, self.shift = vocab, np.uint64(64 - bits)
         self.keys, self.good = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
         self.held = 0
@@ -127,20 +195,24 @@ class PairTable:
 
     def __call__(self, pairs: np.ndarray) -> np.ndarray:
         at, known = self._places(pairs)
-        if not known.all():
-            new = np.unique(pairs[~known])
-            if self.held + len(new) > len(self.keys) // 2:  # start over rather than fill up
-                self.keys[:], self.held = -1, 0
-                new = np.unique(pairs)
-            if len(new) > len(self.keys) // 2:
-                answers = np.fromiter(map(self.vocab.compatible, new.tolist()), bool, len(new))
-                return answers[np.searchsorted(new, pairs)]
-            for pair in new.tolist():
-                place = int(self._places(np.array([pair]))[0][0])
-                self.keys[place], self.good[place] = pair, self.vocab.compatible(pair)
-            self.held += len(new)
-            at, _ = self._places(pairs)
-        return self.good[at]
+        if known.all():
+            return self.good[at]
+        new = np.unique(pairs[~known])
+        good = self.good[at]
+        good[~known] = self.vocab.compatible(new)[np.searchsorted(new, pairs[~known])]
+        if self.held + len(new) > len(self.keys) // 2:  # start over rather than fill up
+            self.keys[:], self.held = -1, 0
+            new = new[: len(self.keys) // 2]
+        self.held += len(new)
+        answers = self.vocab.compatible(new)
+        while len(new):
+            at, known = self._places(new)
+            _, first = np.unique(at, return_index=True)  # of pairs that belong to one place, one takes it now
+            self.keys[at[first]], self.good[at[first]] = new[first], answers[first]
+            left = np.ones(len(new), bool)
+            left[first] = False
+            new, answers = new[left], answers[left]
+        return good
 
 
 @lru_cache(4)
@@ -246,10 +318,8 @@ def _relax(end: np.ndarray, start: np.ndarray, piece: np.ndarray, first: np.ndar
     return last, origin
 
 
-def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of some non-empty words, one after another, and the number of each word's."""
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+def _encode_short(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Last pieces of some words, one after another, and the number of each word's."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(lengths + 1) - lengths - 1
     end, start, piece = edges(words, vocab)
@@ -263,11 +333,32 @@ def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
         open_ = at > stop
         at, stop = at[open_], stop[open_]
     ends = np.flatnonzero(met)
-    count = np.diff(np.searchsorted(ends, np.r_[first + 1, total + 1]))
-    flat = last[ends]
+    return last[ends], np.diff(np.searchsorted(ends, np.r_[first + 1, total + 1]))
+
+
+def _encode_long(word: str, vocab: Vocabulary) -> np.ndarray:
+    """Pieces of one long word: the edges of one part of it at a time, relaxed one after another; 8 bytes a character are held."""
+    last, origin = array("i", [-1]) * (len(word) + 1), array("i", [0]) * (len(word) + 1)
+    good = vocab.one_pair
+    for a in range(0, len(word), PART):
+        begin = max(0, a - vocab.longest)
+        end, start, piece = edges([word[begin : a + PART]], vocab)
+        order = np.argsort(end, kind="stable")
+        order = order[end[order] > a - begin]
+        for e, s, p in zip((end[order] + begin).tolist(), (start[order] + begin).tolist(), piece[order].tolist()):
+            if s == 0 or good(last[s] << 21 | p):
+                last[e], origin[e] = p, s
+    out, at = array("i"), len(word)
+    while at:
+        out.append(last[at])
+        at = origin[at]
+    return np.frombuffer(out, np.int32)[::-1].astype(np.int64)
+
+
+def _spelt(flat: np.ndarray, count: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts with the bytes of the characters outside the vocabulary in place of these."""
     outside = np.flatnonzero(flat >= vocab.size)
     if len(outside):
-        # Characters outside the vocabulary become their bytes.
         spelt = [[vocab.bytes[b] for b in chr(i).encode("utf-8", "surrogatepass")] for i in (flat[outside] - vocab.size).tolist()]
         size = np.ones(len(flat), np.int64)
         size[outside] = [len(x) for x in spelt]
@@ -278,6 +369,20 @@ def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     return flat.astype(np.int32), count
 
 
+def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some non-empty words, one after another, and the number of each word's."""
+    flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    lengths = [len(w) for w in words]
+    for a, b in common.slices([n if n <= LONG else WORD_CHARS for n in lengths], WORD_CHARS):
+        if lengths[a] > LONG:  # a slice of its own
+            pieces = _encode_long(words[a], vocab)
+            found = _spelt(pieces, np.array([len(pieces)]), vocab)
+        else:
+            found = _spelt(*_encode_short(words[a:b], vocab), vocab)
+        flat.append(found[0]), count.append(found[1])
+    return np.concatenate(flat), np.concatenate(count)
+
+
 def words_of(text: str) -> list[str]:
     """A text as the model sees it: a mark before it and for each space; cut before each run of marks."""
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []

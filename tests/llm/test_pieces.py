@@ -66,6 +66,22 @@ def test_long_words(library):
     assert [x.tolist() for x in p.Encoder().encode(texts)] == library.encode(texts)
 
 
+def test_words_of_a_million_characters(library):
+    """Random letters never let an encoding settle; equal ones keep every phase; both end in seconds."""
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/é\U0001f600") for _ in range(1_000_000)), "a" * 1_000_000):
+        assert p.Encoder().encode([text])[0].tolist() == library.encode(text)
+
+
+def test_pairs_are_as_merging_makes_them():
+    vocab = p.vocabulary()
+    rng = random.Random(4)
+    ids = [rng.choice(vocab.usable_ids.tolist()) for _ in range(40_000)]
+    pairs = np.array([a << 21 | b for a, b in zip(ids[::2], ids[1::2])])
+    merged = [vocab.merge(list(vocab.string(a) + vocab.string(b)))[0] == [vocab.string(a), vocab.string(b)] for a, b in zip(ids[::2], ids[1::2])]
+    assert vocab.compatible(pairs).tolist() == merged == [vocab.one_pair(x) for x in pairs.tolist()]
+
+
 def test_decoding_bytes_and_controls():
     own, vocab = p.encoder(), p.vocabulary()
     smile = [vocab.bytes[b] for b in "\U0001f600".encode()]
