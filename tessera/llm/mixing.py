@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Hexadecimal digits of the hash that one histogram resolves, and all digits used.
-STEP, DIGITS = 3, 15
+#: Hexadecimal digits of the hash that one histogram resolves, digits of the hash of id and text, and digits that tell equal rows apart.
+STEP, DIGITS, APART = 3, 15, 12
 CAP = 3.0
 #: The driver holds one row a source while it shares out the targets.
 MAX_SOURCES = 100_000
@@ -50,48 +50,53 @@ def share(sizes: list[tuple[str | None, int]], cap: float = CAP) -> dict[str | N
     return target
 
 
-def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
-    """(id, source, size, source_size, target, taken): the words of each document that the mix takes, repeats counted.
+def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, taken, copies): how often the mix takes each row, and the words that it takes, repeats counted; and the columns ``keep``.
 
-    Documents of one hash (equal ids) are taken together. A null id hashes as
-    the empty text. Sources without a word have target 0. The words that a
-    source takes differ from its target by less than half its largest group of
-    equal hashes, rounded up.
+    The threshold is on a hash of id and text (nulls count as empty), so reruns
+    take the same documents. Rows equal in both are interchangeable; a
+    random number tells them apart where the threshold falls among them, so
+    that as many of them go in as fit. So the words that a source takes differ from
+    its target by half a document at most. Sources without a word have target 0.
     """
-    hash_ = F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), 1, DIGITS)
-    docs = common.cut(df.select(F.col(id).alias("id"), F.col(source).cast("string").alias("src"), word_count(text).alias("size"), hash_.alias("h")))
-    sums = docs.groupBy("src").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    hash_ = F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")))), 1, DIGITS)
+    apart = F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, APART)
+    own = [F.col(id).alias("__id"), F.col(source).cast("string").alias("__src"), word_count(text).alias("__size"), F.concat(hash_, apart).alias("__h")]
+    docs = common.cut(df.select(*own, *keep))  # kept as it is from here on, random numbers too
+    sums = docs.groupBy("__src").agg(F.sum("__size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [(r.src, r.size) for r in sums]
+    sizes = [(r["__src"], r["size"]) for r in sums]
     targets = share(sizes, cap)
     spark = df.sparkSession
-    plan = [(name, n, targets[name], int(targets[name] // n) if n else 0) for name, n in sizes]
-    plan = [(name, n, t, k, t - k * n) for name, n, t, k in plan]
-    state = spark.createDataFrame([(name, "", float(rest)) for name, n, _, _, rest in plan], "src string, prefix string, budget double")
-    # One threshold a source: hashes under it are taken. Refine the boundary bucket STEP digits at a time.
-    for at in range(0, DIGITS, STEP):
-        inside = docs.join(F.broadcast(state), docs.src.eqNullSafe(state.src) & docs.h.startswith(state.prefix)).select(state.src, "prefix", "budget", F.substring("h", at + 1, STEP).alias("digit"), "size")
-        histogram = inside.groupBy("src", "prefix", "budget", "digit").agg(F.sum("size").alias("size"))
+    passes = {name: int(targets[name] // n) if n else 0 for name, n in sizes}
+    state = spark.createDataFrame([(name, "", float(targets[name] - passes[name] * n)) for name, n in sizes], "src string, prefix string, budget double")
+    # One threshold a source: hashes under it are taken. Refine the boundary bucket STEP digits at a time, until it has one document.
+    edges: dict[str | None, tuple[str, bool]] = {}
+    for at in range(0, DIGITS + APART, STEP):
+        inside = docs.join(F.broadcast(state), F.col("__src").eqNullSafe(F.col("src")) & F.col("__h").startswith(F.col("prefix")))
+        histogram = inside.groupBy("src", "prefix", "budget", F.substring("__h", at + 1, STEP).alias("digit")).agg(F.sum("__size").alias("size"), F.sum((F.col("__size") > 0).cast("long")).alias("n"))
         running = F.sum("size").over(Window.partitionBy("src").orderBy("digit"))
         boundary = (
             histogram.withColumn("upto", running)
             .where(F.col("upto") > F.col("budget"))
             .groupBy("src", "prefix", "budget")
-            .agg(F.min(F.struct("digit", "upto", "size")).alias("b"))
-            .select("src", F.concat("prefix", "b.digit").alias("prefix"), (F.col("budget") - F.col("b.upto") + F.col("b.size")).alias("budget"), F.col("b.size").alias("last"))
+            .agg(F.min(F.struct("digit", "upto", "size", "n")).alias("b"))
+            .select("src", F.concat("prefix", "b.digit").alias("prefix"), (F.col("budget") - F.col("b.upto") + F.col("b.size")).alias("budget"), F.col("b.size").alias("last"), F.col("b.n").alias("n"))
         )
         rows = boundary.collect()  # one row a source at most, of which there are at most MAX_SOURCES
-        found = {r.src: r for r in rows} if at == 0 else {k: {r.src: r for r in rows}.get(k) or v for k, v in found.items()}
+        # What is at the boundary goes in if that comes nearer to the budget; a source without a boundary takes no more.
+        edges |= {r.src: (r.prefix, bool(r.last - r.budget < r.budget)) for r in rows}
+        rows = [r for r in rows if r.n > 1]
         if not rows:
             break
         state = spark.createDataFrame([(r.src, r.prefix, r.budget) for r in rows], "src string, prefix string, budget double")
-    # The group at the boundary goes in if that comes nearer to the budget; a source without a boundary takes no more.
-    limit = {k: (r.prefix, bool(r.last - r.budget < r.budget)) for k, r in found.items()}
-    known = spark.createDataFrame([(name, n, float(t), k, *limit.get(name, ("", False))) for name, n, t, k, _ in plan], "s string, source_size long, target double, passes long, edge string, with_edge boolean")
-    joined = docs.join(F.broadcast(known), docs.src.eqNullSafe(known.s))
-    more = F.when(F.col("edge") == "", F.lit(0)).when((F.col("h") < F.col("edge")) | (F.col("with_edge") & F.col("h").startswith(F.col("edge"))), 1).otherwise(0)
-    return joined.select(F.col("id").alias(id), F.col("src").alias(source), "size", "source_size", "target", (F.col("size") * (F.col("passes") + more)).alias("taken"), (F.col("passes") + more).cast("int").alias("copies"))
+    known = spark.createDataFrame([(name, n, float(targets[name]), passes[name], *edges.get(name, ("", False))) for name, n in sizes], "src string, source_size long, target double, passes long, edge string, with_edge boolean")
+    joined = docs.join(F.broadcast(known), F.col("__src").eqNullSafe(F.col("src")))
+    more = F.when(F.col("edge") == "", F.lit(0)).when((F.col("__h") < F.col("edge")) | (F.col("with_edge") & F.col("__h").startswith(F.col("edge"))), 1).otherwise(0)
+    copies = F.col("passes") + more
+    result = {id: F.col("__id"), source: F.col("__src"), "size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("__size") * copies, "copies": copies.cast("int")}
+    return joined.select(*(c.alias(name) for name, c in result.items()), *(docs[c] for c in keep if c not in result))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +107,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -125,18 +130,16 @@ g AS (
   FROM t LEFT JOIN l ON true),
 b AS (
   SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS passes FROM g),
-k AS (
-  SELECT source, h, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+k AS (  -- rows of one hash are equal; they are numbered
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, size > 0 DESC, n ROWS UNBOUNDED PRECEDING) AS upto
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, h) AS n FROM d)),
 e AS (
-  SELECT k.source, k.h, upto <= target - passes * source_size
+  SELECT k.doc_id, k.size, b.source_size, b.target, b.passes,
+         upto <= target - passes * source_size
          OR (upto - size <= target - passes * source_size
              AND upto - (target - passes * source_size) < (target - passes * source_size) - (upto - size)) AS more,
-         upto > target - passes * source_size AS beyond
-  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source),
-x AS (SELECT source, bool_or(beyond) AS bounded FROM e GROUP BY source)
-SELECT d.doc_id, d.size, b.source_size, b.target,
-       CAST(d.size * (b.passes + CASE WHEN e.more AND x.bounded THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
-JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
-JOIN x ON d.source IS NOT DISTINCT FROM x.source
+         bool_or(upto > target - passes * source_size) OVER (PARTITION BY k.source) AS bounded
+  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN more AND bounded THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM e
 """

@@ -34,6 +34,24 @@ def test_sources_come_near_their_targets(spark):
     check(out)
 
 
+def test_rows_without_an_id_and_equal_rows(spark, tmp_path):
+    """Such rows are taken one by one too, and SQL takes as many words."""
+    rows = [(None, sentence(k, 5), "a") for k in range(100)] + [(k, sentence(k, 5), "b") for k in range(100)] + [(7, "one two three", "c")] * 100 + [(None, None, "c")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(frame).collect()
+    by = {}
+    for r in out:
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    assert len(out) == len(rows) and all(abs(sum(taken) - target) <= 2.5 for (_, target), taken in by.items())
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    key = lambda r: tuple((x is None, x) for x in r)
+    expected = sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({mixing.OP8_SQL})").fetchall(), key=key)
+    assert sorted((tuple(r[c] for c in columns) for r in out), key=key) == expected
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_against_sql(spark, sf):
     d = f"/root/testdata/{sf}"
