@@ -12,7 +12,9 @@ links (a forest), never all pairs of a group; connected components do the rest.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -319,22 +321,58 @@ def shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint").where("a != b").distinct()
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles at each of 2 to 4 places a shingle (their low bits), packed."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has: places whose parities differ."""
+    size = min(len(x), len(y))
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for n in (len(x), len(y)):
+        while n > size:  # the halves of a longer map laid over each other are the map of half as many places
+            n //= 2
+            if len(x) > len(y):
+                a = (a >> 8 * n) ^ (a & (1 << 8 * n) - 1)
+            else:
+                b = (b >> 8 * n) ^ (b & (1 << 8 * n) - 1)
+    return (a ^ b).bit_count()
+
+
+def _possible(maps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids that may be similar by their sets' sizes and parity maps, from rows (id, n, map); no similar pair is lost."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            keep = [least_difference(x, y) <= share * (m + n) + 1e-6 for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = maps.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("map").alias("x"))
+    y = maps.select(F.col("id").alias("b"), F.col("n"), F.col("map").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-6)
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a bigint, b bigint")
+
+
 def _tested(rows: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets are similar."""
+    """The pairs (a, b) of ids whose texts' sets are similar; the texts of these ids alone are sent."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, k).tobytes() for t in common.texts(batch.column(1))], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t, 1) for t in common.texts(batch.column(1))], pa.binary())], names=["id", "t"])
 
-    sets = rows.join(needed, "id", "left_semi").mapInArrow(sets_of, "id bigint, s binary")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    bodies = rows.join(needed, "id", "left_semi").mapInArrow(packed, "id bigint, t binary")
+    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lru_cache(64)(lambda t: shingle_set(zlib.decompress(t), k))
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = sets(x), sets(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -365,23 +403,25 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
             whole = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
             prefixes = pa.array([_prefix(s, known.value, similarity).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (first, second, whole)), sizes, prefixes], names=["id", "fp", "fp2", "whole", "n", "prefix"])
+            maps = pa.array([parity_map(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (first, second, whole)), sizes, prefixes, maps], names=["id", "fp", "fp2", "whole", "n", "prefix", "map"])
 
-    hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint, n int, prefix binary"))
+    hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint, n int, prefix binary, map binary"))
     files = common.files_for(hashed)
     equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
     same = common.cut(hashed.select("id", "fp", "fp2", "whole").join(equal, ["fp", "fp2", "whole"]).select("id", "rep", "whole").where("id != rep").distinct(), files)
     distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
     # Different texts of one fingerprint are tested against its least id here, and against all others by their prefixes below.
     crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
-    pairs = common.cut(links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), files)
+    maps = hashed.select("id", "n", "map")
+    pairs = common.cut(_possible(maps, links(distinct, 4, WIDE).select("a", "b").union(crowded).distinct(), similarity), files)
     linked = _tested(rows, pairs, k, similarity).union(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = components(linked)
     first = common.cut(hashed.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")), files)
 
     # Of texts of equal sets only the least id's is compared.
     sets = hashed.select("id", "whole", "n", "prefix").join(same.select("id", "whole"), ["id", "whole"], "left_anti").join(first, "id")
-    pairs = common.cut(shared_prefixes(sets, similarity), files)
+    pairs = common.cut(_possible(maps, shared_prefixes(sets, similarity), similarity), files)
     joined = _tested(rows, pairs, k, similarity)
     ends = joined.join(first.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
     last = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("component").alias("least"))
