@@ -3,11 +3,14 @@
 Features are the distinct hashed words of a text and their first PREFIXES
 letters, so that forms of one stem count together. Training takes a bounded
 sample of labelled rows (``MAX_ROWS``, those of the smallest hash of the id), keeps
-the ``FEATURES`` hash buckets whose presence differs most between the classes (chi
-square), and fits on the driver. For each sampled text with identity terms, every
-term in its sentences is swapped for others of its kind; the squared change of
-the score between a text and its swapped form is penalised, so a neutral mention
-of a group has no weight of its own.
+the hash buckets whose presence differs between the classes with a chi square of
+``SIGNIFICANT`` at least, and those of the identity terms whatever theirs, and
+fits on the driver. Every sampled row gives counterfactual pairs: identity terms in its
+sentences are swapped for others of their kind; a row without such a term first
+gets a sentence that mentions a group neutrally, which is compared with the
+text without it, and whose term is swapped. The squared change of the score
+within the pairs is penalised, so a neutral mention has no weight of its own,
+whatever company the group keeps in the labelled rows.
 """
 
 from __future__ import annotations
@@ -27,22 +30,46 @@ from tessera.llm import common
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
-MAX_ROWS, FEATURES = 20_000, 512
+MAX_ROWS, SIGNIFICANT = 20_000, 12.0
 #: Sampled rows in which a feature must be.
 MIN_ROWS = 5
 #: Weights of the squared score change and of the squared weights; steps of the optimiser.
 SWAP_PENALTY, RIDGE, STEPS = 1.0, 1e-4, 300
 SWAPS = 2
-#: Terms that may stand for each other, by kind and language.
+# Words for groups of people. The terms of a row may stand for each other.
 IDENTITY_TERMS = (
-    ("woman", "man"), ("women", "men"), ("girl", "boy"), ("girls", "boys"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european", "arab"), ("gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual"),
-    ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("disabled", "deaf", "blind"), ("old", "young"),
-    ("femme", "homme"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("frau", "mann"), ("frauen", "männer"), ("muslime", "christen", "juden"),
-    ("mujer", "hombre"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
+    ("woman", "man"), ("women", "men"), ("girl", "boy"), ("girls", "boys"), ("female", "male"), ("mother", "father"), ("wife", "husband"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "protestant", "atheist"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "catholics", "protestants", "atheists"),
+    ("black", "white", "asian", "latino", "african", "european", "american", "arab", "indian", "chinese", "mexican", "roma"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer", "heterosexual", "homosexual"),
+    ("immigrant", "citizen", "refugee", "foreigner", "native"), ("immigrants", "citizens", "refugees", "foreigners", "natives"),
+    ("disabled", "deaf", "blind", "autistic", "paralysed"), ("old", "young", "elderly", "teenage"),
+    ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "athées"), ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"), ("immigrés", "citoyens", "réfugiés", "étrangers"), ("handicapés", "sourds", "aveugles"), ("vieux", "jeunes"),
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"), ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"), ("einwanderer", "bürger", "flüchtlinge", "ausländer"), ("behinderte", "gehörlose", "blinde"), ("alte", "junge"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "ateos"), ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"), ("inmigrantes", "ciudadanos", "refugiados", "extranjeros"), ("discapacitados", "sordos", "ciegos"), ("viejos", "jóvenes"),
 )
-_KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
+#: Neutral sentences that mention a group, each in the language of some of the terms.
+TEMPLATES = tuple(
+    (text, tuple(kind for kind in IDENTITY_TERMS if first <= IDENTITY_TERMS.index(kind) < last))
+    for first, last, texts in (
+        (0, 15, ("Some {} people live here.", "The {} neighbours came to dinner.", "We spoke with {} readers.")),
+        (15, 25, ("Des {} habitent ici.", "Nous avons parlé avec les {}.")),
+        (25, 34, ("Hier wohnen auch {}.", "Wir haben mit {} gesprochen.")),
+        (34, len(IDENTITY_TERMS), ("Aquí viven {}.", "Hablamos con los {}.")),
+    )
+    for text in texts
+)
+_KIND: dict[str, tuple[str, ...]] = {}
+for _kind in IDENTITY_TERMS:
+    for _term in _kind:
+        _KIND.setdefault(_term, _kind)
 _TOKEN = re.compile(r"\w+")
 
 
@@ -61,19 +88,31 @@ def encode(words: set[str]) -> list[int]:
     return sorted({f for w in words for f in _buckets(w)})
 
 
-def swapped(text: str) -> list[list[int]]:
-    """Up to SWAPS counterfactual encodings: every identity term replaced by the next, or the one after, of its kind; none without such a term."""
+def _other(term: str, shift: int) -> str:
+    kind = _KIND[term]
+    return kind[(kind.index(term) + shift) % len(kind)]
+
+
+def counterfactuals(text: str) -> list[tuple[list[int], list[int]]]:
+    """Pairs of a text and its counterfactual, each as (features that come, features that go).
+
+    With identity terms: up to SWAPS pairs in which every term is replaced by the
+    next, or the one after, of its kind. Without: the text with a neutral mention
+    against the text without it, and that mention with another group.
+    """
     found = set(tokens(text))
     terms = found & _KIND.keys()
-    out = []
-    for shift in range(1, SWAPS + 1) if terms else ():
-        words = found - terms
-        for t in terms:
-            kind = _KIND[t]
-            words = words | {kind[(kind.index(t) + shift) % len(kind)]}
-        if words != found:
-            out.append(encode(words))
-    return out
+    if terms:
+        rest = found - terms
+        pairs = [(found, rest | {_other(t, shift) for t in terms}) for shift in range(1, SWAPS + 1)]
+    else:
+        draw = xxhash.xxh32_intdigest(text)
+        sentence, kinds = TEMPLATES[draw % len(TEMPLATES)]
+        term = (kind := kinds[draw // 97 % len(kinds)])[draw // 8191 % len(kind)]
+        one, two = (found | set(tokens(sentence.format(t))) for t in (term, _other(term, 1)))
+        pairs = [(found, one), (one, two)]
+    coded = [(set(encode(a)), set(encode(b))) for a, b in pairs if a != b]
+    return [(sorted(b - a), sorted(a - b)) for a, b in coded]
 
 
 @dataclass
@@ -92,67 +131,111 @@ def _matrix(rows: list[list[int]], place: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[column >= 0], column[column >= 0]
 
 
-def optimise(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[int]]], columns: np.ndarray, swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Full-batch Adam on log loss + ridge + swap_penalty * mean squared change of the logit under a swap."""
-    place = np.full(1 << BITS, -1, np.int64)
-    place[columns] = np.arange(len(columns))
-    r, c = _matrix(rows, place)
-    n, k = len(rows), len(columns)
-    sr, sc = _matrix([swap for _, swap in pairs], place)
-    base = np.array([i for i, _ in pairs], np.int64)
-    share = labels.mean() if n else 0.0
-    w, b = np.zeros(k), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for t in range(1, STEPS + 1 if n else 1):
-        logit = np.bincount(r, w[c], n) + b
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / n
+class Objective:
+    """Log loss + ridge + swap_penalty * mean squared change of the logit within counterfactual pairs, and its gradient."""
+
+    def __init__(self, rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], columns: np.ndarray, swap_penalty: float) -> None:
+        place = np.full(1 << BITS, -1, np.int64)
+        place[columns] = np.arange(len(columns))
+        self.labels, self.n, self.k, self.pairs, self.swap_penalty = labels, len(rows), len(columns), len(pairs), swap_penalty
+        self.x, self.comes, self.goes = _matrix(rows, place), _matrix([a for a, _ in pairs], place), _matrix([b for _, b in pairs], place)
+
+    def __call__(self, wb: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = wb[:-1], wb[-1]
+        (r, c), n, k = self.x, self.n, self.k
+        logit = np.clip(np.bincount(r, w[c], n) + b, -30, 30)
+        p = 1 / (1 + np.exp(-logit))
+        loss = (np.logaddexp(0, logit) - self.labels * logit).sum() / n + RIDGE / 2 * (w * w).sum()
+        error = (p - self.labels) / n
         g = np.bincount(c, error[r], k) + RIDGE * w
-        if len(pairs):
-            change = (logit - b)[base] - np.bincount(sr, w[sc], len(pairs))
-            pull = 2 * swap_penalty * change / len(pairs)
-            g += np.bincount(c, np.bincount(base, pull, n)[r], k) - np.bincount(sc, pull[sr], k)
-        g = np.r_[g, error.sum()]
+        if self.pairs and self.swap_penalty:
+            (ra, ca), (rb, cb), m = self.comes, self.goes, self.pairs
+            change = np.bincount(ra, w[ca], m) - np.bincount(rb, w[cb], m)
+            loss += self.swap_penalty * (change**2).sum() / m
+            pull = 2 * self.swap_penalty * change / m
+            g += np.bincount(ca, pull[ra], k) - np.bincount(cb, pull[rb], k)
+        return loss, np.r_[g, error.sum()]
+
+
+def optimise(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], columns: np.ndarray, swap_penalty: float = SWAP_PENALTY) -> Model:
+    """Full-batch Adam on the objective; without rows the intercept alone says that label 1 is rare."""
+    share = labels.mean() if len(rows) else 0.0
+    wb = np.r_[np.zeros(len(columns)), np.log((share + 1e-3) / (1 - share + 1e-3))]
+    objective = Objective(rows, labels, pairs, columns, swap_penalty)
+    m, v = np.zeros(len(wb)), np.zeros(len(wb))
+    for t in range(1, STEPS + 1 if len(rows) else 1):
+        _, g = objective(wb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        wb = wb - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[columns] = w
-    return Model(weights, b)
+    weights[columns] = wb[:-1]
+    return Model(weights, float(wb[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Train on at most ``max_rows`` labelled rows; null labels, ids without a text and null texts are left out.
-
-    An id with several labels counts as labelled 1 if one of them is. Without
-    any labelled row the model gives every text the same low score.
-    """
+def training_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(i, y, x, comes, goes): at most ``max_rows`` labelled rows, their features and those of their counterfactual pairs; checkpointed."""
     marked = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = marked.orderBy(F.xxhash64("k"), "k").limit(max_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(sample), F.col("i") == F.col("k"))
+    # One text an id, however often the id comes: the bound of the sample holds for what follows.
+    rows = rows.groupBy("i", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    lists = pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = common.strings(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([encode(set(tokens(t))) for t in body], pa.list_(pa.int32())), pa.array([swapped(t) for t in body], pa.list_(pa.list_(pa.int32())))], names=["i", "y", "x", "swaps"])
+            body = common.strings(batch.column(2))
+            pairs = [counterfactuals(t) for t in body]
+            coded = [encode(set(tokens(t))) for t in body]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.list_(pa.int32())), *(pa.array([[p[k] for p in ps] for ps in pairs], lists) for k in (0, 1))], names=["i", "y", "x", "comes", "goes"])
 
     kind = docs.schema[id].dataType.simpleString()
-    coded = common.cut(rows.select("i", "t", "y").mapInArrow(run, f"i {kind}, y int, x array<int>, swaps array<array<int>>"))
+    return common.cut(rows.select("i", "y", "t").mapInArrow(run, f"i {kind}, y int, x array<int>, comes array<array<int>>, goes array<array<int>>"))
+
+
+def used_features(coded: DataFrame) -> np.ndarray:
+    """The hash buckets that tell the classes apart, and those of the identity terms, sorted: at most 2^BITS numbers."""
     n, positive = coded.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    seen = coded.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    gain = (F.col("p") * n - F.col("n") * positive) ** 2 / (F.col("n") * F.lit(float(max(1, n))) * 1.0)
-    columns = np.sort(np.array([r.f for r in seen.where(f"n >= {MIN_ROWS}").orderBy(gain.desc(), "f").limit(FEATURES).collect()], np.int64))
-    used = F.array(*[F.lit(int(x)) for x in columns]) if len(columns) else F.array().cast("array<int>")
-    # At most max_rows rows of at most FEATURES numbers each come to the driver.
-    found = coded.select("i", "y", F.array_intersect("x", used).alias("x"), F.transform("swaps", lambda s: F.array_intersect(s, used)).alias("swaps")).collect()
-    found.sort(key=lambda r: (str(r.i), r.y, r.x))
-    pairs = [(k, s) for k, r in enumerate(found) for s in r.swaps]
+    seen = coded.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("p")).where(f"n >= {MIN_ROWS} and n < {n}")
+    # Chi square of presence against label, of the two by two table.
+    gap = F.col("p") * float(n) - F.col("n") * float(positive)
+    chi = float(max(1, n)) * gap * gap / (F.col("n") * (float(n) - F.col("n")) * float(max(1, positive * (n - positive))))
+    found = seen.where(chi >= SIGNIFICANT).select("f").toArrow().column("f").to_numpy()
+    return np.union1d(found.astype(np.int64), np.array(encode(set(_KIND)), np.int64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, swap_penalty: float = SWAP_PENALTY) -> Model:
+    """Train on at most ``max_rows`` labelled rows; null labels, ids without a text and null texts are left out.
+
+    An id with several labels counts as labelled 1 if one of them is; of its
+    texts one is taken. Without any labelled row the model gives every text the same
+    low score.
+    """
+    coded = training_rows(docs, labels, id, text, label, max_rows)
+    columns = used_features(coded)
+    used = np.zeros(1 << BITS, bool)
+    used[columns] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[2] = pa.array([[f for f in x if keep[f]] for x in columns[2].to_pylist()], pa.list_(pa.int32()))
+            for k in (3, 4):
+                columns[k] = pa.array([[[f for f in x if keep[f]] for x in xs] for xs in columns[k].to_pylist()], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    # At most max_rows rows of their used features come to the driver.
+    found = coded.mapInArrow(run, coded.schema).collect()
+    found.sort(key=lambda r: str(r.i))
+    pairs = [pair for r in found for pair in zip(r.comes, r.goes)]
     return optimise([r.x for r in found], np.array([r.y for r in found], float), pairs, columns, swap_penalty)
 
 
 class Scorer:
     """Scores of texts; remembers which used features a word has (mostly none)."""
 
-    def __init__(self, model: Model, room: int = 500_000) -> None:
+    def __init__(self, model: Model, room: int = 100_000) -> None:
         self.used = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
         self.bias, self.room, self.known = model.bias, room, {}
 
