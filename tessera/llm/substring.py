@@ -14,8 +14,9 @@ Spark then brings equal anchors together: rows are dealt out by the anchors'
 names, packed by task, with the hashes of the windows that they serve. A name
 that comes once reveals that its windows come once; windows of shared names are
 verified by their own hashes, and all but the first of equal windows go.
-Equal windows within a task are settled before the shuffle, so a passage that a
-third of all documents hold is sent once a task, not once a document.
+Equal windows within CHUNK bytes of a task's texts are settled before the shuffle in
+the same way, so a passage that a third of all documents hold is sent once a chunk,
+not once a document.
 """
 
 from __future__ import annotations
@@ -168,7 +169,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _pack_starts(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket of the document, its part of some repeated windows); ``doc`` indexes ids and keys."""
-    bucket = ids[doc] % buckets
+    # The key goes into it, so that the many rows that may lack an id are spread.
+    bucket = (common.mix(ids.view(np.uint64) ^ (keys.astype(np.uint64) << np.uint64(32)))[doc] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, doc, bucket))
     doc, start, bucket = doc[order], start[order], bucket[order]
     edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else []
@@ -186,6 +188,11 @@ def _unpack_starts(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += 4 * c
 
 
+def _heads(place: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where runs of consecutive windows of one anchor begin; each is one row."""
+    return np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1) | (doc[1:] != doc[:-1])])
+
+
 def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, width: int) -> Iterator[tuple[int, bytes | None, bytes | None]]:
     """Rows (bucket, packed anchors, None) and (bucket, None, packed starts of windows that this task knows to be repeated)."""
     order = np.lexsort((keys, ids))
@@ -201,27 +208,27 @@ def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
     windows, doc = at[whole], doc_of_word[whole]
     if not len(windows):
         return
-    own = window_hashes(words, windows, width)
-    by_hash = np.argsort(own, kind="stable")
-    same = own[by_hash][1:] == own[by_hash][:-1]
+    own, start = window_hashes(words, windows, width), windows - first[doc]
+    name, place = anchors(words, windows, width)
+    # A name that comes once reveals that its windows come once here; those of shared names are compared.
+    heads = _heads(place, windows, doc)
+    order = np.argsort(name[heads], kind="stable")
+    same = name[heads][order][1:] == name[heads][order][:-1]
+    shared = np.zeros(len(heads), bool)
+    shared[order] = np.r_[same, False] | np.r_[False, same]
+    some = np.flatnonzero(np.repeat(shared, np.diff(np.r_[heads, len(windows)])))
+    some = some[np.lexsort((own[some], name[some]))]
+    chain = np.flatnonzero(np.r_[True, (own[some][1:] != own[some][:-1]) | (name[some][1:] != name[some][:-1])][: len(some)])
+    lead = np.repeat(some[chain], np.diff(np.r_[chain, len(some)]))
     # Equal rows (same id, same text) are one document: a window isn't a repeat of itself.
-    start = windows - first[doc]
-    chain = np.flatnonzero(np.r_[True, ~same])
-    lead = np.repeat(by_hash[chain], np.diff(np.r_[chain, len(by_hash)]))
-    repeat = np.zeros(len(own), bool)
-    a, b = by_hash, lead
-    itself = (ids[doc[a]] == ids[doc[b]]) & (keys[doc[a]] == keys[doc[b]]) & (start[a] == start[b])
-    repeat[a] = ~itself
-    drop = np.zeros(len(own), bool)
-    drop[a] = a != b
+    itself = (ids[doc[some]] == ids[doc[lead]]) & (keys[doc[some]] == keys[doc[lead]]) & (start[some] == start[lead])
+    repeat, drop = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    repeat[some], drop[some] = ~itself, some != lead
     for b, packed in _pack_starts(ids, keys, doc[repeat], start[repeat], buckets):
         yield b, None, packed
-    name, place = anchors(words, windows, width)
     left = np.flatnonzero(~drop)
     windows, doc, start, own, name, place = windows[left], doc[left], start[left], own[left], name[left], place[left]
-    # Consecutive windows of one anchor are one row.
-    head = np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1) | (doc[1:] != doc[:-1])]
-    heads = np.flatnonzero(head)
+    heads = _heads(place, windows, doc)
     size = np.diff(np.r_[heads, len(windows)])
     bucket = ((name[heads] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
@@ -274,13 +281,9 @@ def kept_words(text: bytes, starts: np.ndarray, width: int = WIDTH) -> tuple[int
     return len(words), [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, key, starts): starts (packed 32-bit numbers) of windows whose words also start earlier; key is that of ``keyed``."""
-    spark = df.sparkSession
-    rows = keyed(df, id, text)
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    buckets = max(common.shuffle_partitions(spark), chars // BUCKET_CHARS + 1)
-    n = int(buckets)
+def repeated_windows(rows: DataFrame, chars: int, width: int = WIDTH) -> DataFrame:
+    """(id, key, starts): starts (packed 32-bit numbers) of windows whose words also start earlier, from the rows of ``keyed`` and their number of characters."""
+    n = int(max(common.shuffle_partitions(rows.sparkSession), chars // BUCKET_CHARS + 1))
     schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("starts", pa.binary())])
     sql = "bucket int, anchors binary, starts binary"
 
@@ -341,8 +344,9 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     word. Rows of one id with different texts are ordered by a hash of the text;
     equal rows are one document and have equal results. Null ids come last.
     """
-    pieces = repeated_windows(df, id, text, width)
     rows = keyed(df, id, text)
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    pieces = repeated_windows(rows, chars, width)
     joined = rows.join(pieces.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "t", "starts")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +357,8 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
                 total.append(n), left.append(n - len(words)), kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(left, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    done = joined.mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
+    # Not many more partitions than the texts have megabytes, however finely the shuffle is cut.
+    done = joined.mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, kept string").coalesce(int(max(12, chars >> 22)))
     return done.select(F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias(id), "n_words", "n_removed", "kept")
 
 
