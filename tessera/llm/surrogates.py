@@ -3,12 +3,18 @@
 Numbers, addresses and tokens go through a keyed permutation of all strings of
 their own format (a Feistel network over the mixed-radix number that their
 letters and digits spell, walked on until the result is of the same class:
-valid check digit, public address and so on). A permutation can't let two
-entities meet, whatever the corpus, and equal entities stay equal, so these
-types need no table. Names are drawn by a keyed hash from a name space of their
-gender and script; the distinct names of the corpus are gathered by Spark, names
-that meet draw again, and only these exceptions are sent to the tasks. If there are
-more of them than ``MAX_EXCEPTIONS``, all surnames become one syllable longer.
+valid check digit, public address and so on), which leaves no string as it was.
+A permutation can't let two entities meet, whatever the corpus, and equal
+entities stay equal, so these types need no table.
+
+Names are found after titles; then every word of a name found is an entity of its
+own, a family name or a given name with the gender of its title, and each mention
+of such a word in the document is replaced, with a title or without. So full and
+family names, and other titles, agree throughout the corpus. Their surrogates are drawn
+by a keyed hash from the syllables of their script; the distinct names of the
+corpus are gathered by Spark, names that meet (or meet a real one) draw again,
+and only these exceptions are sent to the tasks. The number of syllables follows
+from the number of names, so that few meet at any size.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from math import prod
 from operator import or_
 
 import pyarrow as pa
@@ -27,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-DEFAULT_KEY = b"tessera surrogate key"
-MAX_EXCEPTIONS = 10_000
+#: Where a session holds its secret key (hexadecimal digits), and the key of the registered query over synthetic tables where it holds none.
+KEY_SETTING, FIXTURE_KEY = "spark.tessera.surrogates.key", b"for synthetic tables only"
+#: Names that are expected to meet at first, at most, and meeting names at which all become a syllable longer.
+EXPECTED_MEETING, MAX_EXCEPTIONS = 1000, 10_000
 ROUNDS = 8
 TYPES = ("email", "phone", "card", "ip", "ssn", "iban", "token", "name")
 
@@ -45,22 +54,52 @@ _QUICK_DIGIT, _QUICK_HEX = re.compile(r"\d[\d .\-()]{6}"), re.compile(r"[0-9a-fA
 #: Titles by gender; a name is the capitalised words after one.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Madame", "Mme", "Mademoiselle", "Frau", "Señora", "Sra", "Señorita", "Госпожа", "Κυρία"), "m": ("Mr", "Monsieur", "Herr", "Herrn", "Señor", "Sr", "Господин", "Κύριος"), "x": ("Dr", "Prof")}
 _TITLE_GENDER = {t: g for g, names in TITLES.items() for t in names}
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΑ-ΩА-Я][a-zß-öø-ÿā-žά-ώа-яё]+"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})(\.? )({_CAPITAL}(?:[ \-]{_CAPITAL}){{0,2}})")
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆ-ΏΑ-ΩЁА-Я][a-zß-öø-ÿā-žά-ώа-яё]+"
+#: What a name's word may begin with; it stays.
+_HEAD = r"(?:(?:Mc|Mac|Fitz)(?=[A-Z])|[ODLdl]['’])?"
+_PART = rf"{_HEAD}{_CAPITAL}"
+#: Words that join a family name; they stay.
+PARTICLES = ("van", "von", "de", "del", "della", "der", "den", "des", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "zur", "al", "el", "bin", "ibn", "af", "av")
+_JOIN = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )*"
+_TITLE = "|".join(sorted(_TITLE_GENDER, key=len, reverse=True))
+_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.? )({_JOIN}{_PART}(?:-{_PART})*(?: {_JOIN}{_PART}(?:-{_PART})*){{0,4}})")
+_WORD = re.compile(rf"(?<!\w)({_HEAD})({_CAPITAL})")
 #: What a text with a name has.
 _QUICK_NAMES = tuple(f"{t}{end}" for t in _TITLE_GENDER for end in (" ", ". "))
 
 
+def persons(text: str) -> dict[str, str]:
+    """The entities of the words of all names that stand after a title: ``f|müller``, or ``g|m|john`` for a given name.
+
+    The last word of a name (and what a hyphen joins to it) is a family name, those before are given
+    names. A word that is both counts as a family name. A given name has the gender that a
+    title gives it anywhere in the text, ``x`` if none or several do.
+    """
+    family: set[str] = set()
+    given: dict[str, set[str]] = {}
+    if any(t in text for t in _QUICK_NAMES):
+        for m in _NAME.finditer(text):
+            *first, last = m[3].split(" ")
+            family |= {w[2].lower() for w in _WORD.finditer(last)}
+            for w in _WORD.finditer(" ".join(first)):
+                given.setdefault(w[2].lower(), set()).add(_TITLE_GENDER[m[1]])
+    out = {w: f"f|{w}" for w in family}
+    for w, genders in given.items():
+        known = genders - {"x"}
+        out.setdefault(w, f"g|{min(known) if len(known) == 1 else 'x'}|{w}")
+    return out
+
+
 def _luhn(digits: str) -> bool:
     values = [int(c) for c in reversed(digits)]
     return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(values)) % 10 == 0
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities of a text, without overlaps; a name's span leaves its title out.
+def found_entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, entity) of the entities of a text, without overlaps; a name's spans are its words, without title, particles and heads like Mc.
 
-    Where kinds compete for the same characters, the earlier of TYPES wins, but
-    an address or a social security number before a phone number.
+    Where kinds compete for the same characters, the earlier of email, token, address,
+    social security number, account, card, phone and name wins.
     """
     found: list[tuple[int, int, str]] = []
     if "@" in text:
@@ -73,19 +112,24 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text)]
     if _QUICK_HEX.search(text):
         found += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text)]
-    if any(t in text for t in _QUICK_NAMES):
-        found += [(m.start(3), m.end(3), "name") for m in _NAME.finditer(text)]
-    taken: list[tuple[int, int, str]] = []
+    known = persons(text)
+    if known:
+        found += [(m.start(2), m.end(2), "name") for m in _WORD.finditer(text) if m[2].lower() in known]
     if len(found) > 1:
         order = {"email": 0, "token": 1, "ip": 2, "ssn": 3, "iban": 4, "card": 5, "phone": 6, "name": 7}
         found.sort(key=lambda x: (order[x[2]], x[0]))
-        used = bytearray(len(text))
+        used, free = bytearray(len(text)), []
         for a, b, kind in found:
             if not any(used[a:b]):
                 used[a:b] = b"\1" * (b - a)
-                taken.append((a, b, kind))
-        return sorted(taken)
-    return found
+                free.append((a, b, kind))
+        found = sorted(free)
+    return [(a, b, kind, known[text[a:b].lower()] if kind == "name" else text[a:b]) for a, b, kind in found]
+
+
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the entities of a text."""
+    return [x[:3] for x in found_entities(text)]
 
 
 # ---------------------------------------------------------------- permutations
@@ -101,21 +145,31 @@ def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
     return int.from_bytes(data[:size], "big") % modulus
 
 
-def permute(key: bytes, tweak: bytes, value: int, radices: list[int]) -> int:
-    """A keyed permutation of the mixed-radix numbers below the product of ``radices``: an alternating Feistel network over two halves."""
-    left = right = 1
+def _halves(radices: list[int]) -> tuple[int, int]:
     half = len(radices) // 2
-    for r in radices[:half]:
-        left *= r
-    for r in radices[half:]:
-        right *= r
+    return prod(radices[:half]), prod(radices[half:])
+
+
+def permute(key: bytes, tweak: bytes, value: int, radices: list[int], back: bool = False) -> int:
+    """A keyed permutation of the mixed-radix numbers below the product of ``radices``, or its inverse: an alternating Feistel network over two halves."""
+    left, right = _halves(radices)
     a, b = divmod(value, right)
-    for i in range(0, ROUNDS, 2):
-        a = (a + _round(key, tweak, i, b, left)) % left
-        b = (b + _round(key, tweak, i + 1, a, right)) % right
+    for i in reversed(range(0, ROUNDS, 2)) if back else range(0, ROUNDS, 2):
+        if back:
+            b = (b - _round(key, tweak, i + 1, a, right)) % right
+            a = (a - _round(key, tweak, i, b, left)) % left
+        else:
+            a = (a + _round(key, tweak, i, b, left)) % left
+            b = (b + _round(key, tweak, i + 1, a, right)) % right
     return a * right + b
 
 
+def displace(key: bytes, tweak: bytes, value: int, radices: list[int]) -> int:
+    """A keyed permutation that leaves nothing in its place, if there are two numbers at least: one cycle through all, in the order of ``permute``."""
+    size = prod(radices)
+    return permute(key, tweak, (permute(key, tweak, value, radices) + 1) % size, radices, back=True)
+
+
 def _alphabets(text: str, hexadecimal: bool = False) -> list[str]:
     """The alphabet of each character that is replaced; the others belong to the format."""
     return [HEX if hexadecimal else DIGITS if c in DIGITS else LOWER for c in text if c in DIGITS or c in LOWER]
@@ -125,7 +179,7 @@ def spell(key: bytes, kind: str, text: str, accept: Callable[[str], bool] = lamb
     """The permuted text: digits stay digits, lower-case letters letters, all else stays. Walks on until ``accept``.
 
     ``accept`` must hold for the text itself; then the walk is a permutation of
-    the accepted texts. A text that the permutation leaves unchanged stays.
+    the accepted texts, and only a text that is the only one of its class stays.
     """
     sets = alphabets or _alphabets(text, hexadecimal)
     if not sets:
@@ -137,7 +191,7 @@ def spell(key: bytes, kind: str, text: str, accept: Callable[[str], bool] = lamb
     for c, s in zip((c for c in text if c in DIGITS or c in LOWER), sets):
         value = value * len(s) + s.index(c)
     while True:
-        value = permute(key, tweak, value, radices)
+        value = displace(key, tweak, value, radices)
         rest, letters = value, []
         for s in reversed(sets):
             rest, x = divmod(rest, len(s))
@@ -173,11 +227,11 @@ def _ip(key: bytes, text: str) -> str:
     net = _net(address)
     if net is not None:
         first, bits = _NETS[net]
-        result = first + permute(key, b"net%d" % net, address - first, [2] * bits)
+        result = first + displace(key, b"net%d" % net, address - first, [2] * bits)
     else:
         result = address
         while True:
-            result = permute(key, b"public", result, [256] * 4)
+            result = displace(key, b"public", result, [256] * 4)
             if _net(result) is None:
                 break
     return ".".join(str(result >> s & 255) for s in (24, 16, 8, 0))
@@ -188,10 +242,17 @@ def _card(key: bytes, digits: str) -> str:
     return digits[0] + spell(key, f"card{digits[0]}{valid}", digits[1:], lambda x: _luhn(digits[0] + x) == valid)
 
 
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(key: bytes, text: str) -> str:
     """The country code and the North American exchange 555 stay; so does whether area and exchange codes are valid there."""
     m = re.match(r"\+(\d{1,3})(?=[ .\-(])", text)
-    code, rest = (m[0], text[m.end() :]) if m else ("", text)
+    size = m.end() if m else 0
+    if not m and text.startswith("+"):  # written without spaces
+        size = 1 + next((n for n in (1, 2) if text[1 : 1 + n] in CALLING_CODES), 3)
+    code, rest = text[:size], text[size:]
     digits = _digits_of(rest)
     if len(digits) == 10:
         fictional = digits[3:6] == "555"
@@ -225,23 +286,17 @@ def _iban(key: bytes, text: str) -> str:
 
 # ---------------------------------------------------------------- names
 
-#: Given names by script and gender, and syllables of surnames by script.
-GIVEN = {
-    ("latin", "f"): "Anna Clara Diana Elena Flora Greta Helen Irene Julia Laura Maria Nora Olivia Paula Rosa Sofia".split(),
-    ("latin", "m"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leon Martin Oscar Paul Viktor".split(),
-    ("latin", "x"): "Alex Robin Kim Sascha Noel Dominique Andrea Camille Jordan Morgan Taylor Casey Quinn Jamie Rene Toni".split(),
-    ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Ольга Софья".split(),
-    ("cyrillic", "m"): "Андрей Борис Виктор Иван Максим Николай Пётр Сергей".split(),
-    ("cyrillic", "x"): "Саша Женя Валя Слава".split(),
-    ("greek", "f"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Χριστίνα".split(),
-    ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Ανδρέας".split(),
-    ("greek", "x"): "Άλεξ Φώτη".split(),
-}
+#: Syllables of names by script, and the ends of given names by script and gender.
 SYLLABLES = {
     "latin": "bal bor dan del fen gar hol kar kel lan lin mar mel mon nor pel ral ran ros sal sten tal tor val var ven vil wal wen win zan zel".split(),
     "cyrillic": "бал бор вал вен гор дан жар зел кар кол лан мар мел нор рос тал".split(),
     "greek": "βαλ γερ δαν καρ κολ λαν μαρ μελ νικ παρ ραν σαρ ταλ τορ φιλ χαρ".split(),
 }
+GIVEN_ENDS = {
+    ("latin", "f"): "a ia ina elle".split(), ("latin", "m"): "us or ert ik".split(), ("latin", "x"): "y is en o".split(),
+    ("cyrillic", "f"): "а ия ина".split(), ("cyrillic", "m"): "ор ислав ий".split(), ("cyrillic", "x"): "я ы".split(),
+    ("greek", "f"): "α ία ίνα".split(), ("greek", "m"): "ος ης ας".split(), ("greek", "x"): "ι ω".split(),
+}
 
 
 def script(text: str) -> str:
@@ -253,25 +308,16 @@ def script(text: str) -> str:
     return "latin"
 
 
-def name_entity(title: str, name: str) -> str:
-    """What equal names have in common: gender and the name in lower case with single spaces."""
-    return f"{_TITLE_GENDER.get(title, 'x')}|{' '.join(name.lower().split())}"
-
-
 def name_surrogate(key: bytes, entity: str, draw: int = 0, width: int = 3) -> str:
-    """The surrogate of a name: as many words and hyphens, of the same gender and script."""
-    gender, _, name = entity.partition("|")
+    """The surrogate of a word of a name, in lower case: ``width`` syllables of its script, for a given name one less and the end of its gender."""
+    role, *gender, name = entity.split("|")
     kind = script(name)
-    data = hmac.digest(key, f"name|{draw}|{width}|{entity}".encode(), "sha512")
-    at = iter(data)
-    given, parts = GIVEN[kind, gender], re.split(r"([ \-])", name)
-    words, seen = parts[::2], []
-    for i in range(len(words)):
-        if i < len(words) - 1:
-            seen.append(given[next(at) % len(given)])
-        else:
-            seen.append("".join(SYLLABLES[kind][next(at) % len(SYLLABLES[kind])] for _ in range(width)).capitalize())
-    return "".join(w + s for w, s in zip(seen, [*parts[1::2], ""]))
+    at = iter(hmac.digest(key, f"name|{draw}|{width}|{entity}".encode(), "sha512"))
+    spelt = "".join(SYLLABLES[kind][next(at) % len(SYLLABLES[kind])] for _ in range(width - (role == "g")))
+    if role == "g":
+        ends = GIVEN_ENDS[kind, gender[0]]
+        spelt += ends[next(at) % len(ends)]
+    return spelt
 
 
 # ---------------------------------------------------------------- replacement
@@ -280,7 +326,7 @@ def name_surrogate(key: bytes, entity: str, draw: int = 0, width: int = 3) -> st
 class Replacer:
     """Surrogates under one key; ``draws`` has the names that drew more than once."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, draws: dict[str, int] | None = None, width: int = 3) -> None:
+    def __init__(self, key: bytes, draws: dict[str, int] | None = None, width: int = 3) -> None:
         self.key, self.draws, self.width = key, draws or {}, width
         self.surrogate = lru_cache(50_000)(self._surrogate)
 
@@ -301,49 +347,46 @@ class Replacer:
         if kind == "token":
             low = spell(key, "token", text.lower(), hexadecimal=True)
             return low if text == text.lower() else low.upper()
-        return name_surrogate(key, text, self.draws.get(text, 0), self.width)
+        return name_surrogate(key, text, self.draws.get(text, 0), self.width).capitalize()
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with surrogates, and the spans (start, end, type) that were replaced in the old text."""
-        spans, parts, at = detect(text), [], 0
-        for a, b, kind in spans:
-            old = text[a:b]
-            if kind == "name":
-                title = _TITLE_END.search(text, max(0, a - 16), a)
-                old = name_entity(title[1] if title else "", old)
-            parts += [text[at:a], self.surrogate(kind, old)]
+        spans, parts, at = found_entities(text), [], 0
+        for a, b, kind, entity in spans:
+            parts += [text[at:a], self.surrogate(kind, entity)]
             at = b
-        return "".join([*parts, text[at:]]) if spans else text, spans
-
-
-_TITLE_END = re.compile(rf"({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.? $")
+        return ("".join([*parts, text[at:]]) if spans else text), [x[:3] for x in spans]
 
 
 def names(df: DataFrame, text: str = "text") -> DataFrame:
-    """(entity): the distinct names of all texts."""
+    """(entity): the distinct words of names of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {name_entity(m[1], m[3]) for t in common.strings(batch.column(0)) for m in _NAME.finditer(t)}
+            found = {e for t in common.strings(batch.column(0)) for e in persons(t).values()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["entity"])
 
     titled = reduce(or_, (F.contains(F.col("t"), F.lit(q)) for q in _QUICK_NAMES))
     return df.select(F.col(text).cast("string").alias("t")).where(titled).mapInArrow(run, "entity string").distinct()
 
 
-def settle_names(entities: DataFrame, key: bytes = DEFAULT_KEY, max_exceptions: int = MAX_EXCEPTIONS) -> tuple[dict[str, int], int]:
-    """Draws of the names that may not keep their first surrogate, and the width of surnames.
+def settle_names(entities: DataFrame, key: bytes, max_exceptions: int = MAX_EXCEPTIONS) -> tuple[dict[str, int], int]:
+    """Draws of the names that may not keep their first surrogate, and the number of syllables.
 
     A surrogate belongs to the least entity that draws it; the others draw
     again until no two meet and none is itself a name of the corpus. More
-    exceptions than the bound lengthen all surnames instead.
+    exceptions than the bound make all names a syllable longer.
     """
     spark = entities.sparkSession
-    if entities.isEmpty():
-        return {}, 3
     entities = common.cut(entities)
-    # Genders may share a surrogate's letters, so surrogates are compared without it.
-    for width in range(3, 12):
+    n = entities.count()
+    if not n:
+        return {}, 3
+    # Of n names in a space of 16 or more syllables to the power of the width, about n * n / 2 / space meet.
+    first = 3
+    while n * n / 2 > EXPECTED_MEETING * 16 ** (first - 1):
+        first += 1
+    for width in range(first, first + 9):
         draws: dict[str, int] = {}
         for _ in range(40):
             shared = spark.sparkContext.broadcast(draws)
@@ -351,7 +394,7 @@ def settle_names(entities: DataFrame, key: bytes = DEFAULT_KEY, max_exceptions:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     e = batch.column(0).to_pylist()
-                    s = [name_surrogate(key, x, shared.value.get(x, 0), width).lower() for x in e]
+                    s = [name_surrogate(key, x, shared.value.get(x, 0), width) for x in e]
                     yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(s)], names=["entity", "s"])
 
             drawn = entities.mapInArrow(run, "entity string, s string")
@@ -368,11 +411,19 @@ def settle_names(entities: DataFrame, key: bytes = DEFAULT_KEY, max_exceptions:
     raise RuntimeError("the names didn't settle")
 
 
-def surrogates(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names; that of the synthetic tables if it names none. Who knows the key can undo the permutations."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(own) if own else FIXTURE_KEY
+
+
+def surrogates(df: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """All columns with the text's entities replaced, and ``entities``: an array of (start, end, type) in code points of the old text.
 
     A null text stays null and has no entity. A column of the name ``entities`` is replaced.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     draws, width = settle_names(names(df, text), key)
     shared = df.sparkSession.sparkContext.broadcast((key, draws, width))
     kept = [c for c in df.columns if c != "entities"]
@@ -397,6 +448,6 @@ def _count(kind: str) -> Column:
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for their personal data."""
-    done = surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark))
     counts = [_count(k).alias(f"n_{k}") for k in TYPES]
     return done.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"), F.size("entities").cast("long").alias("n_entities"), *counts)
