@@ -1,15 +1,19 @@
 """Components, spanning forests and propagation over overlap graphs.
 
-Graphs of any size go through distributed rounds (star contraction, Boruvka)
-whose lineage is cut by reliable checkpoints in the shared folder that the
-session names.
+Graphs of any size go through distributed rounds (star contraction, Boruvka,
+list ranking) whose lineage is cut by reliable checkpoints in the shared folder
+that the session names. Rounds start from what each partition can settle by
+itself, so a few are enough for mosaics whose neighbours lie near each other.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a checkpoint file holds at least, if there are more than six files.
@@ -17,34 +21,72 @@ ROWS_A_FILE = 100_000
 
 
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; a folder of this process only where ``spark.checkpoint.dir`` is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session takes a folder of its
+    own, as in tests; on a cluster that would lose data with its machine, so it is refused.
+    """
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
+def _both(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
+
+
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each batch as links of its nodes to the least node that the batch connects them with."""
+    for batch in batches:
+        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while len(i):
+            # Every label goes down to the least label across its links, then to its own label's label.
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, label[i], least)
+            np.minimum.at(new, label[j], least)
+            while (new[new] != new).any():
+                new = new[new]
+            label = new[label]
+            if (label[i] == label[j]).all():
+                break
+        moved = label != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (a, b) are stars already: no node has two targets or is both a source and a target."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e")).select("e.*")
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(tile_id, component): the smallest tile that edges (i, j) reach; ``nodes`` (tile_id) adds tiles without an edge.
 
-    Large-star and small-star rounds: each is two joins and two aggregations
-    with partial minima, and a hub's rows may be split by skew handling.
+    Links are first replaced by stars in each batch of rows. Then large-star and
+    small-star rounds: each is two joins and two aggregations with partial
+    minima, and one checkpoint. Minima have an exchange of their own, by an
+    expression that rows aren't dealt out by yet, so skew handling may split a hub's rows.
     """
-    e = cut(edges.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).where("a <> b").distinct())
+    apart = lambda node: F.greatest(node, F.least(node, "m"))
+    links = edges.select(F.greatest("i", "j").cast("long").alias("a"), F.least("i", "j").cast("long").alias("b")).where("a <> b")
+    e = cut(links.mapInArrow(local_stars, "a bigint, b bigint").distinct())
     parts = 6 + e.count() // ROWS_A_FILE
-    before = None
     for _ in range(max_rounds):
-        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = cut(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), parts)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        if _settled(e):
+            break
+        both = _both(e)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(apart("a").alias("u"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(apart("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
         e = cut(small.where("a <> b").distinct(), parts)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("the components didn't settle")
     named = e.select(F.col("a").alias("tile_id"), F.col("b").alias("component")).union(e.select("b").distinct().select("b", "b"))
@@ -78,12 +120,21 @@ def spanning_forest(edges: DataFrame, weight: str = "inliers", max_rounds: int =
     return chosen.select("i", "j", F.col("w").alias(weight))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 1 on, in a total order: counted within ranges, whose offsets are one row a partition."""
+    ranged = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__before") + place).cast("long")).drop("__range", "__before")
+
+
 def ranked_groups(named: DataFrame, edges: DataFrame, weight: str = "inliers") -> DataFrame:
     """(component, size, weight, rank): groups by size, then weight of their edges, then least tile."""
     sizes = named.groupBy("component").agg(F.count("*").alias("size"))
     sums = edges.join(named.select(F.col("tile_id").alias("i"), "component"), "i").groupBy("component").agg(F.sum(weight).alias("weight"))
     groups = sizes.join(sums, "component", "left").select("component", "size", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
-    return groups.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("weight"), "component")).cast("long"))
+    return numbered(groups, [F.desc("size"), F.desc("weight"), F.col("component")], "rank").select("component", "size", "weight", "rank")
 
 
 def largest_group(groups: DataFrame, policy: str = "largest") -> int:
@@ -107,33 +158,64 @@ def chain(edges: DataFrame, group: str = "grid_row") -> DataFrame:
     return edges.select(group, F.col("j").alias("tile_id"), F.sum("dx").over(w).alias("x"), F.sum("dy").over(w).alias("y"))
 
 
-def tree_positions(forest: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(tile_id, x, y) by walking trees of (i, j, dx, dy) from their roots (tile_id), a level a round."""
-    both = forest.select("i", "j", "dx", "dy").union(forest.select("j", "i", -F.col("dx"), -F.col("dy")))
-    placed = cut(roots.select("tile_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    frontier = placed
-    for _ in range(max_rounds):
-        step = frontier.join(both, frontier.tile_id == both.i).select(F.col("j").alias("tile_id"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-        frontier = cut(step.join(placed, "tile_id", "left_anti"))
-        if frontier.isEmpty():
-            return placed
-        placed = cut(placed.union(frontier))
-    raise RuntimeError("the trees are deeper than max_rounds")
+def toured(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile_id, parent, x, y) of every tile that a tree of (i, j, dx, dy) joins to a root (tile_id), with its steps summed from the root.
+
+    Each tree is walked around in an Euler tour: after an edge into a tile comes
+    the tile's next edge, in the order of its neighbours. The tour is cut
+    at the root, and the sums to its end are found by pointer doubling, so the
+    rounds grow with the logarithm of a tree's size and not with its depth. A tree
+    has one root at most; trees without a root are left out, and so are the roots.
+    """
+    e = forest.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).where("i <> j")
+    both = cut(e.union(e.select("j", "i", -F.col("dx"), -F.col("dy"))))
+    parts = 6 + (edges := both.count()) // ROWS_A_FILE
+    around = Window.partitionBy("i").orderBy("j")
+    # After (j, i) comes (i, w): w is the neighbour of i after j, and after the last the first, where a root's tour ends.
+    turns = both.select("i", "j", F.lead("j").over(around).alias("next"), F.first("j").over(around).alias("first"))
+    ends = roots.select(F.col("tile_id").cast("long").alias("i"), F.lit(True).alias("root")).distinct()
+    turns = turns.join(ends, "i", "left").withColumn("w", F.coalesce("next", F.when(F.col("root").isNull(), F.col("first"))))
+    after = turns.select(F.col("j").alias("u"), F.col("i").alias("v"), F.when(F.col("w").isNotNull(), F.col("i")).alias("nu"), F.col("w").alias("nv"))
+    steps = both.select(F.col("i").alias("u"), F.col("j").alias("v"), "dx", "dy")
+    tour = cut(after.join(steps, ["u", "v"]).select("u", "v", "nu", "nv", F.lit(1).cast("long").alias("n"), "dx", "dy"), parts)
+    more = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+    for _ in range(edges.bit_length() + 1):
+        if tour.where("nu IS NOT NULL").isEmpty():
+            break
+        there = tour.toDF("hu", "hv", "mu", "mv", "m", "ex", "ey")
+        tour = cut(tour.join(there, (F.col("nu") == F.col("hu")) & (F.col("nv") == F.col("hv")), "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), more("n", "m"), more("dx", "ex"), more("dy", "ey")), parts)
+    # n counts the edges to the end: an edge leads down if more are left after it than after its return. A
+    # tour's steps sum to zero, so those up to an edge are its own less all from it on.
+    done = tour.where("nu IS NULL")
+    back = done.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("n").alias("back"))
+    down = done.join(back, ["u", "v"]).where("n > back").join(steps.withColumnsRenamed({"dx": "sx", "dy": "sy"}), ["u", "v"])
+    return cut(down.select(F.col("v").alias("tile_id"), F.col("u").alias("parent"), (F.col("sx") - F.col("dx")).alias("x"), (F.col("sy") - F.col("dy")).alias("y")), parts)
+
+
+def tree_positions(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile_id, x, y) by walking trees of (i, j, dx, dy) from their roots (tile_id), one a tree."""
+    placed = toured(forest, roots).select("tile_id", "x", "y")
+    return placed.union(roots.select(F.col("tile_id").cast("long"), F.lit(0.0), F.lit(0.0)))
 
 
 def tree_centre(forest: DataFrame) -> DataFrame:
-    """(component, tile_id): the tile of least eccentricity of each tree (the least id of equals), by peeling leaves."""
-    edges = cut(forest.select("i", "j").union(forest.select("j", "i")))
-    named = cut(components(forest))
-    alive = cut(named)
-    while True:
-        degree = edges.groupBy("i").count()
-        leaves = degree.where("count = 1").select("i")
-        rest = alive.join(leaves, alive.tile_id == leaves.i, "left_anti")
-        sizes = alive.groupBy("component").agg(F.count("*").alias("n"))
-        done = sizes.where("n <= 2")
-        if sizes.where("n > 2").isEmpty():
-            return alive.groupBy("component").agg(F.min("tile_id").alias("tile_id"))
-        keep = alive.join(done, "component", "left_semi")
-        alive = cut(rest.join(done, "component", "left_anti").union(keep))
-        edges = cut(edges.join(alive.select(F.col("tile_id").alias("i")), "i", "left_semi").join(alive.select(F.col("tile_id").alias("j")), "j", "left_semi"))
+    """(component, tile_id): the tile of least eccentricity of each tree (the least id of equals).
+
+    Leaves are peeled a level at a time in numpy, so a deep tree costs no more
+    jobs; a tree is one group, at some 100 bytes an edge.
+    """
+
+    def peel(table: pa.Table) -> pa.Table:
+        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        nodes, at = np.unique(np.r_[i, j], return_inverse=True)
+        a, b = at[: len(i)], at[len(i) :]
+        alive, left = np.ones(len(nodes), bool), np.ones(len(a), bool)
+        while alive.sum() > 2:
+            degree = np.bincount(np.r_[a[left], b[left]], minlength=len(nodes))
+            alive &= degree != 1
+            left &= alive[a] & alive[b]
+        return pa.table([table.column("component").slice(0, 1), pa.array(nodes[alive][:1], pa.int64())], names=["component", "tile_id"])
+
+    edges = forest.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).where("i <> j").distinct()
+    named = components(edges).withColumnRenamed("tile_id", "i")
+    return edges.join(named, "i").select("component", "i", "j").groupBy("component").applyInArrow(peel, "component bigint, tile_id bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +37,66 @@ def spatial_sample(matches: DataFrame, width: int, height: int, budget: int, cel
     return matches.withColumn("cell", cell).withColumn("depth", depth).withColumn("pos", pos).where(F.col("pos") <= budget).drop("cell", "depth")
 
 
-def squared_distance(a: str, b: str) -> Column:
-    """Squared distance of two float arrays, in double arithmetic."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+#: Left rows that meet a block at once, and what rounding may shift a squared distance by, relative to the norms.
+ROWS, SLACK = 512, 1e-12
+_BEST = "kp0 bigint, kp1 bigint, distance double"
+
+
+def two_nearest(queries: np.ndarray, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a query, id, distance) of the two nearest rows of a block, the least id of equals.
+
+    One matrix product for many queries narrows each down to the rows that rounding could
+    place among the two; their distances are then summed up exactly as differences.
+    """
+    rows, found, far = [], [], []
+    b2 = (block * block).sum(1)
+    for at in range(0, len(queries), ROWS):
+        q = queries[at : at + ROWS]
+        q2 = (q * q).sum(1)
+        d2 = q2[:, None] + b2[None] - 2 * q @ block.T
+        second = np.partition(d2, min(1, len(block) - 1), axis=1)[:, min(1, len(block) - 1)]
+        i, j = np.nonzero(d2 <= (second + SLACK * (q2 + b2.max()))[:, None])
+        exact = np.sqrt(((q[i] - block[j]) ** 2).sum(1))
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        rows.append(at + i[place < 2]), found.append(ids[j[place < 2]]), far.append(exact[place < 2])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(far)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
 
 
 def knn_ratio(left: DataFrame, right: DataFrame, ratio: float, block: int = 16_384) -> DataFrame:
     """(kp0, kp1, distance) of left keypoints whose nearest right descriptor is nearer than ``ratio`` times the second (or is the only one).
 
-    Exact, for the descriptors of one pair of images. Up to ``block`` right descriptors are
-    broadcast; more are dealt into blocks of about that size, to each of which all left ones go.
+    Exact. Right descriptors are dealt into blocks of about ``block`` rows and left ones
+    into as large groups; each group meets each block in a task of its own, which
+    returns the two best of the block, so no pair of rows is ever made. Rows with a null id or descriptor take no part.
     """
-    blocks = max(1, -(-right.count() // block))
-    queries = left.select(F.col("kp_id").alias("kp0"), F.col("descriptor").alias("d0"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    r = right.select(F.col("kp_id").alias("kp1"), F.col("descriptor").alias("d1"), F.pmod(F.xxhash64("kp_id"), F.lit(blocks)).cast("int").alias("blk"))
-    pairs = queries.join(F.broadcast(r) if blocks == 1 else r, "blk")
-    scored = pairs.select("kp0", F.struct(F.sqrt(squared_distance("d0", "d1")).alias("distance"), "kp1").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kp0").orderBy("n"))
-    best = scored.withColumn("r", rank).where("r <= 2").groupBy("kp0").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count("*").alias("c"))
-    return best.where((F.col("c") == 1) | (F.col("a.distance") < ratio * F.col("b.distance"))).select("kp0", F.col("a.kp1").alias("kp1"), F.col("a.distance").alias("distance"))
+    sides = [x.where("kp_id IS NOT NULL AND descriptor IS NOT NULL") for x in (left, right)]
+    groups, blocks = (max(1, -(-x.count() // block)) for x in sides)
+    deal = lambda x, n: F.pmod(F.xxhash64("kp_id"), F.lit(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = sides[0].select(deal("kp_id", groups).alias("g"), other(blocks).alias("b"), F.lit(0).alias("side"), F.col("kp_id").cast("long").alias("id"), "descriptor")
+    r = sides[1].select(other(groups).alias("g"), deal("kp_id", blocks).alias("b"), F.lit(1).alias("side"), F.col("kp_id").cast("long").alias("id"), "descriptor")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, rows = table.column("id").to_numpy(), table.column("descriptor").combine_chunks()
+        own, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(own) or not len(there):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["kp0", "kp1", "distance"])
+        at, found, far = two_nearest(_matrix(rows.take(pa.array(own))), _matrix(rows.take(pa.array(there))), ids[there])
+        return pa.table([pa.array(ids[own][at]), pa.array(found), pa.array(far)], names=["kp0", "kp1", "distance"])
+
+    found = q.unionByName(r).groupBy("g", "b").applyInArrow(nearest, _BEST)
+    n = F.array_sort(F.collect_list(F.struct("distance", "kp1")))  # two rows a block
+    best = found.groupBy("kp0").agg(n.alias("n"))
+    first, second = F.col("n")[0], F.get("n", F.lit(1))
+    return best.where(second.isNull() | (first["distance"] < ratio * second["distance"])).select("kp0", first["kp1"].alias("kp1"), first["distance"].alias("distance"))
 
 
 def mutual(matches: DataFrame, score: str = "score") -> DataFrame:
