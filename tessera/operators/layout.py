@@ -167,3 +167,20 @@ def refinement_gate(samples: DataFrame, minimum: int = 12, share: float = 0.98)
     ok = samples.where("inside")
     out = ok.groupBy("i", "j").agg(F.count("*").alias("points"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("baseline"), F.avg(F.abs(F.col("a") - F.col("b_refined"))).alias("refined"))
     return out.withColumn("kept", (F.col("points") >= minimum) & (F.col("refined") < share * F.col("baseline")))
+
+
+#: What a refiner may report, and the frame of its points.
+REFINED, FRAME = ("success", "no_improvement", "unsupported_input", "failed"), "original_tile_pixel_centers_xy"
+
+
+def invalid_refinements(results: DataFrame) -> DataFrame:
+    """``results`` (status, frame, points_a, points_b: arrays of (x, y) arrays) that can't be used, with an ``error``; points count only for a success that has some."""
+    finite = lambda c: F.forall(c, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    given = (F.col("status") == "success") & F.col("points_a").isNotNull()
+    good = F.col("points_b").isNotNull() & (F.size("points_a") == F.size("points_b")) & finite("points_a") & finite("points_b")
+    error = (
+        F.when(~F.coalesce(F.col("status").isin(*REFINED), F.lit(False)), "unknown status")
+        .when(F.coalesce(F.col("frame") != FRAME, F.lit(True)), "unknown frame")
+        .when(given & ~F.coalesce(good, F.lit(False)), "points that don't fit together")
+    )
+    return results.withColumn("error", error).where("error IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
@@ -87,7 +87,7 @@ def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
 
 
 def exposure(ratios: DataFrame) -> DataFrame:
-    """(component, tile_id, gain) from (component, i, j, median_i, median_j) of overlaps: least squares on log ratios a component."""
+    """(component, tile_id, gain) from (component, i, j, median_i, median_j) of overlaps: least squares on log ratios a component; medians under 1 say nothing."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.r_[pdf.i, pdf.j])
@@ -95,7 +95,7 @@ def exposure(ratios: DataFrame) -> DataFrame:
         gains = kernels.exposure_gains(len(nodes), np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j), r)
         return pd.DataFrame({"component": pdf.component.iloc[0], "tile_id": nodes, "gain": gains})
 
-    return ratios.where("median_i > 0 AND median_j > 0").groupBy("component").applyInPandas(solve, "component bigint, tile_id bigint, gain double")
+    return ratios.where("median_i >= 1 AND median_j >= 1").groupBy("component").applyInPandas(solve, "component bigint, tile_id bigint, gain double")
 
 
 def register_pairs(pairs: DataFrame, radius: float = float("inf")) -> DataFrame:
@@ -142,7 +142,8 @@ def paste(base: DataFrame, added: DataFrame) -> DataFrame:
 
 def row_fallback(rows: DataFrame) -> DataFrame:
     """The completed row (grid_row, covered) of most covered pixels, the first of equals."""
-    return rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("covered"), "grid_row"))).where("r = 1").drop("r")
+    best = rows.agg(F.max_by(F.struct(*rows.columns), F.struct("covered", -F.col("grid_row"))).alias("b")).where("b IS NOT NULL")
+    return best.select(*(F.col(f"b.{c}").alias(c) for c in rows.columns))
 
 
 def incremental_gain(pixels: DataFrame, minimum: int = 200, limit: float = 1.6) -> DataFrame:

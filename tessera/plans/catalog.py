@@ -116,10 +116,10 @@ def pair_sequential(spark, d):
     return pairs.sequential(_tiles(spark, d), group="grid_row")
 
 
-@query("SELECT a.tile_id AS i, b.tile_id AS j FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE b.grid_row < 2", "tiles")
+@query("SELECT a.tile_id AS i, b.tile_id AS j FROM tiles a JOIN tiles b ON a.grid_row = b.grid_row AND a.tile_id < b.tile_id", "tiles")
 def pair_all(spark, d):
-    """All pairs of one slide's first rows, as a mosaic of a few unordered images asks for."""
-    return pairs.all_pairs(scan.layout_slice(_tiles(spark, d), 2, 20))
+    """All pairs of each of many sets of unordered images; a set is a row of the grid."""
+    return pairs.all_pairs(_tiles(spark, d), "grid_row")
 
 
 @query("SELECT a.tile_id AS i, b.tile_id AS j, CASE WHEN a.grid_row = b.grid_row THEN 'right' ELSE 'down' END AS axis FROM tiles a JOIN tiles b ON abs(a.grid_row - b.grid_row) + abs(a.grid_col - b.grid_col) = 1 AND a.tile_id < b.tile_id", "tiles")
@@ -223,9 +223,21 @@ def fit_translation_mode(spark, d):
     return fit.translation_mode(view(spark, d, "correspondences"))
 
 
-@query("+" + _MODE + "SELECT pair_id, CAST(inliers AS BIGINT) AS inliers, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty FROM fits", "correspondences")
+#: The gates of a fit but for the spread of its inliers.
+_GATES = """, gate AS (SELECT fits.pair_id, n, inliers, tx, ty, greatest(0, 400 - abs(tx)) * greatest(0, 300 - abs(ty)) / 120000.0 AS overlap FROM fits)
+SELECT pair_id, CAST(n AS BIGINT) AS n, CAST(inliers AS BIGINT) AS inliers, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty, round(CAST(overlap AS DOUBLE), 9) AS overlap,
+       inliers >= 12 AND inliers >= 0.5 * n AND overlap >= 0.03 AS accepted_but_for_spread,
+       coalesce(CASE WHEN n < 12 THEN 'fewer than 12 matches' WHEN inliers < 12 OR inliers < 0.5 * n THEN 'too few inliers' WHEN overlap < 0.03 THEN 'too little overlap' END, '') AS reason_but_for_spread
+FROM gate"""
+
+
+@query("+" + _MODE + _GATES, "correspondences")
 def fit_reliable_translation(spark, d):
-    return fit.reliable_translation(view(spark, d, "correspondences"), 400, 300).select("pair_id", "inliers", "tx", "ty")
+    """Fits with their gates; the hull's is tested against known areas, and never decides here."""
+    out = fit.reliable_translation(view(spark, d, "correspondences"), 400, 300)
+    small = F.col("reason") == "inliers in a small region"
+    accepted = F.col("accepted") | F.coalesce(small, F.lit(False))
+    return out.select("pair_id", "n", "inliers", "tx", "ty", F.round("overlap", 9).alias("overlap"), accepted.alias("accepted_but_for_spread"), F.when(F.coalesce(small, F.lit(False)), "").otherwise(F.coalesce("reason", F.lit(""))).alias("reason_but_for_spread"))
 
 
 @query("+" + _MODE + ", q AS (SELECT c.pair_id, sqrt((x1 - x0 - tx) * (x1 - x0 - tx) + (y1 - y0 - ty) * (y1 - y0 - ty)) r FROM correspondences c JOIN fits ON fits.pair_id = c.pair_id) SELECT pair_id, count(*) AS matches, count(*) FILTER (WHERE r < 3) AS inliers, round(median(r) FILTER (WHERE r < 3), 6) AS residual_median FROM q GROUP BY pair_id", "correspondences")
@@ -293,7 +305,20 @@ def layout_excluded(spark, d):
     return graph.excluded(named, graph.ranked_groups(named, _edges(spark, d).where("status = 'accepted'")))
 
 
-@query()
+#: Kruskal's algorithm as a recursion over the edges in order: labels of both ends are merged, and an edge between two labels is kept.
+_KRUSKAL = """+ o AS (SELECT i, j, inliers, row_number() OVER (ORDER BY inliers DESC, i, j) k FROM edges WHERE status = 'accepted'),
+s(k, labels, kept) AS (
+  SELECT 0::BIGINT, (SELECT map_from_entries(list(struct_pack(k := tile_id, v := tile_id))) FROM tiles), false
+  UNION ALL
+  SELECT o.k,
+         CASE WHEN labels[o.i] = labels[o.j] THEN labels ELSE map_from_entries(list_transform(map_entries(labels),
+           lambda e: struct_pack(k := e.key, v := CASE WHEN e.value = greatest(labels[o.i], labels[o.j]) THEN least(labels[o.i], labels[o.j]) ELSE e.value END))) END,
+         labels[o.i] <> labels[o.j]
+  FROM s JOIN o ON o.k = s.k + 1)
+SELECT o.i, o.j, o.inliers FROM s JOIN o ON o.k = s.k WHERE kept"""
+
+
+@query(_KRUSKAL, "edges")
 def layout_spanning_forest(spark, d):
     return graph.spanning_forest(_edges(spark, d).where("status = 'accepted'"))
 
@@ -374,7 +399,7 @@ def layout_crop_bounds(spark, d):
     return layout.crop_bounds(_predicted(spark, d), 400, 300, 8).select("i", "j", "x0", "y0", "x1", "y1", "bx0", "by0", "bx1", "by1")
 
 
-@query("SELECT i, j, CASE WHEN axis = 'right' THEN dx / 400.0 BETWEEN 0.05 AND 0.98 AND abs(dy) / 300.0 < 0.4 ELSE dy / 300.0 BETWEEN 0.05 AND 0.98 AND abs(dx) / 400.0 < 0.4 END AS plausible FROM edges", "edges")
+@query("SELECT i, j, CASE WHEN axis = 'right' THEN dx / 400.0 > 0.05 AND dx / 400.0 < 0.98 AND abs(dy) / 300.0 < 0.4 ELSE dy / 300.0 > 0.05 AND dy / 300.0 < 0.98 AND abs(dx) / 400.0 < 0.4 END AS plausible FROM edges", "edges")
 def layout_plausible(spark, d):
     return _edges(spark, d).select("i", "j", layout.plausible(400, 300).alias("plausible"))
 
@@ -410,13 +435,12 @@ def render_exposure_pairs(spark, d):
     return render.overlaps(_placed(spark, d))
 
 
-_PIXELS = "p AS (SELECT tile_id, px, py, 12 AS width, 9 AS height, grid_col * 10 + px AS x, grid_row * 7 + py AS y, (tile_id * 31 + px * 7 + py * 3) % 256 AS value FROM tiles, (SELECT unnest(range(12)) px), (SELECT unnest(range(9)) py) WHERE grid_row < 3)\n"
+_PIXELS = "p AS (SELECT tile_id, px, py, 12 AS width, 9 AS height, grid_col * 10 + px AS x, grid_row * 7 + py AS y, (tile_id * 31 + px * 7 + py * 3) % 256 AS value FROM tiles, (SELECT unnest(range(12)) px), (SELECT unnest(range(9)) py))\n"
 
 
 @query("+" + _PIXELS + "SELECT y, x, CAST(round_even(sum(least(px + 1, py + 1, width - px, height - py) * value) / sum(least(px + 1, py + 1, width - px, height - py)), 0) AS INT) AS value, count(*) AS coverage FROM p GROUP BY y, x", "tiles")
 def render_boundary_feather(spark, d):
-    t = scan.layout_slice(_tiles(spark, d), 3, 20)
-    p = t.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    p = _tiles(spark, d).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(8))))
     p = p.select("tile_id", "px", "py", F.lit(12).alias("width"), F.lit(9).alias("height"), (F.col("grid_col") * 10 + F.col("px")).cast("long").alias("x"), (F.col("grid_row") * 7 + F.col("py")).cast("long").alias("y"), ((F.col("tile_id") * 31 + F.col("px") * 7 + F.col("py") * 3) % 256).alias("value"))
     return render.boundary_feather(p)
 
@@ -524,7 +548,20 @@ def report_rejected_of(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-@query()
+#: The fold of frames into a box, one frame of each session a step.
+_GROW = """+ f AS (SELECT 'row ' || CAST(grid_row AS VARCHAR) AS session, tile_id AS seq, true_x::DOUBLE AS x, true_y::DOUBLE AS y, row_number() OVER (PARTITION BY grid_row ORDER BY tile_id) AS k FROM tiles),
+g(session, k, seq, status, x0, y0, x1, y1, frames) AS (
+  SELECT session, k, seq, 'seeded', x, y, x + 400.0, y + 300.0, 1::BIGINT FROM f WHERE k = 1
+  UNION ALL
+  SELECT session, k, seq, s, CASE WHEN s = 'added' THEN u0 ELSE x0 END, CASE WHEN s = 'added' THEN v0 ELSE y0 END, CASE WHEN s = 'added' THEN u1 ELSE x1 END, CASE WHEN s = 'added' THEN v1 ELSE y1 END, frames + CASE WHEN s = 'added' THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN u1 - u0 > 16000 OR v1 - v0 > 16000 THEN 'rejected'
+                       WHEN (u1 - u0) * (v1 - v0) - (x1 - x0) * (y1 - y0) < greatest(100, 0.001 * (x1 - x0) * (y1 - y0)) THEN 'skipped' ELSE 'added' END AS s
+        FROM (SELECT f.session, f.k, f.seq, g.x0, g.y0, g.x1, g.y1, g.frames, least(g.x0, f.x) u0, least(g.y0, f.y) v0, greatest(g.x1, f.x + 400.0) u1, greatest(g.y1, f.y + 300.0) v1
+              FROM g JOIN f ON f.session = g.session AND f.k = g.k + 1) q) r)
+SELECT session, seq, status, x0, y0, x1, y1, frames FROM g"""
+
+
+@query(_GROW, "tiles")
 def stream_growing_bbox(spark, d):
     frames = _tiles(spark, d).select(F.concat(F.lit("row "), F.col("grid_row").cast("string")).alias("session"), F.col("tile_id").alias("seq"), F.col("true_x").cast("double").alias("x"), F.col("true_y").cast("double").alias("y"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
     return growing.growing_map_batch(frames)

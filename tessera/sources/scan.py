@@ -55,10 +55,12 @@ def positions(names: DataFrame, template: str, name: str = "file", order: str =
     before it at this cell has, is an error.
     """
     pattern, row, col = compile_template(template)
-    number = lambda g: F.expr(f"try_cast(nullif(regexp_extract(`{name}`, r'{pattern}', {g}), '') AS INT)")
+    number = lambda g: F.regexp_extract(name, pattern, g).try_cast("int")
     parsed = names.withColumn("grid_row", number(row)).withColumn("grid_col", number(col))
-    before = F.lag(name).over(Window.partitionBy("grid_row", "grid_col").orderBy(order))
-    error = F.when(F.col("grid_row").isNull() | F.col("grid_col").isNull(), F.lit("name doesn't match the template")).when(before.isNotNull(), F.concat(F.lit("same cell as "), before))
+    lost = F.col("grid_row").isNull() | F.col("grid_col").isNull()
+    # Names without a cell are spread by themselves.
+    before = F.lag(name).over(Window.partitionBy("grid_row", "grid_col", F.when(lost, F.col(name))).orderBy(order))
+    error = F.when(lost, F.lit("name doesn't match the template")).when(before.isNotNull(), F.concat(F.lit("same cell as "), before))
     return parsed.withColumn("error", error)
 
 

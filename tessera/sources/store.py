@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import html
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import numbered
+
 EVENT = "job_id string, seq bigint, type string, marker string, status string, message string, level string, fraction double, image string, ts timestamp"
 
 
@@ -17,7 +17,7 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
     """Events of a log; blank and broken lines are skipped, and relative images get a prefix."""
-    rows = spark.read.schema(EVENT + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path).cache()
+    rows = spark.read.schema(EVENT + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
     good = rows.where("_broken IS NULL AND seq IS NOT NULL").drop("_broken")
     if prefix is None:
         return good
@@ -68,13 +68,45 @@ def save_finite(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 
 
-def quality_page(tiles: DataFrame, limit: int = 2000) -> str:
-    """An HTML table of tiles (tile_id, component, x, y, evidence), escaped; the first ``limit`` by id."""
+def quality_pages(tiles: DataFrame, size: int = 2000) -> DataFrame:
+    """(page, html): HTML tables of all tiles (tile_id, component, x, y, evidence) by id, escaped, ``size`` tiles a page."""
     columns = ["tile_id", "component", "x", "y", "evidence"]
-    rows = tiles.select(*columns).orderBy("tile_id").limit(limit).collect()
-    cell = lambda tag, v: f"<{tag}>{html.escape(str(v))}</{tag}>"
-    body = "".join(f"<tr>{''.join(cell('td', r[c]) for c in columns)}</tr>" for r in rows)
-    return f"<!DOCTYPE html><meta charset='utf-8'><table><tr>{''.join(cell('th', c) for c in columns)}</tr>{body}</table>"
+
+    def escaped(name: str) -> Column:
+        out = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        for mark, text in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            out = F.replace(out, F.lit(mark), F.lit(text))
+        return F.concat(F.lit("<td>"), out, F.lit("</td>"))
+
+    rows = numbered(tiles.select(*columns), [F.col("tile_id"), F.col("component")], "place")
+    row = F.concat(F.lit("<tr>"), *(escaped(c) for c in columns), F.lit("</tr>"))
+    pages = rows.groupBy(F.floor((F.col("place") - 1) / size).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", row.alias("row")))).alias("rows"))
+    head = "<!DOCTYPE html><meta charset='utf-8'><table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    return pages.select("page", F.concat(F.lit(head), F.array_join("rows.row", ""), F.lit("</table>")).alias("html"))
+
+
+def save_graph(tiles: DataFrame, edges: DataFrame, named: DataFrame, path: str) -> None:
+    """A JSON object a tile: its component and all tested pairs (i, j, status, inliers) in which it comes first."""
+    tested = edges.groupBy(F.col("i").alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("j", "status", "inliers"))).alias("pairs"))  # a tile's own neighbours
+    tiles.select("tile_id").join(named, "tile_id", "left").join(tested, "tile_id", "left").write.mode("overwrite").json(path)
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(tile_id, component, pairs) of a saved graph."""
+    return spark.read.schema("tile_id bigint, component bigint, pairs array<struct<j:bigint,status:string,inliers:bigint>>").json(path)
+
+
+REPORT = "run string, engine string, status string, error string, elapsed double, accepted bigint, components bigint"
+
+
+def save_report(rows: DataFrame, path: str) -> None:
+    """Rows of a comparison, failed ones with their error, as JSON lines by run."""
+    rows.write.mode("append").partitionBy("run").json(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all reports in a folder."""
+    return spark.read.schema(REPORT).json(path)
 
 
 def artifacts(files: DataFrame) -> DataFrame:

@@ -370,3 +370,75 @@ def test_cycles_cache_and_isolation(spark):
     write(e, 0)
     assert [n for n, _ in write.errors] == [0]
     assert [r.tile_id for r in report.evenly(spark.range(100).toDF("tile_id"), "tile_id", 3).orderBy("tile_id").collect()] == [0, 49, 99]
+
+
+def test_template_with_an_apostrophe(spark):
+    names = spark.createDataFrame([(0, "o'n_1_2.png"), (1, "other"), (2, "another"), (3, "o'n_1_2.png")], "idx long, file string")
+    out = {r.idx: (r.grid_row, r.grid_col, r.error) for r in scan.positions(names, "o'n_{row}_{col}.png").collect()}
+    assert out[0] == (1, 2, None) and "match" in out[1][2] and "match" in out[2][2] and "same cell" in out[3][2]
+
+
+def test_photometric_refinement():
+    rng = np.random.default_rng(3)
+    scene = k.gaussian_blur(rng.integers(0, 256, (140, 170)).astype(float), 2.0)
+    truth = np.array([[1.0, 0.01, 9.3], [-0.008, 1.0, 6.6], [1e-5, -1e-5, 1.0]])
+    y, x = np.mgrid[0:100, 0:120].astype(float)
+    q = k.apply_homography(truth, np.stack([x.ravel(), y.ravel()], 1))
+    a = k.bilinear(scene, q[:, 0], q[:, 1]).reshape(100, 120) * 0.8 + 12
+    start = truth + np.array([[0, 0, 1.2], [0, 0, -0.9], [0, 0, 0]])
+    corners = np.array([[0, 0], [119, 0], [0, 99], [119, 99]], float)
+    off = lambda h: np.hypot(*(k.apply_homography(h, corners) - k.apply_homography(truth, corners)).T).max()
+    assert off(k.refine_homography(a, scene, start)) < 0.2 < 1 < off(start)
+    assert (k.refine_homography(np.zeros((80, 80)), scene, truth) == truth).all()
+
+
+def test_merging_blends_the_overlap_alone():
+    base, added = np.full((64, 96), 80, np.uint8), np.full((64, 96), 120, np.uint8)
+    left, right = np.zeros((64, 96), bool), np.zeros((64, 96), bool)
+    left[:, :60], right[:, 40:] = True, True
+    out, mask = k.merge_multiband(np.where(left, base, 0).astype(np.uint8), left, np.where(right, added, 0).astype(np.uint8), right)
+    assert mask.all() and (out[:, :30] == 80).all() and (out[:, 70:] == 120).all() and 85 < out[32, 50] < 115
+    apart = right & ~left
+    out, mask = k.merge_multiband(base, left, added, apart)
+    assert (out[:, 60:] == 120).all() and (out[:, :60] == 80).all()
+
+
+def test_refinement_results(spark):
+    rows = [("success", layout.FRAME, [[1.0, 2.0]], [[1.0, 3.0]]), ("success", layout.FRAME, None, None), ("odd", layout.FRAME, None, None), ("failed", "crop", None, None), ("success", layout.FRAME, [[1.0, 2.0]], []), ("success", layout.FRAME, [[1.0, float("nan")]], [[1.0, 2.0]]), (None, None, None, None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, status string, frame string, points_a array<array<double>>, points_b array<array<double>>")
+    assert {r.id: r.error for r in layout.invalid_refinements(frame).collect()} == {2: "unknown status", 3: "unknown frame", 4: "points that don't fit together", 5: "points that don't fit together", 6: "unknown status"}
+
+
+def test_many_tiles_in_one_component():
+    """50,000 tiles of one component are placed over their sparse edges."""
+    rows, columns = 200, 250
+    tile = np.arange(rows * columns).reshape(rows, columns)
+    rng = np.random.default_rng(7)
+    truth = np.stack([(tile % columns).ravel() * 90.0, (tile // columns).ravel() * 70.0], 1) + rng.normal(size=(rows * columns, 2))
+    i, j = np.r_[tile[:, :-1].ravel(), tile[:-1].ravel()], np.r_[tile[:, 1:].ravel(), tile[1:].ravel()]
+    d = truth[j] - truth[i]
+    d[500::1000] += 40
+    p = k.solve_translations(tile.ravel(), i, j, d, np.ones(len(i)))
+    assert np.abs(p - (truth - truth[0])).max() < 2.0
+
+
+def test_nearest_in_blocks(spark):
+    """Blocks, ties and repeated descriptors give what comparing all pairs gives."""
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 4, (90, 6)).astype(float)
+    sides = [spark.createDataFrame([(int(n), [float(v) for v in points[n]]) for n in r], "kp_id long, descriptor array<float>") for r in (range(40), range(40, 90))]
+    expected = {}
+    for a in range(40):
+        near = sorted((float(np.sqrt(((points[a] - points[b]) ** 2).sum())), b) for b in range(40, 90))
+        if near[0][0] < 0.9 * near[1][0]:
+            expected[a] = near[0][1]
+    for block in (7, 1000):
+        assert {r.kp0: r.kp1 for r in match.knn_ratio(*sides, 0.9, block=block).collect()} == expected
+    assert match.knn_ratio(sides[0], sides[1].limit(0), 0.9).count() == 0 and match.knn_ratio(sides[0], sides[1].limit(1), 0.9).count() == 40
+
+
+def test_hub_and_long_chain(spark):
+    hub = [(0, n) for n in range(1, 400)] + [(1000 + n, 1001 + n) for n in range(300)]
+    frame = spark.createDataFrame(hub, "i long, j long").repartition(4)
+    out = {r.tile_id: r.component for r in graph.components(frame).collect()}
+    assert all(out[n] == 0 for n in range(400)) and all(out[1000 + n] == 1000 for n in range(301))
