@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import numbered
+
 STATUSES = ("accepted", "ambiguous", "failed", "predicted")
 
 
@@ -88,10 +90,10 @@ def health(jobs: DataFrame) -> DataFrame:
 
 def evenly(frame: DataFrame, order: str, n: int) -> DataFrame:
     """At most n rows at even steps of the order, both ends included; for listings."""
-    ranked = frame.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
     total = frame.count()
     if total <= n:
-        return ranked.drop("k")
+        return frame
+    ranked = numbered(frame, [F.col(order)], "k").withColumn("k", F.col("k") - 1)
     wanted = sorted({int(i * (total - 1) / (n - 1)) for i in range(n)}) if n > 1 else [0]
     return ranked.where(F.col("k").isin(wanted)).drop("k")
 

@@ -442,3 +442,16 @@ def test_hub_and_long_chain(spark):
     frame = spark.createDataFrame(hub, "i long, j long").repartition(4)
     out = {r.tile_id: r.component for r in graph.components(frame).collect()}
     assert all(out[n] == 0 for n in range(400)) and all(out[1000 + n] == 1000 for n in range(301))
+
+
+def test_gates_of_transforms(spark):
+    square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
+    assert k.clipped_area(square + 5, 10, 10) == 25 and k.clipped_area(square + 20, 10, 10) == 0 and k.clipped_area(square * 3 - 5, 10, 10) == 100
+    shift = lambda x, y: np.array([[1.0, 0, x], [0, 1.0, y], [0, 0, 1]])
+    assert k.plausible_homography(shift(300, 0), 400, 300) and not k.plausible_homography(shift(395, 0), 400, 300)
+    assert not k.plausible_homography(np.diag([-1.0, 1, 1]) + shift(400, 0) - np.eye(3), 400, 300)
+    a, _ = points((0, 0))
+    small = a / 100 + 50
+    for p, q, reason in ((a[:5], a[:5], "fewer than 12 matches"), (small, small + 3, "inliers in a small region"), (a, np.random.default_rng(1).uniform(0, 400, a.shape), "too few inliers")):
+        out = fit.reliable_homography(frame(spark, p, q), 400, 400).first()
+        assert not out.accepted and out.reason == reason
