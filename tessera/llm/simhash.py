@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -33,6 +33,8 @@ FOREST_ROOM = 1_000_000
 WORDS, SIMILARITY, WIDE = 5, 0.8, (16, 28)
 #: Texts sampled and shingles held to know common ones; signatures a bucket; pairs of rows looked at at once.
 SAMPLE, COMMON, BUCKET, PAIRS = 8192, 200_000, 500_000, 1_000_000
+#: Hash buckets by which rows are told that some ids can't concern.
+MARKS = 1 << 18
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -356,6 +358,15 @@ def _possible(maps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a bigint, b bigint")
 
 
+def _marked(ids: DataFrame, name: str = "id") -> DataFrame:
+    """(mark): the hash buckets of some ids, at most MARKS rows, so they may be broadcast."""
+    return F.broadcast(ids.select(_mark(name)).distinct())
+
+
+def _mark(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(MARKS)).alias("mark")
+
+
 def _tested(rows: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets are similar; the texts of these ids alone are sent."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -364,7 +375,9 @@ def _tested(rows: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Dat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t, 1) for t in common.texts(batch.column(1))], pa.binary())], names=["id", "t"])
 
-    bodies = rows.join(needed, "id", "left_semi").mapInArrow(packed, "id bigint, t binary")
+    # Most texts that no pair needs are told by their buckets and never shuffled.
+    some = rows.select("*", _mark("id")).join(_marked(needed), "mark", "left_semi").select("id", "t")
+    bodies = some.mapInArrow(packed, "id bigint, t binary").join(needed, "id", "left_semi")
     both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +422,9 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
     hashed = common.cut(rows.mapInArrow(run, "id bigint, fp bigint, fp2 bigint, whole bigint, n int, prefix binary, map binary"))
     files = common.files_for(hashed)
     equal = hashed.groupBy("fp", "fp2", "whole").agg(F.min("id").alias("rep"))
-    same = common.cut(hashed.select("id", "fp", "fp2", "whole").join(equal, ["fp", "fp2", "whole"]).select("id", "rep", "whole").where("id != rep").distinct(), files)
+    # The least ids get an exchange of their own (``u`` is ``whole`` again), so that a large group of copies may be split.
+    least = equal.select(F.col("fp").alias("f"), F.col("fp2").alias("g"), F.greatest("whole", F.least("whole", "rep")).alias("u"), "rep")
+    same = common.cut(hashed.select("id", "fp", "fp2", "whole").join(least, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("g")) & (F.col("whole") == F.col("u"))).select("id", "rep", "whole").where("id != rep").distinct(), files)
     distinct = equal.groupBy("fp").agg(F.min(F.struct("rep", "fp2")).alias("m")).select("fp", "m.rep", "m.fp2")
     # Different texts of one fingerprint are tested against its least id here, and against all others by their prefixes below.
     crowded = equal.select("fp", F.col("rep").alias("b")).join(distinct.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
@@ -419,8 +434,9 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
     groups = components(linked)
     first = common.cut(hashed.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")), files)
 
-    # Of texts of equal sets only the least id's is compared.
-    sets = hashed.select("id", "whole", "n", "prefix").join(same.select("id", "whole"), ["id", "whole"], "left_anti").join(first, "id")
+    # Of texts of equal sets only the least id's is compared. Prefixes are shuffled once, after all that is known without them.
+    compared = hashed.select("id", "whole").distinct().join(same.select("id", "whole"), ["id", "whole"], "left_anti").join(first, "id")
+    sets = hashed.select("id", "whole", "n", "prefix").join(compared, ["id", "whole"])
     pairs = common.cut(_possible(maps, shared_prefixes(sets, similarity), similarity), files)
     joined = _tested(rows, pairs, k, similarity)
     ends = joined.join(first.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
@@ -430,10 +446,17 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of the least id of each group of similar texts, and rows without an id; all columns stay. Of rows with one id and one text, one stays."""
-    first = similar_groups(df, id, text, k, similarity).where("id = component").select(F.col("id").alias("__first"))
-    kept = df.join(first, F.col(id).cast("long") == F.col("__first"), "left_semi")
+    groups = common.cut(similar_groups(df, id, text, k, similarity))
+    dropped = groups.where("id <> component").select("id")
+    repeated = df.select(F.col(id).cast("long").alias("id")).where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select("id")
+    # Rows in no bucket of a dropped or repeated id stay as they are, without a shuffle.
+    marks = _marked(common.cut(dropped.union(repeated).distinct(), common.files_for(groups)))
+    rows = df.withColumn("__mark", _mark(id))
+    free = rows.join(marks, F.col("__mark") == F.col("mark"), "left_anti").drop("__mark")
+    kept = rows.where(F.col(id).isNotNull()).join(marks, F.col("__mark") == F.col("mark"), "left_semi").join(dropped.select(F.col("id").alias("__dropped")), F.col(id).cast("long") == F.col("__dropped"), "left_anti")
     again = F.row_number().over(Window.partitionBy(id, F.xxhash64(text)).orderBy(id))
-    return kept.withColumn("__again", again).where("__again = 1").drop("__again").unionByName(df.where(F.col(id).isNull()))
+    unnumbered = df.where(F.col(id).isNull()).withColumn("__mark", _mark(id)).join(marks, F.col("__mark") == F.col("mark"), "left_semi").drop("__mark")
+    return free.unionByName(kept.withColumn("__again", again).where("__again = 1").drop("__again", "__mark")).unionByName(unnumbered)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
