@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One word of a text: a run of bytes other than space, tab, LF, VT, FF and CR.
@@ -90,3 +90,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return x
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with, for each column in ``sums``, ``before_<column>``: its sum over all rows that come before in a total order.
+
+    Rows are dealt out by ranges of the order and summed within each; the totals of
+    the ranges, one row a partition, are summed apart and broadcast. The ranges are drawn
+    from a sample, so they are fixed by a checkpoint before they are counted.
+    """
+    ranged = cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(*(F.sum(c).alias(c) for c in sums))
+    offsets = totals.select("__range", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__{c}") for c in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.join(F.broadcast(offsets), "__range")
+    return found.select(*df.columns, *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in sums))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, langid, media, mixing, pieces, simhash, substring, surrogates, toxicity, warc
+from tessera.llm import filters, fingerprint, langid, media, mixing, pieces, sharding, simhash, substring, surrogates, toxicity, turns, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media": media.op7_media,
         "op8_mixing": mixing.op8_mixing,
         "op9_fingerprint": fingerprint.op9_fingerprint,
+        "op11_turns": turns.op11_turns,
+        "op12_filters": filters.op12_filters,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op11_turns": turns.OP11_SQL, "op12_filters": filters.OP12_SQL, "op13_sharding": sharding.OP13_SQL}
