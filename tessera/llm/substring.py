@@ -35,7 +35,9 @@ from tessera.llm import common
 WIDTH = 20
 PAIR_ROUNDS = 5
 #: Text bytes parsed at once in a task, and characters of text for each bucket of anchors.
-CHUNK, BUCKET_CHARS = 1 << 20, 12_000_000
+CHUNK, BUCKET_CHARS = 1 << 20, 16_000_000
+#: A row, told from all others: whether it lacks an id, its id (0 if it does), and 128 bits of its text's hash. Rows come in this order.
+ROW = np.dtype([("none", "?"), ("id", "<i8"), ("high", "<u8"), ("low", "<u8")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -141,21 +143,36 @@ def _narrow(values: np.ndarray) -> tuple[int, bytes]:
     return size, values.astype(f"<u{size}").tobytes()
 
 
-def _pack(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
+def row_order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows: by id, null ids last, then by hash."""
+    return np.lexsort((rows["low"], rows["high"], rows["id"], rows["none"]))
+
+
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows as planes of bytes: those that are alike, as the high ones of ids, lie together and are packed well by the shuffle."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(-1, ROW.itemsize).T).tobytes()
+
+
+def _rows(data: bytes, count: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, count * ROW.itemsize, at).reshape(ROW.itemsize, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(ROW)
+
+
+def _pack(rows: np.ndarray, doc: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
     """One task's anchors of one bucket: 3 bytes of each name (the bucket has others), 6 of each window's hash."""
     used, doc = np.unique(doc, return_inverse=True)
     (d, docs), (s, starts) = _narrow(doc), _narrow(start)
     return b"".join([
-        struct.pack("<IIIBB", len(used), len(doc), len(hashes), d, s), ids[used].tobytes(), keys[used].tobytes(), docs, starts, count.astype(np.uint8).tobytes(),
+        struct.pack("<IIIBB", len(used), len(doc), len(hashes), d, s), _planes(rows[used]), docs, starts, count.astype(np.uint8).tobytes(),
         np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes(), np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
     ])
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    """ids, keys, doc, start, count, name, hashes."""
+    """rows, doc, start, count, name, hashes."""
     n_docs, n, n_hashes, d, s = struct.unpack_from("<IIIBB", data)
-    at, out = 14, []
-    for kind, size, count in (("<i8", 8, n_docs), ("<u4", 4, n_docs), (f"<u{d}", d, n), (f"<u{s}", s, n), ("u1", 1, n), ("", 3, n), ("", 6, n_hashes)):
+    at, out = 14 + n_docs * ROW.itemsize, [_rows(data, n_docs, 14)]
+    for kind, size, count in ((f"<u{d}", d, n), (f"<u{s}", s, n), ("u1", 1, n), ("", 3, n), ("", 6, n_hashes)):
         raw = np.frombuffer(data, np.uint8, size * count, at)
         at += size * count
         if kind:
@@ -167,24 +184,26 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _pack_starts(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket of the document, its part of some repeated windows); ``doc`` indexes ids and keys."""
-    # The key goes into it, so that the many rows that may lack an id are spread.
-    bucket = (common.mix(ids.view(np.uint64) ^ (keys.astype(np.uint64) << np.uint64(32)))[doc] % np.uint64(buckets)).astype(np.int64)
+def _pack_starts(rows: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of the document, its part of some repeated windows); ``doc`` indexes rows."""
+    # The hash goes into it, so that the many rows that may lack an id are spread.
+    bucket = (common.mix(rows["id"].view(np.uint64) ^ rows["low"])[doc] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, doc, bucket))
     doc, start, bucket = doc[order], start[order], bucket[order]
     edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else []
     for x, y in zip(edges, np.r_[edges[1:], len(bucket)]) if len(bucket) else ():
         used, count = np.unique(doc[x:y], return_counts=True)
-        yield int(bucket[x]), b"".join([struct.pack("<II", len(used), y - x), ids[used].astype(np.int64).tobytes(), keys[used].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), start[x:y].astype(np.uint32).tobytes()])
+        yield int(bucket[x]), b"".join([struct.pack("<II", len(used), y - x), _planes(rows[used]), count.astype(np.uint32).tobytes(), start[x:y].astype(np.uint32).tobytes()])
 
 
-def _unpack_starts(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+def _unpack_starts(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(row, packed starts)."""
     n, total = struct.unpack_from("<II", data)
-    ids, keys, count = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n), np.frombuffer(data, "<u4", n, 8 + 12 * n)
-    at = 8 + 16 * n
-    for i, k, c in zip(ids.tolist(), keys.tolist(), count.tolist()):
-        yield i, k, data[at : at + 4 * c]
+    rows, at = _rows(data, n, 8), 8 + ROW.itemsize * n
+    count = np.frombuffer(data, "<u4", n, at)
+    at += 4 * n
+    for k, c in enumerate(count.tolist()):
+        yield rows[k].tobytes(), data[at : at + 4 * c]
         at += 4 * c
 
 
@@ -193,15 +212,15 @@ def _heads(place: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarra
     return np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1) | (doc[1:] != doc[:-1])])
 
 
-def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, width: int) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+def _parse(rows: np.ndarray, texts: list[bytes], buckets: int, width: int) -> Iterator[tuple[int, bytes | None, bytes | None]]:
     """Rows (bucket, packed anchors, None) and (bucket, None, packed starts of windows that this task knows to be repeated)."""
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
+    order = row_order(rows)
+    rows = rows[order]
     hashes, counts = word_hashes([texts[i] for i in order])
     # One separator before each document and one at the end.
-    doc_of_word = np.repeat(np.arange(len(ids)), counts)
-    first = np.r_[0, np.cumsum(counts)[:-1]] + np.arange(len(ids)) + 1
-    words = np.zeros(len(hashes) + len(ids) + 1, np.uint64)
+    doc_of_word = np.repeat(np.arange(len(rows)), counts)
+    first = np.r_[0, np.cumsum(counts)[:-1]] + np.arange(len(rows)) + 1
+    words = np.zeros(len(hashes) + len(rows) + 1, np.uint64)
     at = np.arange(len(hashes)) + doc_of_word + 1
     words[at] = hashes | np.uint64(1)
     whole = np.arange(len(hashes)) + width <= np.cumsum(counts)[doc_of_word] if len(hashes) else np.zeros(0, bool)
@@ -221,10 +240,10 @@ def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
     chain = np.flatnonzero(np.r_[True, (own[some][1:] != own[some][:-1]) | (name[some][1:] != name[some][:-1])][: len(some)])
     lead = np.repeat(some[chain], np.diff(np.r_[chain, len(some)]))
     # Equal rows (same id, same text) are one document: a window isn't a repeat of itself.
-    itself = (ids[doc[some]] == ids[doc[lead]]) & (keys[doc[some]] == keys[doc[lead]]) & (start[some] == start[lead])
+    itself = (rows[doc[some]] == rows[doc[lead]]) & (start[some] == start[lead])
     repeat, drop = np.zeros(len(own), bool), np.zeros(len(own), bool)
     repeat[some], drop[some] = ~itself, some != lead
-    for b, packed in _pack_starts(ids, keys, doc[repeat], start[repeat], buckets):
+    for b, packed in _pack_starts(rows, doc[repeat], start[repeat], buckets):
         yield b, None, packed
     left = np.flatnonzero(~drop)
     windows, doc, start, own, name, place = windows[left], doc[left], start[left], own[left], name[left], place[left]
@@ -234,18 +253,18 @@ def _parse(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
     by_bucket = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(bucket[by_bucket]) != 0])
     for x, y in zip(edges, np.r_[edges[1:], len(by_bucket)]):
-        rows = by_bucket[x:y]
-        h, n = heads[rows], size[rows]
+        some = by_bucket[x:y]
+        h, n = heads[some], size[some]
         inside = np.repeat(h, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield int(bucket[rows[0]]), _pack(ids, keys, doc[h], name[h], start[h], n, own[inside]), None
+        yield int(bucket[some[0]]), _pack(rows, doc[h], name[h], start[h], n, own[inside]), None
 
 
-def _repeats(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, keys, doc, start) of the windows of one bucket that come earlier elsewhere; doc indexes ids and keys."""
+def _repeats(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, doc, start) of the windows of one bucket that come earlier elsewhere; doc indexes rows."""
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
-    start, count, name, own = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6))
+    rows = np.concatenate([p[0] for p in parts])
+    doc = np.concatenate([p[1] + b for p, b in zip(parts, base)])
+    start, count, name, own = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4, 5))
     order = np.argsort(name, kind="stable")
     ranked = name[order]
     same = ranked[1:] == ranked[:-1]
@@ -255,10 +274,10 @@ def _repeats(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.
     name, doc, start, count = name[shared], doc[shared], start[shared], count[shared]
     start = np.repeat(start, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     doc, name = np.repeat(doc, count), np.repeat(name, count)
-    # Documents in the order of id and key; equal ones are one.
-    by = np.lexsort((keys, ids))
-    new = np.r_[False, (np.diff(ids[by]) != 0) | (np.diff(keys[by].astype(np.int64)) != 0)]
-    rank = np.empty(len(ids), np.int64)
+    # Documents in their order; equal ones are one.
+    by = row_order(rows)
+    new = np.r_[False, rows[by][1:] != rows[by][:-1]]
+    rank = np.empty(len(rows), np.int64)
     rank[by] = np.cumsum(new)
     found = rank[doc]
     order = np.lexsort((start, found, own, name))
@@ -266,7 +285,7 @@ def _repeats(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.
     head = np.r_[True, (name[1:] != name[:-1]) | (own[1:] != own[:-1])][: len(name)]
     chain = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
     gone = (found != found[chain]) | (start != start[chain])
-    return ids, keys, doc[gone], start[gone]
+    return rows, doc[gone], start[gone]
 
 
 def kept_words(text: bytes, starts: np.ndarray, width: int = WIDTH) -> tuple[int, list[bytes]]:
@@ -281,8 +300,22 @@ def kept_words(text: bytes, starts: np.ndarray, width: int = WIDTH) -> tuple[int
     return len(words), [w for w, k in zip(words, keep.tolist()) if k]
 
 
+#: The columns of a row's identity, as Spark has them, and of the starts of its repeated windows.
+KEYS = "none boolean, id bigint, high bigint, low bigint"
+_HALVES = ("high", "low")
+
+
+def identities(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows (``ROW``) of a batch whose first columns are ``KEYS``."""
+    rows = np.empty(batch.num_rows, ROW)
+    for k, c in enumerate(ROW.names):
+        column = batch.column(k).to_numpy(zero_copy_only=False)
+        rows[c] = column.view(np.uint64) if c in _HALVES else column
+    return rows
+
+
 def repeated_windows(rows: DataFrame, chars: int, width: int = WIDTH) -> DataFrame:
-    """(id, key, starts): starts (packed 32-bit numbers) of windows whose words also start earlier, from the rows of ``keyed`` and their number of characters."""
+    """(none, id, high, low, starts): starts (packed 32-bit numbers) of windows whose words also start earlier, from the rows of ``keyed`` and their number of characters."""
     n = int(max(common.shuffle_partitions(rows.sparkSession), chars // BUCKET_CHARS + 1))
     schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("starts", pa.binary())])
     sql = "bucket int, anchors binary, starts binary"
@@ -292,10 +325,9 @@ def repeated_windows(rows: DataFrame, chars: int, width: int = WIDTH) -> DataFra
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            body = common.texts(batch.column(2))
+            who, body = identities(batch), common.texts(batch.column(4))
             for a, b in common.slices([len(t) for t in body], CHUNK):
-                found = list(_parse(ids[a:b], keys[a:b].astype(np.uint32), body[a:b], n, width))
+                found = list(_parse(who[a:b], body[a:b], n, width))
                 if found:
                     yield batch_of(found)
 
@@ -316,24 +348,28 @@ def repeated_windows(rows: DataFrame, chars: int, width: int = WIDTH) -> DataFra
                 yield batch_of(found)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts: dict[tuple[int, int], list[bytes]] = {}
+        starts: dict[bytes, list[bytes]] = {}
         for batch in batches:
             for packed in batch.column(2).to_pylist():
-                for i, k, s in _unpack_starts(packed):
-                    starts.setdefault((i, k), []).append(s)
-        rows = [(i, k, b"".join(s)) for (i, k), s in starts.items()]
-        for a, b in common.slices([len(s) for *_, s in rows], 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int64(), pa.binary()))], names=["id", "key", "starts"])
+                for row, s in _unpack_starts(packed):
+                    starts.setdefault(row, []).append(s)
+        found = [(row, b"".join(s)) for row, s in starts.items()]
+        for a, b in common.slices([len(s) for _, s in found], 4 << 20):
+            who = np.frombuffer(b"".join(row for row, _ in found[a:b]), ROW)
+            columns = [pa.array(who[c].view(np.int64) if c in _HALVES else who[c]) for c in ROW.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in found[a:b]], pa.binary())], names=[*ROW.names, "starts"])
 
     # One bucket is one partition (dealt out by its number, not by a hash of it), first of anchors, then of documents.
     settled = rows.mapInArrow(parse, sql).repartitionById(n, "bucket").mapInArrow(settle, sql)
-    return settled.repartitionById(n, "bucket").mapInArrow(gather, "id bigint, key bigint, starts binary")
+    return settled.repartitionById(n, "bucket").mapInArrow(gather, KEYS + ", starts binary")
 
 
 def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, key, t): a null id counts as the largest; key tells apart rows of one id with different texts."""
+    """(none, id, high, low, t): whether a row lacks an id, its id, and 128 bits of its text's hash, which tell apart the rows of one id and those without any."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), t.alias("t"))
+    own, half = F.col(id).cast("long"), lambda a: F.conv(F.substring("__md5", a, 16), 16, -10).cast("long")
+    rows = df.select(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.md5(t).alias("__md5"), t.alias("t"))
+    return rows.select("none", "id", half(1).alias("high"), half(17).alias("low"), "t")
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -342,24 +378,26 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     A window of ``width`` words is repeated if its words also start earlier: in
     a row of a smaller id, or in the same text further left. Null texts have no
     word. Rows of one id with different texts are ordered by a hash of the text;
-    equal rows are one document and have equal results. Null ids come last.
+    equal rows are one document and have equal results. Null ids come last, each text a document of its own.
     """
     rows = keyed(df, id, text)
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     pieces = repeated_windows(rows, chars, width)
-    joined = rows.join(pieces.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "t", "starts")
+    other = pieces.withColumnsRenamed({c: f"__{c}" for c in ROW.names})
+    same = [F.col(c) == F.col(f"__{c}") for c in ROW.names]
+    joined = rows.join(other, same, "left").select("none", "id", "t", "starts")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, left, kept = [], [], []
-            for body, starts in zip(common.texts(batch.column(1)), batch.column(2).to_pylist()):
+            for body, starts in zip(common.texts(batch.column(2)), batch.column(3).to_pylist()):
                 n, words = kept_words(body, np.frombuffer(starts or b"", np.uint32), width)
                 total.append(n), left.append(n - len(words)), kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(left, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(left, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["none", "id", "n_words", "n_removed", "kept"])
 
     # Not many more partitions than the texts have megabytes, however finely the shuffle is cut.
-    done = joined.mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, kept string").coalesce(int(max(12, chars >> 22)))
-    return done.select(F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias(id), "n_words", "n_removed", "kept")
+    done = joined.mapInArrow(keep, "none boolean, id bigint, n_words bigint, n_removed bigint, kept string").coalesce(int(max(12, chars >> 22)))
+    return done.select(F.when(~F.col("none"), F.col("id")).alias(id), "n_words", "n_removed", "kept")
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,11 +76,11 @@ def test_equal_windows_have_equal_anchors(symbols, shift):
 
 
 def test_packing():
-    ids, keys = np.array([5, 7, 9]), np.array([1, 2, 3], np.uint32)
+    rows = np.array([(False, 5, 1, 1 << 63), (True, 0, 2, 3), (False, -9, (1 << 64) - 1, 4)], s.ROW)
     for big in (10, 1 << 20):
-        packed = s._pack(ids, keys, np.array([0, 2, 2]), np.array([1 << 30, 2, 3], np.uint64), np.array([0, big, 4]), np.array([1, 2, 1]), np.arange(4, dtype=np.uint64) << np.uint64(20))
-        i, k, doc, start, count, name, own = s._unpack(packed)
-        assert i.tolist() == [5, 9] and k.tolist() == [1, 3] and doc.tolist() == [0, 1, 1] and start.tolist() == [0, big, 4] and count.tolist() == [1, 2, 1]
+        packed = s._pack(rows, np.array([0, 2, 2]), np.array([1 << 30, 2, 3], np.uint64), np.array([0, big, 4]), np.array([1, 2, 1]), np.arange(4, dtype=np.uint64) << np.uint64(20))
+        who, doc, start, count, name, own = s._unpack(packed)
+        assert who.tolist() == rows[[0, 2]].tolist() and doc.tolist() == [0, 1, 1] and start.tolist() == [0, big, 4] and count.tolist() == [1, 2, 1]
         assert own.tolist() == [x << 20 for x in range(4)]
 
 
@@ -97,3 +97,30 @@ def test_awkward_rows(spark, awkward, empty):
     by = {r.doc_id: r for r in out}
     assert by[9].n_removed == 2999 and by[6].n_removed == 60 and by[5].n_removed == 0 and by[0].kept == ""
     assert hashlib.sha256(by[2].kept.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_rows_that_share_all_but_one_part_of_their_key(spark):
+    """Rows without an id whose hashes meet in one half, and one whose id is the number that other code uses for null."""
+    texts = [sentence(k, 25) for k in range(4)]
+    rows = [(False, 1, 5, 5, texts[0]), (True, 0, 7, 9, texts[0]), (True, 0, 8, 9, texts[1]), (True, 0, 7, 10, texts[2]), (False, 0, 7, 9, texts[3])]
+    frame = spark.createDataFrame(rows, s.KEYS + ", t string")
+    out = {tuple(r)[:4]: len(np.frombuffer(r.starts, np.uint32)) for r in s.repeated_windows(frame, 1000).collect()}
+    assert out == {(True, 0, 7, 9): 6}
+
+
+def test_extreme_and_missing_ids(spark):
+    p = sentence(5, 30)
+    compare(spark, [((1 << 63) - 1, p), (-(1 << 63), sentence(9, 30)), (0, sentence(9, 30)), (None, p), (None, sentence(9, 30)), (None, None), (None, "")])
+    compare(spark, [(None, f"{sentence(k, 25)} {p if k % 3 else ''} {k}") for k in range(1000)] + [(3, p)])
+
+
+def test_keys_are_the_halves_of_a_digest(spark):
+    frame = spark.createDataFrame([(None, "x"), (4, None)], "doc_id long, text string")
+    for r in s.keyed(frame, "doc_id", "text").collect():
+        d = hashlib.md5(r.t.encode()).digest()
+        assert (r.none, r.id) == ((True, 0) if r.t else (False, 4)) and [r.high & (1 << 64) - 1, r.low & (1 << 64) - 1] == [int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big")]
+
+
+def test_a_very_long_text(spark):
+    long = sentence(11, 250_000)
+    compare(spark, [(1, sentence(12, 40) + " " + long), (2, long + " " + sentence(12, 40)), (3, "word " * 200_000)])
