@@ -13,7 +13,7 @@ from tests.llm.conftest import sentence
 def brute(rows, width=20):
     """{(id, text): (words, removed, kept text)} by remembering every window."""
     seen, out = set(), {}
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0], r[1] or "")):
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0], hashlib.md5((r[1] or "").encode()).digest())):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = [False] * len(w)
         for a in range(len(w) - width + 1):
