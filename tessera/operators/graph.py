@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,27 +40,61 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
 
+def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of ``n`` nodes that links (i, j) join each node to."""
+    label = np.arange(n)
+    while len(i):
+        # Every label goes down to the least label across its links, then to its own label's label.
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
+        while (new[new] != new).any():
+            new = new[new]
+        label = new[label]
+        if (label[i] == label[j]).all():
+            break
+    return label
+
+
 def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each batch as links of its nodes to the least node that the batch connects them with."""
     for batch in batches:
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-        i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-        while len(i):
-            # Every label goes down to the least label across its links, then to its own label's label.
-            least = np.minimum(label[i], label[j])
-            new = label.copy()
-            np.minimum.at(new, label[i], least)
-            np.minimum.at(new, label[j], least)
-            while (new[new] != new).any():
-                new = new[new]
-            label = new[label]
-            if (label[i] == label[j]).all():
-                break
+        label = labels(len(nodes), at[: len(a)], at[len(a) :])
         moved = label != np.arange(len(nodes))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
 
+def _whole(of_batches):
+    """The same function over each partition as one batch; for partitions of about ROWS_A_FILE rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(batches):
+            yield from of_batches(iter(pa.Table.from_batches(found).combine_chunks().to_batches()))
+
+    return run
+
+
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (i, j, w, ci, cj) of each batch that are in the maximum spanning forest of its nodes ci, cj. No other edge of it can be in that of the whole."""
+    for batch in batches:
+        i, j, w, ci, cj = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        order = np.lexsort((j, i, -w))
+        nodes, at = np.unique(np.r_[ci, cj], return_inverse=True)
+        a, b = at[: len(i)][order], at[len(i) :][order]
+        label, keep, alive = np.arange(len(nodes)), np.zeros(len(i), bool), np.arange(len(i))
+        while len(alive := alive[label[a[alive]] != label[b[alive]]]):
+            best = np.full(len(nodes), len(i))
+            np.minimum.at(best, label[a[alive]], alive)
+            np.minimum.at(best, label[b[alive]], alive)
+            picks = np.unique(best[best < len(i)])
+            keep[picks] = True
+            label = labels(len(nodes), label[a[picks]], label[b[picks]])[label]
+        yield batch.take(pa.array(np.sort(order[keep])))
+
+
 def _settled(links: DataFrame) -> bool:
     """Whether the links (a, b) are stars already: no node has two targets or is both a source and a target."""
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e")).select("e.*")
@@ -69,17 +104,20 @@ def _settled(links: DataFrame) -> bool:
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(tile_id, component): the smallest tile that edges (i, j) reach; ``nodes`` (tile_id) adds tiles without an edge.
 
-    Links are first replaced by stars in each batch of rows. Then large-star and
-    small-star rounds: each is two joins and two aggregations with partial
+    Links are first replaced by stars in each batch of rows, then in each of as many partitions as
+    their number asks for; if that is one, they are settled. Else large-star and
+    small-star rounds follow: each is two joins and two aggregations with partial
     minima, and one checkpoint. Minima have an exchange of their own, by an
     expression that rows aren't dealt out by yet, so skew handling may split a hub's rows.
     """
     apart = lambda node: F.greatest(node, F.least(node, "m"))
     links = edges.select(F.greatest("i", "j").cast("long").alias("a"), F.least("i", "j").cast("long").alias("b")).where("a <> b")
     e = cut(links.mapInArrow(local_stars, "a bigint, b bigint").distinct())
-    parts = 6 + e.count() // ROWS_A_FILE
+    parts = 1 + (found := e.count()) // ROWS_A_FILE
+    if found:
+        e = cut(e.coalesce(parts).mapInArrow(_whole(local_stars), "a bigint, b bigint"))
     for _ in range(max_rounds):
-        if _settled(e):
+        if parts == 1 or _settled(e):
             break
         both = _both(e)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(apart("a").alias("u"), F.least("a", "m").alias("m"))
@@ -99,25 +137,32 @@ def spanning_forest(edges: DataFrame, weight: str = "inliers", max_rounds: int =
     """The maximum spanning forest of (i, j, weight): Boruvka rounds in which each component takes its best edge.
 
     Edges are ordered by weight, then the least i, then the least j, a total
-    order, so the forest is the one that Kruskal's algorithm finds.
+    order, so the forest is the one that Kruskal's algorithm finds. Each partition first
+    drops the edges that aren't in its own forest. A round's picks join the labels of the round before, so
+    only labels that are left are named anew; once one partition holds all edges that are left, its own forest ends the rounds.
     """
-    rest = cut(edges.select("i", "j", F.col(weight).alias("w"), F.col("i").alias("ci"), F.col("j").alias("cj")))
-    parts = 6 + rest.count() // ROWS_A_FILE
-    chosen = None
+    schema = "i bigint, j bigint, w double, ci bigint, cj bigint"
+    own = [F.col(c).cast("long").alias(n) for c, n in (("i", "i"), ("j", "j"), ("i", "ci"), ("j", "cj"))]
+    kind = edges.schema[weight].dataType
+    rest = edges.where("i <> j").select(own[0], own[1], F.col(weight).cast("double").alias("w"), own[2], own[3])
+    chosen = []
     for _ in range(max_rounds):
-        key = F.struct((-F.col("w")).alias("n"), "i", "j")
-        ends = rest.select(F.explode(F.array("ci", "cj")).alias("c"), key.alias("k"))
-        picks = cut(ends.groupBy("c").agg(F.min("k").alias("k")).select("k.i", "k.j", (-F.col("k.n")).alias("w")).distinct(), parts)
-        if picks.isEmpty():
+        rest = cut(rest.mapInArrow(_whole(local_forest), schema))
+        parts = 1 + rest.count() // ROWS_A_FILE
+        if parts == 1:
+            chosen.append(cut(rest.coalesce(1).mapInArrow(_whole(local_forest), schema).select("i", "j", "w")))
             break
-        chosen = cut(picks if chosen is None else chosen.union(picks).distinct(), parts)
-        names = components(chosen)
-        a, b = names.select(F.col("tile_id").alias("i"), F.col("component").alias("na")), names.select(F.col("tile_id").alias("j"), F.col("component").alias("nb"))
-        moved = rest.join(a, "i", "left").join(b, "j", "left").select("i", "j", "w", F.coalesce("na", "ci").alias("ci"), F.coalesce("nb", "cj").alias("cj"))
-        rest = cut(moved.where("ci <> cj"), parts)
-    if chosen is None:
-        return edges.select("i", "j", F.col(weight)).limit(0)
-    return chosen.select("i", "j", F.col("w").alias(weight))
+        key = F.struct((-F.col("w")).alias("n"), "i", "j", "ci", "cj")
+        ends = rest.select(F.explode(F.array("ci", "cj")).alias("c"), key.alias("k"))
+        picks = cut(ends.groupBy("c").agg(F.min("k").alias("k")).select("k.i", "k.j", (-F.col("k.n")).alias("w"), "k.ci", "k.cj").distinct(), parts)
+        chosen.append(picks.select("i", "j", "w"))
+        names = components(picks.select(F.col("ci").alias("i"), F.col("cj").alias("j")))
+        a, b = names.select(F.col("tile_id").alias("ci"), F.col("component").alias("na")), names.select(F.col("tile_id").alias("cj"), F.col("component").alias("nb"))
+        moved = rest.join(a, "ci").join(b, "cj").where("na <> nb").select("i", "j", "w", F.col("na").alias("ci"), F.col("nb").alias("cj"))
+        rest = moved.coalesce(parts)
+    else:
+        raise RuntimeError("the forest didn't settle")
+    return reduce(DataFrame.union, chosen).select("i", "j", F.col("w").cast(kind).alias(weight))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

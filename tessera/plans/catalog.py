@@ -305,17 +305,11 @@ def layout_excluded(spark, d):
     return graph.excluded(named, graph.ranked_groups(named, _edges(spark, d).where("status = 'accepted'")))
 
 
-#: Kruskal's algorithm as a recursion over the edges in order: labels of both ends are merged, and an edge between two labels is kept.
+#: An edge is in the forest unless better edges join its ends already.
 _KRUSKAL = """+ o AS (SELECT i, j, inliers, row_number() OVER (ORDER BY inliers DESC, i, j) k FROM edges WHERE status = 'accepted'),
-s(k, labels, kept) AS (
-  SELECT 0::BIGINT, (SELECT map_from_entries(list(struct_pack(k := tile_id, v := tile_id))) FROM tiles), false
-  UNION ALL
-  SELECT o.k,
-         CASE WHEN labels[o.i] = labels[o.j] THEN labels ELSE map_from_entries(list_transform(map_entries(labels),
-           lambda e: struct_pack(k := e.key, v := CASE WHEN e.value = greatest(labels[o.i], labels[o.j]) THEN least(labels[o.i], labels[o.j]) ELSE e.value END))) END,
-         labels[o.i] <> labels[o.j]
-  FROM s JOIN o ON o.k = s.k + 1)
-SELECT o.i, o.j, o.inliers FROM s JOIN o ON o.k = s.k WHERE kept"""
+und AS (SELECT i a, j b, k FROM o UNION ALL SELECT j, i, k FROM o),
+r(k, n) AS (SELECT k, i FROM o UNION SELECT r.k, und.b FROM r JOIN und ON und.a = r.n AND und.k < r.k)
+SELECT i, j, inliers FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = o.k AND r.n = o.j)"""
 
 
 @query(_KRUSKAL, "edges")

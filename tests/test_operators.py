@@ -1,5 +1,7 @@
 """Operators that SQL can't express, and their invariants."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -409,17 +411,74 @@ def test_refinement_results(spark):
     assert {r.id: r.error for r in layout.invalid_refinements(frame).collect()} == {2: "unknown status", 3: "unknown frame", 4: "points that don't fit together", 5: "points that don't fit together", 6: "unknown status"}
 
 
-def test_many_tiles_in_one_component():
-    """50,000 tiles of one component are placed over their sparse edges."""
-    rows, columns = 200, 250
+def grid_of(rows, columns, outliers=True):
     tile = np.arange(rows * columns).reshape(rows, columns)
-    rng = np.random.default_rng(7)
-    truth = np.stack([(tile % columns).ravel() * 90.0, (tile // columns).ravel() * 70.0], 1) + rng.normal(size=(rows * columns, 2))
+    truth = np.stack([(tile % columns).ravel() * 90.0, (tile // columns).ravel() * 70.0], 1) + np.random.default_rng(7).normal(size=(rows * columns, 2))
     i, j = np.r_[tile[:, :-1].ravel(), tile[:-1].ravel()], np.r_[tile[:, 1:].ravel(), tile[1:].ravel()]
     d = truth[j] - truth[i]
-    d[500::1000] += 40
-    p = k.solve_translations(tile.ravel(), i, j, d, np.ones(len(i)))
-    assert np.abs(p - (truth - truth[0])).max() < 2.0
+    if outliers:
+        d[min(500, len(d) // 2) :: 1000] += 40
+        d[7::61] -= 12
+    return tile.ravel(), truth, i, j, d
+
+
+@pytest.mark.parametrize("rows, columns", [(6, 9), (19, 21), (1, 400)])
+def test_places_equal_a_dense_solve(rows, columns):
+    """Each round of reweighting solved densely, below and above the size up to which components are eliminated."""
+    nodes, _, i, j, d = grid_of(rows, columns)
+    m, robust = np.zeros((len(i), len(nodes))), np.ones(len(i))
+    m[np.arange(len(i)), j], m[np.arange(len(i)), i] = 1, -1
+    for _ in range(6):
+        root = np.sqrt(robust)[:, None]
+        p = np.zeros((len(nodes), 2))
+        p[1:] = np.linalg.lstsq(m[:, 1:] * root, d * root, rcond=None)[0]
+        r = np.hypot(*(p[j] - p[i] - d).T)
+        robust = np.minimum(1, max(2.0, 1.5 * np.median(r)) / np.maximum(r, 1e-12))
+    assert np.abs(k.solve_translations(nodes, i, j, d, np.ones(len(i))) - p).max() < 1e-5
+
+
+def test_many_tiles_in_one_component():
+    """50,000 tiles of one component: true places without outliers, and with them the normal equations of a round hold."""
+    nodes, truth, i, j, d = grid_of(200, 250, outliers=False)
+    began = time.time()
+    assert np.abs(k.solve_translations(nodes, i, j, d, np.ones(len(i))) - (truth - truth[0])).max() < 1e-4
+    nodes, truth, i, j, d = grid_of(200, 250)
+    weight = np.random.default_rng(3).uniform(0.2, 2, len(i))
+    p = k.solve_translations(nodes, i, j, d, weight, rounds=1)
+    force = weight[:, None] * (p[j] - p[i] - d)
+    left = [np.bincount(j, f, len(nodes)) - np.bincount(i, f, len(nodes)) for f in force.T]
+    assert max(np.abs(x).max() for x in left) < 1e-4
+    k.solve_translations(nodes, i, j, d, weight)
+    assert time.time() - began < 120
+
+
+def forest_by_kruskal(edges):
+    parent, out = {}, set()
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if root(i) != root(j):
+            parent[root(i)] = root(j)
+            out.add((i, j, w))
+    return out
+
+
+@pytest.mark.parametrize("rows_a_file", [100_000, 40])
+def test_forest_in_rounds(spark, monkeypatch, rows_a_file):
+    """Many ties, repeated edges and several components, in one partition and in many rounds."""
+    monkeypatch.setattr(graph, "ROWS_A_FILE", rows_a_file)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 150, 700), rng.integers(0, 150, 700), rng.integers(1, 6, 700)) if a != b and a % 5 == b % 5]
+    edges += edges[:20] + [(1000 + n, 1001 + n, 1 + n % 3) for n in range(200)]
+    frame = spark.createDataFrame(edges, "i long, j long, inliers int").repartition(7)
+    assert {tuple(r) for r in graph.spanning_forest(frame).collect()} == forest_by_kruskal(edges)
+    assert graph.spanning_forest(frame.limit(0)).count() == 0
+    parts = {r.tile_id: r.component for r in graph.components(frame.select("i", "j")).collect()}
+    assert all(parts[i] == parts[j] for i, j, _ in edges) and len(set(parts.values())) == len(parts) - len(forest_by_kruskal(edges))
 
 
 def test_nearest_in_blocks(spark):
