@@ -126,16 +126,16 @@ def compose(a: str, b: str) -> Column:
 
 
 def mesh(points: DataFrame, named: DataFrame, width: int, height: int, max_motion: float, max_strain: float, max_error: float) -> DataFrame:
-    """(component, tile_id, mesh, accepted): reconciled 5 x 5 meshes from matched points (i, j, ax, ay, bx, by, dx, dy) of each component."""
+    """(component, tile_id, mesh, accepted, reason): reconciled 5 x 5 meshes from matched points (i, j, ax, ay, bx, by, dx, dy) of each component; ``render_chunks`` takes them."""
     rows = points.join(named.select(F.col("tile_id").alias("i"), "component"), "i")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.r_[pdf.i, pdf.j])
         i, j = np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j)
-        meshes, ok = kernels.reconcile_mesh(len(nodes), i, j, pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float), width, height, max_motion, max_strain, max_error)
-        return pd.DataFrame({"component": pdf.component.iloc[0], "tile_id": nodes, "mesh": [m.reshape(-1).tolist() for m in meshes], "accepted": ok})
+        meshes, reason = kernels.reconcile_mesh(len(nodes), i, j, pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float), width, height, max_motion, max_strain, max_error)
+        return pd.DataFrame({"component": pdf.component.iloc[0], "tile_id": nodes, "mesh": [m.reshape(-1).tolist() for m in meshes], "accepted": reason is None, "reason": reason})
 
-    return rows.groupBy("component").applyInPandas(fit, "component bigint, tile_id bigint, mesh array<double>, accepted boolean")
+    return rows.groupBy("component").applyInPandas(fit, "component bigint, tile_id bigint, mesh array<double>, accepted boolean, reason string")
 
 
 def relative_to(poses: DataFrame, references: DataFrame) -> DataFrame:
@@ -155,8 +155,8 @@ def cycle_residuals(edges: DataFrame, forest: DataFrame, poses: DataFrame, limit
 
 
 def mesh_basis(x: str, y: str, width: float, height: float, nodes: int = 5) -> list[Column]:
-    """Row and column of the mesh cell around a point, and the four bilinear weights (upper left, upper right, lower left, lower right)."""
-    u, v = F.least(F.greatest(F.col(x) / width, F.lit(0.0)), F.lit(1.0)) * (nodes - 1), F.least(F.greatest(F.col(y) / height, F.lit(0.0)), F.lit(1.0)) * (nodes - 1)
+    """Row and column of the mesh cell around a point of a tile, whose outer nodes are the centres of its corner pixels, and the four bilinear weights (upper left, upper right, lower left, lower right)."""
+    u, v = (F.least(F.greatest(F.col(p) / max(size - 1, 1), F.lit(0.0)), F.lit(1.0)) * (nodes - 1) for p, size in ((x, width), (y, height)))
     c, r = F.least(F.floor(u), F.lit(nodes - 2)), F.least(F.floor(v), F.lit(nodes - 2))
     fu, fv = u - c, v - r
     return [r.alias("mesh_row"), c.alias("mesh_col"), ((1 - fu) * (1 - fv)).alias("w00"), (fu * (1 - fv)).alias("w01"), ((1 - fu) * fv).alias("w10"), (fu * fv).alias("w11")]

@@ -53,37 +53,137 @@ def boundary_feather(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("y", "x").agg(F.rint(F.sum(w * F.col("value")) / F.greatest(F.sum(w), F.lit(1e-12))).cast("int").alias("value"), F.count("*").alias("coverage"))
 
 
+#: A crop of a tile for one chunk.
+CROPS = "component bigint, cy bigint, cx bigint, tile_id bigint, x double, y double, width int, height int, channels int, dtype string, mesh array<double>, `left` int, top int, cols int, `rows` int, data binary, mask binary"
+CHUNKS = "component bigint, cy bigint, cx bigint, height int, width int, data binary, coverage binary"
+
+
+def _mesh_of(values) -> np.ndarray | None:
+    """A square mesh of (dx, dy) from a flat array; None for no mesh or one that moves nothing."""
+    if values is None or not len(values):
+        return None
+    mesh = np.asarray(values, float)
+    side = round((len(mesh) / 2) ** 0.5)
+    mesh = mesh.reshape(side, side, 2)
+    return mesh if mesh.any() else None
+
+
+def crops(tiles: DataFrame, chunk: int = 512) -> DataFrame:
+    """The part of each placed tile that each chunk can need (``CROPS``): the chunk less the tile's place, reaching as far as the tile's mesh moves anything.
+
+    Only these parts are shuffled, so a tile's pixels travel about once, however many chunks it touches.
+    """
+
+    def cut(batches):
+        names = [f.strip("` ").split()[0].strip("`") for f in CROPS.split(", ")]
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                w, h, n = r["width"], r["height"], r["channels"]
+                image = np.frombuffer(r["data"], np.dtype(r["dtype"])).reshape(h, w, n)
+                hidden = None if r["mask"] is None else np.frombuffer(r["mask"], np.uint8).reshape(h, w) > 0
+                mesh = _mesh_of(r["mesh"])
+                low, high = ((0.0, 0.0), (0.0, 0.0)) if mesh is None else (mesh.min(axis=(0, 1)), mesh.max(axis=(0, 1)))
+                spans = []
+                for at, size, a, b in ((r["x"], w, low[0], high[0]), (r["y"], h, low[1], high[1])):
+                    first, last = int(np.floor((at + a) / chunk)), int(np.floor((at + size - 1 + b) / chunk))
+                    found = []
+                    for c in range(first, last + 1):
+                        begin = max(0, int(np.floor(c * chunk - at - b)) - 1)
+                        end = min(size, int(np.ceil((c + 1) * chunk - 1 - at - a)) + 2)
+                        if begin < end:
+                            found.append((c, begin, end))
+                    spans.append(found)
+                out = []
+                for cy, top, bottom in spans[1]:
+                    for cx, left, right in spans[0]:
+                        part = np.ascontiguousarray(image[top:bottom, left:right]).tobytes()
+                        shown = None if hidden is None else np.ascontiguousarray(hidden[top:bottom, left:right]).tobytes()
+                        out.append((r["component"], cy, cx, r["tile_id"], r["x"], r["y"], w, h, n, r["dtype"], r["mesh"], left, top, right - left, bottom - top, part, shown))
+                yield pd.DataFrame(out, columns=names)
+
+    own = [F.col(c).cast("double").alias(c) if c in ("x", "y") else F.col(c) for c in ("component", "tile_id", "x", "y", "width", "height", "channels", "dtype", "data")]
+    more = [F.col(c) if c in tiles.columns else F.lit(None).cast(t).alias(c) for c, t in (("mesh", "array<double>"), ("mask", "binary"))]
+    return tiles.select(*own, *more).where("x IS NOT NULL AND y IS NOT NULL AND data IS NOT NULL").mapInPandas(cut, CROPS)
+
+
 def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
-    """(component, cy, cx, height, width, data, coverage): blended chunks of placed 8- or 16-bit tiles.
+    """(component, cy, cx, height, width, data, coverage): blended chunks, of those that some pixel covers, of placed 8- or 16-bit tiles.
 
-    tiles: component, tile_id, x, y, width, height, channels, dtype, data (raw samples). Each chunk is a
-    group of the tiles that touch it, so memory is a chunk's; results don't depend on the chunk size.
+    tiles: component, tile_id, x, y, width, height, channels, dtype, data (raw samples), and perhaps mesh (square, rows of
+    (dx, dy) over the tile, as ``layout.mesh`` gives it) and mask (a byte a pixel, 0 hides it). A tile's pixel p lies at its place plus p
+    plus the mesh at p; a chunk's pixels look for it by fixed-point rounds. Weights are the distances to the tile's border. A chunk's crops come in the order
+    of the tiles and are added up one by one, so memory is a chunk's however many tiles lie there, and results don't depend on the chunk size.
     """
-    wanted = ["component", "tile_id", "x", "y", "width", "height", "channels", "dtype", "data"]
-
-    def blend(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        component, cy, cx = key
-        pdf = pdf.sort_values("tile_id")
-        n, kind = int(pdf.channels.iloc[0]), np.dtype(pdf["dtype"].iloc[0])
-        total, weight, count = np.zeros((chunk, chunk, n)), np.zeros((chunk, chunk)), np.zeros((chunk, chunk), np.uint16)
-        for r in pdf.to_dict("records"):
-            image = np.frombuffer(r["data"], kind).reshape(r["height"], r["width"], n).astype(float)
-            gy, gx = np.mgrid[cy * chunk : (cy + 1) * chunk, cx * chunk : (cx + 1) * chunk].astype(float)
-            u, v = gx - r["x"], gy - r["y"]
-            ok = (u >= 0) & (v >= 0) & (u <= r["width"] - 1) & (v <= r["height"] - 1)
-            if not ok.any():
-                continue
-            w = np.minimum(np.minimum(u + 1, v + 1), np.minimum(r["width"] - u, r["height"] - v))
-            total[ok] += kernels.bilinear(image, u[ok], v[ok]).reshape(-1, n) * w[ok][:, None]
-            weight[ok] += w[ok]
-            count += ok
-        value = total / np.maximum(weight, 1e-12)[..., None]
-        if kind.kind in "ui":
-            value = np.clip(np.rint(value), 0, np.iinfo(kind).max)
-        return pd.DataFrame([{"component": component, "cy": cy, "cx": cx, "height": chunk, "width": chunk, "data": value.astype(kind).tobytes(), "coverage": count.tobytes()}])
-
-    at = chunk_tiles(tiles.select(*wanted), chunk).select("cy", "cx", *wanted)
-    return at.groupBy("component", "cy", "cx").applyInPandas(blend, "component bigint, cy bigint, cx bigint, height int, width int, data binary, coverage binary")
+
+    def blend(batches):
+        key, kind, total, weight, count = None, None, None, None, None
+
+        def done() -> pd.DataFrame | None:
+            if not count.any():
+                return None  # what reached here was masked or fell between the pixels
+            value = total / np.maximum(weight, 1e-12)[..., None]
+            if kind.kind in "ui":
+                value = np.clip(np.rint(value), 0, np.iinfo(kind).max)
+            return pd.DataFrame([(*key, chunk, chunk, value.astype(kind).tobytes(), count.tobytes())], columns=["component", "cy", "cx", "height", "width", "data", "coverage"])
+
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                here = (r["component"], r["cy"], r["cx"])
+                if here != key:
+                    if key is not None and (out := done()) is not None:
+                        yield out
+                    key, kind, n = here, np.dtype(r["dtype"]), r["channels"]
+                    total, weight, count = np.zeros((chunk, chunk, n)), np.zeros((chunk, chunk)), np.zeros((chunk, chunk), np.uint16)
+                w, h, left, top = r["width"], r["height"], r["left"], r["top"]
+                image = np.frombuffer(r["data"], kind).reshape(r["rows"], r["cols"], -1)
+                mesh = _mesh_of(r["mesh"])
+                # Only the chunk's rows and columns that the tile can reach are looked at.
+                low, high = ((0.0, 0.0), (0.0, 0.0)) if mesh is None else (mesh.min(axis=(0, 1)), mesh.max(axis=(0, 1)))
+                x0, y0 = here[2] * chunk, here[1] * chunk
+                x_from, x_to = max(0, int(np.floor(r["x"] + low[0])) - x0), min(chunk, int(np.ceil(r["x"] + w - 1 + high[0])) - x0 + 1)
+                y_from, y_to = max(0, int(np.floor(r["y"] + low[1])) - y0), min(chunk, int(np.ceil(r["y"] + h - 1 + high[1])) - y0 + 1)
+                if x_from >= x_to or y_from >= y_to:
+                    continue
+                gy, gx = np.mgrid[y0 + y_from : y0 + y_to, x0 + x_from : x0 + x_to].astype(float)
+                u, v = gx - r["x"], gy - r["y"]
+                ok = np.ones(u.shape, bool)
+                if mesh is not None:
+                    u, v, ok = kernels.unwarped(mesh, u, v, w, h)
+                ok &= (u >= 0) & (v >= 0) & (u <= w - 1) & (v <= h - 1)
+                if r["mask"] is not None and ok.any():
+                    shown = np.frombuffer(r["mask"], np.uint8).reshape(r["rows"], r["cols"]).astype(float)
+                    ok[ok] = kernels.bilinear(shown, u[ok], v[ok], left, top, (h, w)) >= 0.999
+                if not ok.any():
+                    continue
+                at = tuple(i + o for i, o in zip(np.nonzero(ok), (y_from, x_from)))
+                u, v = u[ok], v[ok]
+                mine = np.minimum(np.minimum(u + 1, v + 1), np.minimum(w - u, h - v))
+                total[at] += kernels.bilinear(image.astype(float), u, v, left, top, (h, w)) * mine[:, None]
+                weight[at] += mine
+                count[at] += 1
+        if key is not None and (out := done()) is not None:
+            yield out
+
+    keys = ["component", "cy", "cx"]
+    return crops(tiles, chunk).repartition(*keys).sortWithinPartitions(*keys, "tile_id").mapInPandas(blend, CHUNKS)
+
+
+def chunk_sums(chunks: DataFrame, dtype: str = "uint8") -> DataFrame:
+    """(component, cy, cx, covered, contributions, total, moment) of chunks of samples of a type: covered pixels, tiles that gave to them, values, and values times a weight of 1 to 1009 by the place."""
+
+    def add(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                h, w = r["height"], r["width"]
+                count = np.frombuffer(r["coverage"], np.uint16).astype(np.int64)
+                value = np.frombuffer(r["data"], dtype).reshape(h * w, -1).astype(np.int64).sum(1)
+                y, x = np.mgrid[r["cy"] * h : (r["cy"] + 1) * h, r["cx"] * w : (r["cx"] + 1) * w]
+                place = 1 + (x * 31 + y * 17).ravel() % 1009
+                out.append((r["component"], r["cy"], r["cx"], (count > 0).sum(), count.sum(), value.sum(), (value * place).sum()))
+            yield pd.DataFrame(out, columns=["component", "cy", "cx", "covered", "contributions", "total", "moment"])
+
+    return chunks.mapInPandas(add, "component bigint, cy bigint, cx bigint, covered bigint, contributions bigint, total bigint, moment bigint")
 
 
 def exposure(ratios: DataFrame) -> DataFrame:

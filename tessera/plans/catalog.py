@@ -579,47 +579,79 @@ def catalog_verify(spark, d):
     return mosaic.verify(spark, "phase").union(mosaic.verify(spark, "corner")).drop("elapsed")
 
 
-@query()
+#: All pixels of all tiles (X, Y in the world, u, v in the tile) and their values.
+_DRAWN = f"px AS (SELECT tile_id, X, Y, u, v, {synthetic.scene_sql('X', 'Y')} AS value FROM (SELECT tile_id, u, v, (true_x + u)::BIGINT AS X, (true_y + v)::BIGINT AS Y FROM slide, (SELECT unnest(range(80)) u), (SELECT unnest(range(64)) v)) a)\n"
+
+
+def _true_poses(tiles: DataFrame) -> DataFrame:
+    return tiles.select("tile_id", F.lit(0).cast("long").alias("component"), F.col("true_x").cast("double").alias("x"), F.col("true_y").cast("double").alias("y"))
+
+
+@query("SELECT tile_id, (SELECT min(tile_id) FROM slide) AS component, 0::BIGINT AS off_x, 0::BIGINT AS off_y FROM slide", "slide")
 def run_register(spark, d):
-    """Places of a synthetic slide's tiles against their true places."""
-    tiles = synthetic.tiles(spark)
-    poses = mosaic.register(tiles)["poses"].join(tiles.select("tile_id", "true_x", "true_y"), "tile_id")
-    return poses.select("tile_id", "component", F.round(F.col("x") - F.col("true_x"), 2).alias("off_x"), F.round(F.col("y") - F.col("true_y"), 2).alias("off_y"))
+    """Places of the slide's tiles against their true places, in whole pixels from the component's first tile."""
+    tiles = synthetic.slide(spark, d)
+    found = mosaic.register(tiles)["poses"].join(tiles.select("tile_id", "true_x", "true_y"), "tile_id")
+    first = tiles.select(F.col("tile_id").alias("component"), F.col("true_x").alias("fx"), F.col("true_y").alias("fy"))
+    off = lambda at, true, origin: F.round(F.col(at) - (F.col(true) - F.col(origin))).cast("long")
+    return found.join(first, "component").select("tile_id", "component", off("x", "true_x", "fx").alias("off_x"), off("y", "true_y", "fy").alias("off_y"))
 
 
-@query()
+@query("SELECT t.tile_id, (SELECT min(grid_row) FROM slide)::BIGINT AS band, (t.true_x - f.true_x)::BIGINT AS x, (t.true_y - f.true_y)::BIGINT AS y FROM slide t, (SELECT true_x, true_y FROM slide ORDER BY tile_id LIMIT 1) f", "slide")
 def run_rows_first(spark, d):
-    return mosaic.rows_first(synthetic.tiles(spark))["poses"].select("component", "tile_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    out = mosaic.rows_first(synthetic.slide(spark, d))["poses"]
+    return out.select("tile_id", F.col("component").alias("band"), F.round("x").cast("long").alias("x"), F.round("y").cast("long").alias("y"))
 
 
-@query()
+_SUMS = "CAST(count(*) AS BIGINT) AS covered, CAST(sum(n) AS BIGINT) AS contributions, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (1 + (X * 31 + Y * 17) % 1009)) AS BIGINT) AS moment"
+
+
+@query("+" + _DRAWN + f", c AS (SELECT X, Y, value, count(*) n FROM px GROUP BY ALL) SELECT 0::BIGINT AS component, Y // 256 AS cy, X // 256 AS cx, {_SUMS} FROM c GROUP BY ALL", "slide")
 def run_mosaic(spark, d):
-    tiles = synthetic.tiles(spark)
-    poses = tiles.select("tile_id", F.lit(0).cast("long").alias("component"), F.col("true_x").cast("double").alias("x"), F.col("true_y").cast("double").alias("y"))
-    return mosaic.mosaic(tiles, poses, 256).select("component", "cy", "cx", F.sha2("data", 256).alias("sha256"))
+    """Tiles of one scene blend to the scene."""
+    tiles = synthetic.slide(spark, d)
+    return render.chunk_sums(mosaic.mosaic(tiles, _true_poses(tiles), 256))
+
+
+#: The mesh of a tile moves its pixel (u, v) by (a u / 79, b v / 63), so its inverse has a closed form.
+_WARP_A, _WARP_B = "((tile_id % 5) - 2) * 0.37", "((tile_id % 3) - 1) * 0.53"
+_WARPED = f"""q AS (SELECT tile_id, X, Y, (X - true_x) / (1 + {_WARP_A} / 79) AS u, (Y - true_y) / (1 + {_WARP_B} / 63) AS v, true_x, true_y
+  FROM (SELECT *, true_x + unnest(range(-2, 83)) AS X FROM (SELECT *, true_y + unnest(range(-2, 67)) AS Y FROM slide) s) t),
+ok AS (SELECT *, least(floor(u), 78)::BIGINT i, least(floor(v), 62)::BIGINT j FROM q WHERE u >= 0 AND v >= 0 AND u <= 79 AND v <= 63),
+e AS (SELECT X, Y, u, v, i, j, {synthetic.scene_sql('true_x + i', 'true_y + j')} s00, {synthetic.scene_sql('true_x + i + 1', 'true_y + j')} s01, {synthetic.scene_sql('true_x + i', 'true_y + j + 1')} s10, {synthetic.scene_sql('true_x + i + 1', 'true_y + j + 1')} s11 FROM ok),
+w AS (SELECT X, Y, least(u + 1, v + 1, 80 - u, 64 - v) k, (s00 * (1 - (u - i)) + s01 * (u - i)) * (1 - (v - j)) + (s10 * (1 - (u - i)) + s11 * (u - i)) * (v - j) s FROM e),
+c AS (SELECT X, Y, count(*) n, round(sum(k * s) / sum(k))::BIGINT AS value FROM w GROUP BY X, Y)
+SELECT 0::BIGINT AS component, (Y + 256) // 256 - 1 AS cy, (X + 256) // 256 - 1 AS cx, {_SUMS.replace("(X * 31 + Y * 17) % 1009", "((X * 31 + Y * 17) % 1009 + 1009) % 1009")} FROM c GROUP BY ALL"""
+
+
+@query("+" + _WARPED, "slide")
+def run_mosaic_bent(spark, d):
+    """The slide rendered through a mesh a tile, against a warp of all pixels by the closed form."""
+    tiles = synthetic.slide(spark, d)
+    node = F.array(*(F.expr(f"CAST({_WARP_A} * {c} / 4 AS DOUBLE)") if k == 0 else F.expr(f"CAST({_WARP_B} * {r} / 4 AS DOUBLE)") for r in range(5) for c in range(5) for k in (0, 1)))
+    return render.chunk_sums(mosaic.mosaic(tiles, _true_poses(tiles), 256, tiles.select("tile_id", node.alias("mesh"))))
 
 
 @query()
 def image_keypoints(spark, d):
-    return images.keypoints(synthetic.tiles(spark), 64).select("tile_id", "kp", "x", "y", F.round("score", 3).alias("score"))
+    return images.keypoints(synthetic.slide(spark, d), 64).select("tile_id", "kp", "x", "y", F.round("score", 3).alias("score"))
 
 
 @query()
 def image_preprocess(spark, d):
-    return images.preprocess(synthetic.tiles(spark), 64, True).select("tile_id", "height", "width", F.sha2("data", 256).alias("sha256"))
+    return images.preprocess(synthetic.slide(spark, d), 64, True).select("tile_id", "height", "width", F.sha2("data", 256).alias("sha256"))
 
 
 @query()
 def image_flatfield(spark, d):
-    return images.correct_flatfield(synthetic.tiles(spark)).select("tile_id", F.sha2("data", 256).alias("sha256"))
+    return images.correct_flatfield(synthetic.slide(spark, d)).select("tile_id", F.sha2("data", 256).alias("sha256"))
 
 
-@query("SELECT tile_id FROM (SELECT unnest(range(12)) AS tile_id)")
+@query("+" + _DRAWN + "SELECT tile_id, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (1 + (u * 31 + v * 17) % 1009)) AS BIGINT) AS moment FROM px GROUP BY tile_id", "slide")
 def image_png_round_trip(spark, d):
-    """Tiles that are the same after they were written as PNG and read back."""
-    t = synthetic.tiles(spark).select("tile_id", "height", "width", "channels", "dtype", "data")
-    back = images.decode(images.encode_png(t).select("tile_id", "png"), "png").select("tile_id", F.col("data").alias("again"))
-    return t.join(back, "tile_id").where("data = again").select("tile_id")
+    """Sums of the slide's tiles after they were written as PNG and read back."""
+    back = images.decode(images.encode_png(synthetic.slide(spark, d).drop("grid_row", "grid_col", "true_x", "true_y")).select("tile_id", "png"), "png")
+    return images.sums(back)
 
 
 @query(_COMPONENTS + "SELECT e.i, e.j, a.file AS file_i, b.file AS file_j FROM edges e JOIN tiles a ON a.tile_id = e.i JOIN tiles b ON b.tile_id = e.j", "edges")
@@ -645,7 +677,7 @@ def layout_warning(spark, d):
     return layout.layout_warning(layout.residuals(_edges(spark, d), truth)).withColumn("worst_px", F.round("worst_px", 6))
 
 
-@query("+ q AS (SELECT pair_id, k, x0, y0, least(floor(x0 / 100.0), 3) c, least(floor(y0 / 75.0), 3) r FROM correspondences) SELECT pair_id, k, x0, y0, CAST(r AS BIGINT) AS mesh_row, CAST(c AS BIGINT) AS mesh_col, round((1 - (x0 / 100.0 - c)) * (1 - (y0 / 75.0 - r)), 9) AS w00, round((x0 / 100.0 - c) * (1 - (y0 / 75.0 - r)), 9) AS w01, round((1 - (x0 / 100.0 - c)) * (y0 / 75.0 - r), 9) AS w10, round((x0 / 100.0 - c) * (y0 / 75.0 - r), 9) AS w11 FROM q", "correspondences")
+@query("+ q AS (SELECT pair_id, k, x0, y0, least(x0 * 4 // 399, 3) c, least(y0 * 4 // 299, 3) r, x0 / 99.75 u, y0 / 74.75 v FROM correspondences) SELECT pair_id, k, x0, y0, CAST(r AS BIGINT) AS mesh_row, CAST(c AS BIGINT) AS mesh_col, round((1 - (u - c)) * (1 - (v - r)), 9) AS w00, round((u - c) * (1 - (v - r)), 9) AS w01, round((1 - (u - c)) * (v - r), 9) AS w10, round((u - c) * (v - r), 9) AS w11 FROM q", "correspondences")
 def layout_mesh_basis(spark, d):
     out = view(spark, d, "correspondences").select("pair_id", "k", "x0", "y0", *layout.mesh_basis("x0", "y0", 400.0, 300.0))
     return out.select("pair_id", "k", "x0", "y0", F.col("mesh_row").cast("long").alias("mesh_row"), F.col("mesh_col").cast("long").alias("mesh_col"), *(F.round(w, 9).alias(w) for w in ("w00", "w01", "w10", "w11")))
