@@ -9,6 +9,7 @@ itself, so a few are enough for mosaics whose neighbours lie near each other.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import layout
+
 #: Rows that a checkpoint file holds at least, if there are more than six files.
 ROWS_A_FILE = 100_000
 
@@ -36,6 +39,23 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
+def kept(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` written as a table into the shared folder and read again, for rounds that join a frame with itself.
+
+    A checkpoint keeps the estimated size of its plan, and a join's is the product of its sides': its digits double each round, until planning
+    takes longer than the work. A table's size is that of its files.
+    """
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not session.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+    path = f"{folder}/round-{uuid.uuid4().hex}"
+    df.coalesce(parts).write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
 def _both(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
@@ -214,7 +234,7 @@ def toured(forest: DataFrame, roots: DataFrame) -> DataFrame:
     """
     e = forest.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).where("i <> j")
     both = cut(e.union(e.select("j", "i", -F.col("dx"), -F.col("dy"))))
-    parts = 6 + (edges := both.count()) // ROWS_A_FILE
+    parts = 1 + (edges := both.count()) // ROWS_A_FILE
     around = Window.partitionBy("i").orderBy("j")
     # After (j, i) comes (i, w): w is the neighbour of i after j, and after the last the first, where a root's tour ends.
     turns = both.select("i", "j", F.lead("j").over(around).alias("next"), F.first("j").over(around).alias("first"))
@@ -222,13 +242,13 @@ def toured(forest: DataFrame, roots: DataFrame) -> DataFrame:
     turns = turns.join(ends, "i", "left").withColumn("w", F.coalesce("next", F.when(F.col("root").isNull(), F.col("first"))))
     after = turns.select(F.col("j").alias("u"), F.col("i").alias("v"), F.when(F.col("w").isNotNull(), F.col("i")).alias("nu"), F.col("w").alias("nv"))
     steps = both.select(F.col("i").alias("u"), F.col("j").alias("v"), "dx", "dy")
-    tour = cut(after.join(steps, ["u", "v"]).select("u", "v", "nu", "nv", F.lit(1).cast("long").alias("n"), "dx", "dy"), parts)
+    tour = kept(after.join(steps, ["u", "v"]).select("u", "v", "nu", "nv", F.lit(1).cast("long").alias("n"), "dx", "dy"), parts)
     more = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     for _ in range(edges.bit_length() + 1):
         if tour.where("nu IS NOT NULL").isEmpty():
             break
         there = tour.toDF("hu", "hv", "mu", "mv", "m", "ex", "ey")
-        tour = cut(tour.join(there, (F.col("nu") == F.col("hu")) & (F.col("nv") == F.col("hv")), "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), more("n", "m"), more("dx", "ex"), more("dy", "ey")), parts)
+        tour = kept(tour.join(there, (F.col("nu") == F.col("hu")) & (F.col("nv") == F.col("hv")), "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), more("n", "m"), more("dx", "ex"), more("dy", "ey")), parts)
     # n counts the edges to the end: an edge leads down if more are left after it than after its return. A
     # tour's steps sum to zero, so those up to an edge are its own less all from it on.
     done = tour.where("nu IS NULL")
@@ -243,6 +263,40 @@ def tree_positions(forest: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.union(roots.select(F.col("tile_id").cast("long"), F.lit(0.0), F.lit(0.0)))
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, second, g h) of rows (first, second, g, h) of 3 x 3 transforms. As columns, products of products would grow in the plans' constraints, which checkpoints keep."""
+    for batch in batches:
+        g, h = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3) for k in (2, 3))
+        m = g @ h
+        m = m / m[:, 2:, 2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, 9 * len(m) + 1, 9, dtype=np.int32), m.ravel())], names=["tile_id", "to", "h"])
+
+
+def tree_transforms(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile_id, transform) from each tile's coordinates to its root's, along trees of (i, j, h) whose h (row-major 3 x 3) takes points of j into i's coordinates.
+
+    A product of matrices can't be undone by another path as a sum can, so each tile keeps the product up to an
+    ancestor and doubles the way: it takes over its ancestor's product and ancestor, until that is the root. The rounds grow with
+    the logarithm of the depth. Transforms have a lower right entry of 1. Trees without a root (tile_id) are left out; a chain is a tree.
+    """
+    steps = forest.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("h").cast("array<double>").alias("h")).where("i <> j")
+    parents = toured(steps.select("i", "j", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")), roots).select("tile_id", "parent")
+    both = steps.select(F.col("j").alias("tile_id"), F.col("i").alias("parent"), "h").union(steps.select("i", "j", layout.inverse("h")))
+    one = F.transform("h", lambda v: v / F.element_at("h", 9))
+    ends = roots.select(F.col("tile_id").cast("long").alias("parent"), F.lit(True).alias("end")).distinct()
+    stepped = parents.join(both, ["tile_id", "parent"]).join(ends, "parent", "left")
+    way = kept(stepped.select("tile_id", F.when(F.col("end").isNull(), F.col("parent")).alias("to"), one.alias("h")), 1 + parents.count() // ROWS_A_FILE)
+    parts = 1 + (left := way.count()) // ROWS_A_FILE
+    for _ in range(left.bit_length() + 1):
+        open_ = way.where("to IS NOT NULL")
+        if open_.isEmpty():
+            break
+        longer = open_.join(way.toDF("to", "further", "g"), "to").select("tile_id", "further", "g", "h").mapInArrow(_products, "tile_id bigint, to bigint, h array<double>")
+        way = kept(way.where("to IS NULL").union(longer), parts)
+    same = F.array(*(F.lit(float(k % 4 == 0)) for k in range(9)))
+    return way.select("tile_id", F.col("h").alias("transform")).union(ends.select("parent", same))
+
+
 def tree_centre(forest: DataFrame) -> DataFrame:
     """(component, tile_id): the tile of least eccentricity of each tree (the least id of equals).
 

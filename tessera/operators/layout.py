@@ -125,6 +125,14 @@ def compose(a: str, b: str) -> Column:
     return F.array(*(cell(r, c) for r in range(3) for c in range(3)))
 
 
+def inverse(a: str) -> Column:
+    """Inverse of a row-major 3 x 3 transform in an array column, of lower right entry 1; null where there is none."""
+    h = lambda r, c: F.element_at(a, 3 * (r % 3) + c % 3 + 1)
+    cofactor = lambda r, c: h(r + 1, c + 1) * h(r + 2, c + 2) - h(r + 1, c + 2) * h(r + 2, c + 1)
+    last = F.nullif(cofactor(2, 2), F.lit(0.0))
+    return F.array(*(cofactor(c, r) / last for r in range(3) for c in range(3)))
+
+
 def mesh(points: DataFrame, named: DataFrame, width: int, height: int, max_motion: float, max_strain: float, max_error: float) -> DataFrame:
     """(component, tile_id, mesh, accepted, reason): reconciled 5 x 5 meshes from matched points (i, j, ax, ay, bx, by, dx, dy) of each component; ``render_chunks`` takes them."""
     rows = points.join(named.select(F.col("tile_id").alias("i"), "component"), "i")

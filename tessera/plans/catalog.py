@@ -11,7 +11,7 @@ from tessera.operators import events, fit, graph, layout, match, pairs, render,
 from tessera.plans import cache, engines, mosaic, synthetic
 from tessera.plans.views import prelude, view
 from tessera.sources import images, scan
-from tessera.streaming import growing
+from tessera.streaming import growing, guided
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEMPLATE = "tile_{rNN}_{cNN}.png"
@@ -323,6 +323,28 @@ def layout_chain(spark, d):
     return graph.chain(e)
 
 
+#: Quarter turns and shifts along the rows of the grid: T of a tile is T of the tile before times the edge's.
+_TURNS = """+ e AS (SELECT i, j, dx, dy, (i + j) % 4 AS q FROM edges WHERE axis = 'right'),
+m AS (SELECT i, j, [CASE q WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END, CASE q WHEN 1 THEN -1 WHEN 3 THEN 1 ELSE 0 END, dx, CASE q WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END, CASE q WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END, dy] AS h FROM e),
+r(tile_id, t) AS (SELECT i, [1::BIGINT, 0, 0, 0, 1, 0] FROM m WHERE i NOT IN (SELECT j FROM m)
+  UNION ALL
+  SELECT m.j, [t[1] * h[1] + t[2] * h[4], t[1] * h[2] + t[2] * h[5], t[1] * h[3] + t[2] * h[6] + t[3], t[4] * h[1] + t[5] * h[4], t[4] * h[2] + t[5] * h[5], t[4] * h[3] + t[5] * h[6] + t[6]] FROM r JOIN m ON m.i = r.tile_id)
+SELECT tile_id, t[1] AS a, t[2] AS b, t[3] AS x, t[4] AS c, t[5] AS d, t[6] AS y FROM r"""
+
+
+@query(_TURNS, "edges")
+def layout_transforms(spark, d):
+    """Products of the edges' transforms along each row of the grid, from its first tile."""
+    e = _edges(spark, d).where("axis = 'right'").select("i", "j", "dx", "dy", F.pmod(F.col("i") + F.col("j"), F.lit(4)).alias("q"))
+    turn = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("q").cast("int") + 1)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    h = F.array(turn(1.0, 0.0, -1.0, 0.0), turn(0.0, -1.0, 0.0, 1.0), F.col("dx").cast("double"), turn(0.0, 1.0, 0.0, -1.0), turn(1.0, 0.0, -1.0, 0.0), F.col("dy").cast("double"), zero, zero, one)
+    forest = e.select("i", "j", h.alias("h"))
+    roots = forest.select(F.col("i").alias("tile_id")).join(forest.select(F.col("j").alias("tile_id")), "tile_id", "left_anti")
+    out = graph.tree_transforms(forest, roots)
+    return out.select("tile_id", *(F.round(F.element_at("transform", k + 1)).cast("long").alias(c) for k, c in enumerate("abxcdy")))
+
+
 @query()
 def layout_poses(spark, d):
     return layout.solve(_edges(spark, d), _components(spark, d)).select("component", "tile_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
@@ -561,6 +583,14 @@ def stream_growing_bbox(spark, d):
     return growing.growing_map_batch(frames)
 
 
+@query("SELECT session, seq, CASE WHEN row_number() OVER w = 1 THEN 'seeded' ELSE 'added' END AS status, (true_x - first_value(true_x) OVER w)::BIGINT AS x, (true_y - first_value(true_y) OVER w)::BIGINT AS y FROM shots WINDOW w AS (PARTITION BY session ORDER BY seq)", "shots")
+def stream_guided_places(spark, d):
+    """A batch of frames without places, matched with each other and laid down in order; each row of shots is a session."""
+    frames = synthetic.drawn(view(spark, d, "shots"))
+    _, decisions = guided.GrowingMaps(spark, f"{d}/no-maps-yet").propose(frames)
+    return decisions.select("session", "seq", "status", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+
+
 # ---------------------------------------------------------------- catalog and whole runs
 
 

@@ -20,6 +20,10 @@ FROM (SELECT p_partkey AS tile_id, CAST(FLOOR(p_partkey / 20.0) AS INT) AS grid_
     "slide": """
 SELECT tile_id, grid_row, grid_col, 80 AS width, 64 AS height,
        grid_col * 52 + (tile_id * 7) % 5 AS true_x, grid_row * 42 + (tile_id * 5) % 4 AS true_y
+FROM (SELECT s_suppkey AS tile_id, CAST(FLOOR(s_suppkey / 20.0) AS INT) AS grid_row, CAST(s_suppkey % 20 AS INT) AS grid_col FROM supplier) t""",
+    "shots": """
+SELECT 'row ' || CAST(grid_row AS STRING) AS session, tile_id AS seq, 180 AS width, 140 AS height,
+       grid_col * 100 + (tile_id * 7) % 5 AS true_x, grid_row * 500 + (tile_id * 5) % 4 AS true_y
 FROM (SELECT s_suppkey AS tile_id, CAST(FLOOR(s_suppkey / 20.0) AS INT) AS grid_row, CAST(s_suppkey % 20 AS INT) AS grid_col FROM supplier) t""",
     "edges": """
 SELECT i, j, mdx + CASE WHEN (i * 31 + j) % 17 = 0 THEN 40 ELSE 0 END AS dx,
@@ -44,7 +48,7 @@ SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
        least(value / 500.0, 1.0) AS fraction, props FROM events""",
 }
 #: What each view reads.
-_NEEDS = {"tiles": "part", "slide": "supplier", "edges": "tiles", "correspondences": "lineitem", "descriptors": "embeddings", "job_events": "events"}
+_NEEDS = {"tiles": "part", "slide": "supplier", "shots": "supplier", "edges": "tiles", "correspondences": "lineitem", "descriptors": "embeddings", "job_events": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

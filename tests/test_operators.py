@@ -614,3 +614,22 @@ def test_meshes_and_masks_in_chunks(spark):
     for a, b in zip(rendered(spark, flat, 64, (110, 130)), rendered(spark, flat, 64, (110, 130), meshes=False)):
         assert (a == b).all()
     assert (plain_warp(flat, (110, 130))[1] == rendered(spark, flat, 32, (110, 130))[1]).all()
+
+
+def test_transforms_along_trees(spark):
+    """Random trees, one of them a path of 3,000 tiles, against a plain walk; edges point up and down, one tree has no root."""
+    rng = np.random.default_rng(6)
+    parent = {n: n - 1 for n in range(1, 3000)} | {4000 + n: 4000 + int(rng.integers(0, n)) for n in range(1, 200)} | {9001: 9000}
+    edges, step = [], {}
+    for n, p in parent.items():
+        t = rng.uniform(-0.02, 0.02)
+        h = np.array([[np.cos(t), -np.sin(t), rng.uniform(-5, 5)], [np.sin(t), np.cos(t), rng.uniform(-5, 5)], [rng.uniform(-1, 1) * 1e-6, 0, 1]])
+        step[n] = h
+        edges.append((p, n, h.ravel().tolist()) if n % 3 else (n, p, (np.linalg.inv(h) * 2).ravel().tolist()))
+    out = {r.tile_id: np.array(r.transform).reshape(3, 3) for r in graph.tree_transforms(spark.createDataFrame(edges, "i long, j long, h array<double>").repartition(4), spark.createDataFrame([(0,), (4000,), (7777,)], "tile_id long")).collect()}
+    want = {0: np.eye(3), 4000: np.eye(3), 7777: np.eye(3)}
+    for n in sorted(parent):
+        if n < 9000:
+            m = want[parent[n]] @ step[n]
+            want[n] = m / m[2, 2]
+    assert out.keys() == want.keys() and all(np.allclose(out[n], want[n], rtol=1e-6, atol=1e-5) for n in want)
