@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as k
-from tessera.operators import events, fit, graph, layout, match, pairs, render, report
+from tessera.operators import blocks, events, fit, graph, layout, match, pairs, render, report
 from tessera.plans import catalog
 from tessera.plans.views import view
 from tessera.sources import scan
@@ -633,3 +633,15 @@ def test_transforms_along_trees(spark):
             m = want[parent[n]] @ step[n]
             want[n] = m / m[2, 2]
     assert out.keys() == want.keys() and all(np.allclose(out[n], want[n], rtol=1e-6, atol=1e-5) for n in want)
+
+
+@pytest.mark.parametrize("rows, columns, side, rounds", [(40, 40, 8, 1), (7, 19, 3, 2)])
+def test_large_component_in_cells(spark, rows, columns, side, rounds):
+    """Nested elimination over several levels equals the solve in one task, with outliers."""
+    nodes, truth, i, j, d = grid_of(rows, columns)
+    weight = np.random.default_rng(1).uniform(0.5, 2, len(i))
+    edges = spark.createDataFrame([(int(a), int(b), float(x), float(y), "accepted", float(w)) for a, b, (x, y), w in zip(i, j, d, weight)], "i long, j long, dx double, dy double, status string, weight double")
+    rough = spark.createDataFrame([(int(n), float(x), float(y)) for n, (x, y) in zip(nodes, truth + 1000)], "tile_id long, x double, y double")
+    out = {r.tile_id: (r.x, r.y) for r in blocks.solve_large(edges.repartition(4), blocks.cells_of(rough, 90.0, 70.0, side), rounds).collect()}
+    want = k.solve_translations(nodes, i, j, d, weight, rounds)
+    assert len(out) == len(nodes) and np.abs(np.array([out[n] for n in nodes]) - want).max() < 1e-3
