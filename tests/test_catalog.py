@@ -8,7 +8,7 @@ import pytest
 from tessera.plans import catalog
 
 D = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "embeddings", "events")
+TABLES = ("part", "supplier", "lineitem", "embeddings", "events")
 
 
 def plain(value):
