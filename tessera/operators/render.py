@@ -54,7 +54,7 @@ def boundary_feather(pixels: DataFrame) -> DataFrame:
 
 
 #: A crop of a tile for one chunk.
-CROPS = "component bigint, cy bigint, cx bigint, tile_id bigint, x double, y double, width int, height int, channels int, dtype string, mesh array<double>, `left` int, top int, cols int, `rows` int, data binary, mask binary"
+CROPS = "component bigint, cy bigint, cx bigint, tile_id bigint, x double, y double, width int, height int, channels int, dtype string, mesh array<double>, levels int, `left` int, top int, cols int, `rows` int, data binary, mask binary"
 CHUNKS = "component bigint, cy bigint, cx bigint, height int, width int, data binary, coverage binary"
 
 
@@ -68,8 +68,8 @@ def _mesh_of(values) -> np.ndarray | None:
     return mesh if mesh.any() else None
 
 
-def crops(tiles: DataFrame, chunk: int = 512) -> DataFrame:
-    """The part of each placed tile that each chunk can need (``CROPS``): the chunk less the tile's place, reaching as far as the tile's mesh moves anything.
+def crops(tiles: DataFrame, chunk: int = 512, halo: int = 0, levels: int = 0) -> DataFrame:
+    """The part of each placed tile that each chunk, with a halo around it, can need (``CROPS``): the chunk less the tile's place, reaching as far as the tile's mesh moves anything.
 
     Only these parts are shuffled, so a tile's pixels travel about once, however many chunks it touches.
     """
@@ -85,11 +85,11 @@ def crops(tiles: DataFrame, chunk: int = 512) -> DataFrame:
                 low, high = ((0.0, 0.0), (0.0, 0.0)) if mesh is None else (mesh.min(axis=(0, 1)), mesh.max(axis=(0, 1)))
                 spans = []
                 for at, size, a, b in ((r["x"], w, low[0], high[0]), (r["y"], h, low[1], high[1])):
-                    first, last = int(np.floor((at + a) / chunk)), int(np.floor((at + size - 1 + b) / chunk))
+                    first, last = int(np.floor((at + a - halo) / chunk)), int(np.floor((at + size - 1 + b + halo) / chunk))
                     found = []
                     for c in range(first, last + 1):
-                        begin = max(0, int(np.floor(c * chunk - at - b)) - 1)
-                        end = min(size, int(np.ceil((c + 1) * chunk - 1 - at - a)) + 2)
+                        begin = max(0, int(np.floor(c * chunk - halo - at - b)) - 1)
+                        end = min(size, int(np.ceil((c + 1) * chunk - 1 + halo - at - a)) + 2)
                         if begin < end:
                             found.append((c, begin, end))
                     spans.append(found)
@@ -98,33 +98,49 @@ def crops(tiles: DataFrame, chunk: int = 512) -> DataFrame:
                     for cx, left, right in spans[0]:
                         part = np.ascontiguousarray(image[top:bottom, left:right]).tobytes()
                         shown = None if hidden is None else np.ascontiguousarray(hidden[top:bottom, left:right]).tobytes()
-                        out.append((r["component"], cy, cx, r["tile_id"], r["x"], r["y"], w, h, n, r["dtype"], r["mesh"], left, top, right - left, bottom - top, part, shown))
+                        out.append((r["component"], cy, cx, r["tile_id"], r["x"], r["y"], w, h, n, r["dtype"], r["mesh"], r["levels"], left, top, right - left, bottom - top, part, shown))
                 yield pd.DataFrame(out, columns=names)
 
     own = [F.col(c).cast("double").alias(c) if c in ("x", "y") else F.col(c) for c in ("component", "tile_id", "x", "y", "width", "height", "channels", "dtype", "data")]
     more = [F.col(c) if c in tiles.columns else F.lit(None).cast(t).alias(c) for c, t in (("mesh", "array<double>"), ("mask", "binary"))]
+    more.append(F.least(F.col("levels") if "levels" in tiles.columns else F.lit(levels), F.lit(levels)).cast("int").alias("levels"))
     return tiles.select(*own, *more).where("x IS NOT NULL AND y IS NOT NULL AND data IS NOT NULL").mapInPandas(cut, CROPS)
 
 
-def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
+def render_chunks(tiles: DataFrame, chunk: int = 512, blend: str = "feather", levels: int = 6) -> DataFrame:
     """(component, cy, cx, height, width, data, coverage): blended chunks, of those that some pixel covers, of placed 8- or 16-bit tiles.
 
     tiles: component, tile_id, x, y, width, height, channels, dtype, data (raw samples), and perhaps mesh (square, rows of
     (dx, dy) over the tile, as ``layout.mesh`` gives it) and mask (a byte a pixel, 0 hides it). A tile's pixel p lies at its place plus p
-    plus the mesh at p; a chunk's pixels look for it by fixed-point rounds. Weights are the distances to the tile's border. A chunk's crops come in the order
+    plus the mesh at p; a chunk's pixels look for it by fixed-point rounds. A chunk's crops come in the order
     of the tiles and are added up one by one, so memory is a chunk's however many tiles lie there, and results don't depend on the chunk size.
+
+    ``blend`` is ``feather``, whose weights are the distances to the tile's border, or ``multiband``: pyramids of ``levels`` levels (of fewer where
+    tiles have a column levels that says so, the same for a whole component; 0 is the plain mean) over masks of full weight, zero beyond all tiles.
+    Chunks are then worked out with a halo of 4 x 2^levels pixels, as far as a pixel's bands reach, and must be multiples of 2^levels, so that all share one grid a level.
     """
+    if blend not in ("feather", "multiband"):
+        raise ValueError("blend is feather or multiband")
+    banded = blend == "multiband"
+    if banded and not (0 <= levels <= 8 and chunk % 2**levels == 0):
+        raise ValueError("levels lie within 0 and 8, and the chunk is a multiple of 2^levels")
+    halo = 4 * 2**levels if banded and levels else 0
+    side, core = chunk + 2 * halo, slice(halo, halo + chunk)
 
-    def blend(batches):
-        key, kind, total, weight, count = None, None, None, None, None
+    def mix(batches):
+        key, kind, depth, total, weight, count = None, None, None, None, None, None
 
         def done() -> pd.DataFrame | None:
-            if not count.any():
-                return None  # what reached here was masked or fell between the pixels
-            value = total / np.maximum(weight, 1e-12)[..., None]
+            seen = np.ascontiguousarray(count[core, core])
+            if not seen.any():
+                return None  # what reached here was masked, fell between the pixels or lies in the halo
+            if banded and depth:
+                value = np.where(seen[..., None] > 0, kernels.mixed_bands(total, weight, depth, mirrored=False)[core, core], 0)
+            else:
+                value = (total / np.maximum(weight, 1e-12)[..., None])[core, core]
             if kind.kind in "ui":
                 value = np.clip(np.rint(value), 0, np.iinfo(kind).max)
-            return pd.DataFrame([(*key, chunk, chunk, value.astype(kind).tobytes(), count.tobytes())], columns=["component", "cy", "cx", "height", "width", "data", "coverage"])
+            return pd.DataFrame([(*key, chunk, chunk, value.astype(kind).tobytes(), seen.tobytes())], columns=["component", "cy", "cx", "height", "width", "data", "coverage"])
 
         for pdf in batches:
             for r in pdf.to_dict("records"):
@@ -132,16 +148,16 @@ def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
                 if here != key:
                     if key is not None and (out := done()) is not None:
                         yield out
-                    key, kind, n = here, np.dtype(r["dtype"]), r["channels"]
-                    total, weight, count = np.zeros((chunk, chunk, n)), np.zeros((chunk, chunk)), np.zeros((chunk, chunk), np.uint16)
+                    key, kind, n, depth = here, np.dtype(r["dtype"]), r["channels"], r["levels"]
+                    total, weight, count = np.zeros((side, side, n)), np.zeros((side, side)), np.zeros((side, side), np.uint16)
                 w, h, left, top = r["width"], r["height"], r["left"], r["top"]
                 image = np.frombuffer(r["data"], kind).reshape(r["rows"], r["cols"], -1)
                 mesh = _mesh_of(r["mesh"])
                 # Only the chunk's rows and columns that the tile can reach are looked at.
                 low, high = ((0.0, 0.0), (0.0, 0.0)) if mesh is None else (mesh.min(axis=(0, 1)), mesh.max(axis=(0, 1)))
-                x0, y0 = here[2] * chunk, here[1] * chunk
-                x_from, x_to = max(0, int(np.floor(r["x"] + low[0])) - x0), min(chunk, int(np.ceil(r["x"] + w - 1 + high[0])) - x0 + 1)
-                y_from, y_to = max(0, int(np.floor(r["y"] + low[1])) - y0), min(chunk, int(np.ceil(r["y"] + h - 1 + high[1])) - y0 + 1)
+                x0, y0 = here[2] * chunk - halo, here[1] * chunk - halo
+                x_from, x_to = max(0, int(np.floor(r["x"] + low[0])) - x0), min(side, int(np.ceil(r["x"] + w - 1 + high[0])) - x0 + 1)
+                y_from, y_to = max(0, int(np.floor(r["y"] + low[1])) - y0), min(side, int(np.ceil(r["y"] + h - 1 + high[1])) - y0 + 1)
                 if x_from >= x_to or y_from >= y_to:
                     continue
                 gy, gx = np.mgrid[y0 + y_from : y0 + y_to, x0 + x_from : x0 + x_to].astype(float)
@@ -157,7 +173,7 @@ def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
                     continue
                 at = tuple(i + o for i, o in zip(np.nonzero(ok), (y_from, x_from)))
                 u, v = u[ok], v[ok]
-                mine = np.minimum(np.minimum(u + 1, v + 1), np.minimum(w - u, h - v))
+                mine = np.ones(u.shape) if banded else np.minimum(np.minimum(u + 1, v + 1), np.minimum(w - u, h - v))
                 total[at] += kernels.bilinear(image.astype(float), u, v, left, top, (h, w)) * mine[:, None]
                 weight[at] += mine
                 count[at] += 1
@@ -165,7 +181,7 @@ def render_chunks(tiles: DataFrame, chunk: int = 512) -> DataFrame:
             yield out
 
     keys = ["component", "cy", "cx"]
-    return crops(tiles, chunk).repartition(*keys).sortWithinPartitions(*keys, "tile_id").mapInPandas(blend, CHUNKS)
+    return crops(tiles, chunk, halo, levels if banded else 0).repartition(*keys).sortWithinPartitions(*keys, "tile_id").mapInPandas(mix, CHUNKS)
 
 
 def chunk_sums(chunks: DataFrame, dtype: str = "uint8") -> DataFrame:

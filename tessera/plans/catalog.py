@@ -673,6 +673,29 @@ def run_mosaic_bent(spark, d):
     return render.chunk_sums(mosaic.mosaic(tiles, _true_poses(tiles), 256, tiles.select("tile_id", node.alias("mesh"))))
 
 
+def _bands_sql(levels: int) -> str:
+    """Multiband blending of the pixels lit(X, Y, v) as joins and sums a level: r0(X, Y, s) is the result, g0 has the coverage c."""
+    kernel = "k AS (SELECT a.o AS ox, b.o AS oy, a.w * b.w AS w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) a(o, w), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) b(o, w))"
+    up = "SELECT 2 * X + ox AS X, 2 * Y + oy AS Y, sum(w * s) / 64 AS s FROM {}, k GROUP BY 1, 2"
+    share = "CASE WHEN coalesce(g.c, 0) < 1e-6 THEN 1 ELSE g.c END"
+    out = [kernel, "g0 AS (SELECT X, Y, sum(v)::DOUBLE AS s, count(*)::DOUBLE AS c FROM lit GROUP BY 1, 2)"]
+    for n in range(levels):
+        out.append(f"g{n + 1} AS (SELECT (X + ox) // 2 AS X, (Y + oy) // 2 AS Y, sum(w * s) / 256 AS s, sum(w * c) / 256 AS c FROM g{n}, k WHERE (X + ox) % 2 = 0 AND (Y + oy) % 2 = 0 GROUP BY 1, 2)")
+        out.append(f"b{n} AS (SELECT u.X, u.Y, (coalesce(g.s, 0) - u.s) / {share} AS s FROM ({up.format(f'g{n + 1}')}) u LEFT JOIN g{n} g USING (X, Y))")
+    out.append(f"r{levels} AS (SELECT X, Y, s / {share} AS s FROM g{levels} g)")
+    for n in reversed(range(levels)):
+        out.append(f"r{n} AS (SELECT u.X, u.Y, u.s + coalesce(b.s, 0) AS s FROM ({up.format(f'r{n + 1}')}) u LEFT JOIN b{n} b USING (X, Y))")
+    return ",\n".join(out)
+
+
+@query("+" + _DRAWN + f", lit AS (SELECT X, Y, value // 2 + 16 * (tile_id % 5) AS v FROM px), {_bands_sql(3)}, c AS (SELECT X, Y, g0.c::BIGINT AS n, greatest(0, least(255, round_even(r0.s, 0)))::BIGINT AS value FROM g0 JOIN r0 USING (X, Y)) SELECT 0::BIGINT AS component, Y // 256 AS cy, X // 256 AS cx, {_SUMS} FROM c GROUP BY ALL", "slide")
+def run_mosaic_multiband(spark, d):
+    """Tiles under lights of their own, blended in bands by chunks with halos."""
+    tiles = synthetic.lit(synthetic.slide(spark, d))
+    config = engines.MosaicConfig(blend="multiband", blend_levels=3, chunk=256)
+    return render.chunk_sums(mosaic.rendered(tiles, _true_poses(tiles), config))
+
+
 @query()
 def image_keypoints(spark, d):
     return images.keypoints(synthetic.slide(spark, d), 64).select("tile_id", "kp", "x", "y", F.round("score", 3).alias("score"))

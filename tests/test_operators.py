@@ -398,6 +398,46 @@ def test_photometric_refinement():
     assert (k.refine_homography(np.zeros((80, 80)), scene, truth) == truth).all()
 
 
+def test_multiband_in_chunks(spark):
+    """Chunks with halos equal one canvas with zeros around it, whatever their size; a tile alone is copied."""
+    rng = np.random.default_rng(31)
+    size, places, rows = 60, [(0, 0), (40, 3), (-20, 45), (35, 50)], []
+    canvas, margin = np.zeros((2, 384, 384)), 128
+    for t, (x, y) in enumerate(places):
+        image = np.clip(rng.integers(0, 120, (size, size)) + 30 * t, 0, 255).astype(np.uint8)
+        shown = rng.random((size, size)) > (0.1 if t == 2 else -1)
+        at = slice(margin + y, margin + y + size), slice(margin + x, margin + x + size)
+        canvas[0][at] += image * shown
+        canvas[1][at] += shown
+        rows.append((0, t, float(x), float(y), size, size, 1, "uint8", bytearray(image.tobytes()), bytearray(shown.astype(np.uint8).tobytes()), 3))
+    alone = rng.integers(0, 256, (size, size)).astype(np.uint8)
+    rows.append((1, 9, 5.0, 5.0, size, size, 1, "uint8", bytearray(alone.tobytes()), None, 0))
+    tiles = spark.createDataFrame(rows, "component bigint, tile_id bigint, x double, y double, width int, height int, channels int, dtype string, data binary, mask binary, levels int")
+    whole = k.mixed_bands(canvas[0][..., None], canvas[1], 3, mirrored=False)[..., 0]
+    whole = np.where(canvas[1] > 0, np.clip(np.rint(whole), 0, 255), 0)
+    for chunk in (16, 64):
+        found, single = np.zeros((384, 384)), np.zeros((384, 384))
+        for r in render.render_chunks(tiles, chunk, "multiband", 3).collect():
+            at = slice(margin + r.cy * chunk, margin + (r.cy + 1) * chunk), slice(margin + r.cx * chunk, margin + (r.cx + 1) * chunk)
+            (single if r.component else found)[at] = np.frombuffer(r.data, np.uint8).reshape(chunk, chunk)
+        assert (found == whole).all()
+        assert (single[133 : 133 + size, 133 : 133 + size] == alone).all() and single.sum() == alone.sum()
+    # The bands of the sum are the sum of the bands of each image, worked out apart.
+    parts = rng.random((2, 40, 48, 1)), rng.random((2, 40, 48)) > 0.3
+    both = k.mixed_bands((parts[0] * parts[1][..., None]).sum(0), parts[1].sum(0).astype(float), 2)
+    g = [[(x * m[..., None], m.astype(float))] for x, m in zip(*parts)]
+    for pyramid in g:
+        for _ in range(2):
+            pyramid.append((k._down(pyramid[-1][0]), k._down(pyramid[-1][1])))
+    bands = [sum(p[n][0] - (k._up(p[n + 1][0], p[n][0].shape) if n < 2 else 0) for p in g) / np.maximum(sum(p[n][1] for p in g), 1e-6)[..., None] for n in range(3)]
+    share = np.where(parts[1].sum(0) == 0, 1.0, parts[1].sum(0))[..., None]
+    bands[0] = sum(p[0][0] - k._up(p[1][0], p[0][0].shape) for p in g) / share
+    plain = k._up(k._up(bands[2], bands[1].shape) + bands[1], bands[0].shape) + bands[0]
+    assert np.allclose(both, plain)
+    with pytest.raises(ValueError):
+        render.render_chunks(tiles, 100, "multiband", 3)
+
+
 def test_merging_blends_the_overlap_alone():
     base, added = np.full((64, 96), 80, np.uint8), np.full((64, 96), 120, np.uint8)
     left, right = np.zeros((64, 96), bool), np.zeros((64, 96), bool)
