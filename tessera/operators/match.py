@@ -110,3 +110,27 @@ def top_keypoints(features: DataFrame, k: int, by: str = "tile_id") -> DataFrame
     """The k best keypoints of each tile."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), "kp")
     return features.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+#: Fixed value: the colour (red, green, blue) of matches without a score.
+PLAIN = (80, 180, 255)
+
+
+def drawn(matches: DataFrame, limit: int = 2000, seed: int = 0, key: str = "pair_id", id: str = "k", score: str | None = "score") -> DataFrame:
+    """``matches`` as they are drawn: at most ``limit`` a pair, with ``strength`` and a colour (red, green, blue) from red for the pair's least score to green for its greatest.
+
+    The sample goes by a seeded hash of pair and match, so it is the same in each run and is cut before the shuffle; scores are
+    scaled by all of a pair's matches, not by those drawn. Equal scores have strength 1; without scores (``None``, or all of a pair null) strength is null and the colour plain.
+    A match without a score among others that have one counts as the least.
+    """
+    chance = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"), F.col(id).cast("string")))
+    order = Window.partitionBy(key).orderBy("__chance", id)
+    chosen = matches.withColumn("__chance", chance).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__chance", "__n")
+    value = F.lit(None).cast("double") if score is None else F.col(score).cast("double")
+    span = matches.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    width = F.col("__high") - F.col("__low")
+    strength = F.when(F.col("__low").isNull(), F.lit(None)).when(width < 1e-6, F.lit(1.0)).otherwise((F.coalesce(value, F.col("__low")) - F.col("__low")) / width)
+    green = F.floor(255 * F.col("strength")).cast("int")
+    colour = lambda c, scored: F.when(F.col("strength").isNull(), F.lit(PLAIN[c])).otherwise(scored).cast("int")
+    out = chosen.join(span, F.col(key).eqNullSafe(F.col("__key"))).withColumn("strength", strength)
+    return out.drop("__key", "__low", "__high").withColumns({"red": colour(0, 255 - green), "green": colour(1, green), "blue": colour(2, F.lit(0))})

@@ -696,6 +696,27 @@ def run_mosaic_multiband(spark, d):
     return render.chunk_sums(mosaic.rendered(tiles, _true_poses(tiles), config))
 
 
+@query("SELECT a.tile_id AS i, b.tile_id AS j, 'success' AS status, (b.true_x - a.true_x)::BIGINT AS dx, (b.true_y - a.true_y)::BIGINT AS dy, true AS close FROM (SELECT *, seq AS tile_id FROM shots) a JOIN (SELECT *, seq AS tile_id FROM shots) b ON a.session = b.session AND b.seq = a.seq + 1", "shots")
+def image_flow(spark, d):
+    """Neighbours whose measured shift is off by (2, -1): the flow's points find the true one, all within half a pixel."""
+    frames = synthetic.drawn(view(spark, d, "shots")).withColumn("tile_id", F.col("seq"))
+    at = lambda s: frames.select("session", F.col("seq").alias(s), F.col("true_x").alias(f"x{s}"), F.col("true_y").alias(f"y{s}"))
+    pair = at("i").join(at("j"), "session").where("j = i + 1").selectExpr("i", "j", "xj - xi AS tx", "yj - yi AS ty")
+    out = mosaic.refine_pairs(pair.selectExpr("i", "j", "tx + 2 AS dx", "ty - 1 AS dy"), frames).join(pair, ["i", "j"])
+    moved = lambda c: F.transform(F.arrays_zip("points_a", "points_b"), lambda p: p["points_a"][c] - p["points_b"][c])
+    mean = lambda c: F.round(F.aggregate(moved(c), F.lit(0.0), lambda s, x: s + x) / F.size("points_a")).cast("long")
+    close = lambda c, true: F.forall(moved(c), lambda x: F.abs(x - F.col(true)) < 0.5)
+    return out.select("i", "j", "status", mean(0).alias("dx"), mean(1).alias("dy"), (close(0, "tx") & close(1, "ty")).alias("close"))
+
+
+@query("""SELECT pair_id, k, round(strength, 6) AS strength, 255 - green AS red, green, 0 AS blue FROM (SELECT *, floor(255 * strength)::INT AS green FROM (
+  SELECT pair_id, k, CASE WHEN high - low < 1e-6 THEN 1.0 ELSE (score - low) / (high - low) END AS strength, row_number() OVER (PARTITION BY pair_id ORDER BY md5('7:' || pair_id || ':' || k), k) AS n
+  FROM (SELECT pair_id, k, score::DOUBLE AS score, min(score::DOUBLE) OVER (PARTITION BY pair_id) AS low, max(score::DOUBLE) OVER (PARTITION BY pair_id) AS high FROM correspondences) a) b WHERE n <= 100) c""", "correspondences")
+def match_drawn(spark, d):
+    """A hundred matches of each pair, coloured by their scores."""
+    return match.drawn(view(spark, d, "correspondences"), 100, 7).select("pair_id", "k", F.round("strength", 6).alias("strength"), "red", "green", "blue")
+
+
 @query()
 def image_keypoints(spark, d):
     return images.keypoints(synthetic.slide(spark, d), 64).select("tile_id", "kp", "x", "y", F.round("score", 3).alias("score"))

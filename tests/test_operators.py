@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import flow
 from tessera.functions import kernels as k
 from tessera.operators import blocks, events, fit, graph, layout, match, pairs, render, report
-from tessera.plans import catalog
+from tessera.plans import catalog, mosaic, synthetic
 from tessera.plans.views import view
 from tessera.sources import scan
 from tessera.streaming import growing
@@ -449,6 +450,45 @@ def test_merging_blends_the_overlap_alone():
     assert (out[:, 60:] == 120).all() and (out[:, :60] == 80).all()
 
 
+def test_flow_finds_a_smooth_warp():
+    rng = np.random.default_rng(3)
+    world = k.gaussian_blur(rng.integers(0, 256, (400, 500)).astype(float), 1.5)
+    y, x = np.mgrid[0:200, 0:240].astype(float)
+    bend = lambda u, v: np.stack([2 * np.sin(u / 60) + 1, 1.5 * np.cos(v / 50)], -1)
+    moved = bend(x, y)
+    a, b = world[50:250, 50:290], k.bilinear(world, x + 150 + moved[..., 0], y + 60 + moved[..., 1])
+    for dx, dy in ((100.0, 10.0), (100.4, 9.3)):
+        r = flow.refine(a, b, dx, dy)
+        pb = r["points_b"]
+        error = np.hypot(*(pb + (100, 10) + bend(pb[:, 0], pb[:, 1]) - r["points_a"]).T)
+        assert r["status"] == "success" and len(pb) > 100 and error.max() < 0.5 and np.median(error) < 0.1
+    assert flow.refine(a, b, 235.0, 0.0)["status"] == "unsupported_input"
+    assert flow.refine(a, b, 900.0, 0.0)["reason"] == "no overlap"
+    assert flow.refine(np.full(a.shape, 90.0), b, 100.0, 10.0)["status"] == "no_improvement"
+
+
+def test_refined_pairs_are_valid(spark):
+    frames = synthetic.tiles(spark, 1, 3, size=160, step=110)
+    places = [(0, 1, 117.0, 5.0), (1, 2, 116.0, 6.0), (0, 2, 900.0, 0.0), (2, 1, None, None)]
+    out = mosaic.refine_pairs(spark.createDataFrame(places, "i bigint, j bigint, dx double, dy double"), frames)
+    assert layout.invalid_refinements(out).count() == 0
+    assert {(r.i, r.j): r.status for r in out.collect()} == {(0, 1): "success", (1, 2): "success", (0, 2): "unsupported_input"}
+
+
+def test_drawn_matches(spark):
+    rows = [(p, n, None if p == 3 else 0.5 if p == 2 else n / 10) for p in (1, 2, 3) for n in range(11)] + [(None, 1, 0.2)]
+    frame = spark.createDataFrame(rows, "pair_id int, k int, score double")
+    found = match.drawn(frame, 5, 1).collect()
+    assert len(found) == 16 and sorted(map(str, found)) == sorted(map(str, match.drawn(frame.repartition(3), 5, 1).collect()))
+    assert {r.k for r in found if r.pair_id == 1} != {r.k for r in match.drawn(frame, 5, 2).collect() if r.pair_id == 1}
+    for r in found:
+        wanted = {1: r.k / 10, 2: 1.0, 3: None, None: 1.0}[r.pair_id]
+        assert r.strength is None if wanted is None else abs(r.strength - wanted) < 1e-12
+        assert (r.red, r.green, r.blue) == (match.PLAIN if wanted is None else (255 - int(255 * r.strength), int(255 * r.strength), 0))
+    assert match.drawn(frame, 5, 1, score=None).where("strength IS NOT NULL").count() == 0
+    assert match.drawn(frame.limit(0)).count() == 0
+
+
 def test_refinement_results(spark):
     rows = [("success", layout.FRAME, [[1.0, 2.0]], [[1.0, 3.0]]), ("success", layout.FRAME, None, None), ("odd", layout.FRAME, None, None), ("failed", "crop", None, None), ("success", layout.FRAME, [[1.0, 2.0]], []), ("success", layout.FRAME, [[1.0, float("nan")]], [[1.0, 2.0]]), (None, None, None, None)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, status string, frame string, points_a array<array<double>>, points_b array<array<double>>")
