@@ -696,6 +696,15 @@ def run_mosaic_multiband(spark, d):
     return render.chunk_sums(mosaic.rendered(tiles, _true_poses(tiles), config))
 
 
+@query("SELECT a.seq AS i, b.seq AS j, 2::BIGINT AS engines, (b.true_x - a.true_x)::BIGINT AS dx, (b.true_y - a.true_y)::BIGINT AS dy, true AS agree FROM shots a JOIN shots b ON a.session = b.session AND b.seq = a.seq + 1", "shots")
+def catalog_compare(spark, d):
+    """All neighbours under both engines: the best one's shift is the true one, and those accepted agree."""
+    frames = synthetic.drawn(view(spark, d, "shots")).withColumn("tile_id", F.col("seq"))
+    at = lambda s: frames.select("session", F.col("seq").alias(s))
+    results = mosaic.compare(at("i").join(at("j"), "session").where("j = i + 1"), frames, ["phase", "corner"], retry="query")
+    return fit.compared(results).select("i", "j", "engines", F.round("dx").cast("long").alias("dx"), F.round("dy").cast("long").alias("dy"), "agree")
+
+
 @query("SELECT a.tile_id AS i, b.tile_id AS j, 'success' AS status, (b.true_x - a.true_x)::BIGINT AS dx, (b.true_y - a.true_y)::BIGINT AS dy, true AS close FROM (SELECT *, seq AS tile_id FROM shots) a JOIN (SELECT *, seq AS tile_id FROM shots) b ON a.session = b.session AND b.seq = a.seq + 1", "shots")
 def image_flow(spark, d):
     """Neighbours whose measured shift is off by (2, -1): the flow's points find the true one, all within half a pixel."""

@@ -475,6 +475,29 @@ def test_refined_pairs_are_valid(spark):
     assert {(r.i, r.j): r.status for r in out.collect()} == {(0, 1): "success", (1, 2): "success", (0, 2): "unsupported_input"}
 
 
+def test_engines_compared_on_pairs(spark):
+    frames = synthetic.tiles(spark, 1, 4, size=160, step=110, blank=(3,))
+    chosen = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (2, 3), (0, 0), (1, 77)], "i bigint, j bigint")
+    out = mosaic.compare(chosen, frames, ["phase", "corner"], retry="r1").cache()
+    rows = {(r.i, r.j, r.engine): r for r in out.collect()}
+    assert out.count() == len(rows) == 10 and {r.retry_id for r in rows.values()} == {"r1-phase", "r1-corner"}
+    assert rows[0, 1, "phase"].accepted and rows[0, 1, "corner"].accepted and rows[0, 1, "phase"].reason is None
+    assert rows[0, 0, "phase"].reason == "choose two distinct tiles" and rows[1, 77, "corner"].reason == "unknown tile"
+    assert not rows[2, 3, "phase"].accepted and rows[2, 3, "phase"].reason
+    found = {(r.i, r.j): r for r in fit.compared(out).collect()}
+    assert len(found) == 5 and found[0, 1].agree and found[0, 1].accepted == found[0, 1].engines == 2
+    assert found[2, 3].agree is None and found[2, 3].dx is None and found[0, 0].accepted == 0
+    apart = spark.createDataFrame([(0, 1, "a", True, 0.9, 10.0, 0.0), (0, 1, "b", True, 0.8, 90.0, 0.0), (0, 1, "c", True, 0.9, 11.0, 0.0)], "i bigint, j bigint, engine string, accepted boolean, ncc double, dx double, dy double")
+    assert [(r.best, r.dx, r.agree) for r in fit.compared(apart).collect()] == [("a", 10.0, False)]
+    first, second = (mosaic.compare(chosen.limit(1), frames, ["phase"]).first().retry_id for _ in range(2))
+    assert first != second
+    with pytest.raises(ValueError):
+        mosaic.compare(chosen, frames, ["phase"], {"phase": {"peaks": 0}})
+    for bad in ([], ["phase"] * 2, ["nothing"], ["phase", 3], "phase", [f"e{n}" for n in range(9)]):
+        with pytest.raises(ValueError):
+            mosaic.compare(chosen, frames, bad)
+
+
 def test_drawn_matches(spark):
     rows = [(p, n, None if p == 3 else 0.5 if p == 2 else n / 10) for p in (1, 2, 3) for n in range(11)] + [(None, 1, 0.2)]
     frame = spark.createDataFrame(rows, "pair_id int, k int, score double")
