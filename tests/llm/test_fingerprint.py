@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,7 +48,7 @@ def expected(rows):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(t)
         edited = t[: n - n // 3] + following[: n // 3]
-        out.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), f.as_hex(f.Hashed(t).sketch), f.as_hex(f.Hashed(edited).sketch), f.likeness(f.Hashed(t).sketch, f.Hashed(following).sketch)))
+        out.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), f.as_hex(f.Hashed(t).sketch), f.as_hex(f.Hashed(edited).sketch), f.likeness(f.Hashed(t).sketch, f.Hashed(edited).sketch), f.likeness(f.Hashed(t).sketch, f.Hashed(following).sketch), len(os.path.commonprefix([t, edited]))))
     return sorted(out, key=str)
 
 
@@ -59,7 +60,7 @@ def test_neighbours_in_any_partitioning(spark):
         for n in ("1", "4", "64"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             out = f.neighbours(frame).collect()
-            assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in out), key=str) == expected(rows)
+            assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.common_prefix) for r in out), key=str) == expected(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -67,7 +68,7 @@ def test_neighbours_in_any_partitioning(spark):
 def test_awkward_rows(spark, awkward, empty):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     out = f.neighbours(awkward).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in out), key=str) == expected(rows)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.common_prefix) for r in out), key=str) == expected(rows)
     assert f.neighbours(empty).count() == 0
     one = f.neighbours(awkward.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
