@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ TILE, BLOCK = 8192, 64
 FOREST_ROOM = 1_000_000
 #: The pipeline's stage: words a shingle, similarity, and the limits of distance (first fingerprint, both) of pairs that are tested.
 WORDS, SIMILARITY, WIDE = 5, 0.8, (16, 28)
-#: Texts sampled and shingles held to know common ones; signatures a bucket; pairs of rows looked at at once.
-SAMPLE, COMMON, BUCKET, PAIRS = 8192, 200_000, 500_000, 1_000_000
+#: Texts sampled and shingles held to know common ones; signatures a bucket; rows of a list that meet in one cell.
+SAMPLE, COMMON, BUCKET, LIST = 8192, 200_000, 500_000, 1024
 #: Hash buckets by which rows are told that some ids can't concern.
 MARKS = 1 << 18
 
@@ -267,28 +268,78 @@ def _unplanes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _sharing(sig: np.ndarray, id: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids of different groups that share a signature and, by sizes and places (of a first shared one), may be similar."""
-    order = np.lexsort((group, sig))
+def _lists(sig: np.ndarray, id: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> list[bytes]:
+    """The (id, group) of rows that share a signature, by id, a list for each run of near sizes; rows that by sizes and places are similar to none of their list are left out.
+
+    If a signature is the first that two sets share, neither's size exceeds the
+    other's ``reach``. A row goes if the least size of the others is beyond its
+    reach, or its size beyond all of theirs; so the work follows the rows, not their pairs.
+    """
+    share = similarity / (1 + similarity)
+    order = np.lexsort((n, sig))
     sig, id, group, n, at = sig[order], id[order], group[order], n[order].astype(np.int64), at[order].astype(np.int64)
-    new = np.r_[True, sig[1:] != sig[:-1]]
-    starts = np.flatnonzero(new)
-    ends = np.repeat(np.r_[starts[1:], len(sig)], np.diff(np.r_[starts, len(sig)]))
-    runs = np.flatnonzero(new | np.r_[True, group[1:] != group[:-1]])
-    after = np.repeat(np.r_[runs[1:], len(sig)], np.diff(np.r_[runs, len(sig)]))
-    # Each row meets the rows of its signature after those of its own group.
-    rows = np.flatnonzero(ends > after)
-    sizes = (ends - after)[rows]
-    for a, b in common.slices(sizes.tolist(), PAIRS):
-        i = np.repeat(rows[a:b], sizes[a:b])
-        j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
-        may = np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
-        x, y = id[i[may]], id[j[may]]
-        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-
-
-def shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all pairs of different groups that may be similar, from rows (id, component, n, prefix)."""
+    reach = ((1 - share) * n - at + 1e-6) / share
+    while len(sig):
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (n[:-1] < similarity * n[1:] - 1e-6)]
+        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+        several = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+        least = np.where(new, np.r_[n[1:], 0], n[starts][run])  # of the others, if there are any
+        top = np.maximum.reduceat(reach, starts)[run]
+        second = np.maximum.reduceat(np.where(reach == top, -np.inf, reach), starts)[run]
+        most = np.where((reach == top) & (np.add.reduceat((reach == top).astype(np.int64), starts)[run] == 1), second, top)
+        keep = several[run] & (least <= reach) & (n <= most)
+        if keep.all():
+            order = np.lexsort((id, run))
+            run, members = run[order], np.stack([id, group], 1)[order]
+            once = np.r_[True, (run[1:] != run[:-1]) | (members[1:] != members[:-1]).any(1)]
+            data, ends = members[once].tobytes(), 16 * np.cumsum(np.bincount(run[once]))
+            return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        sig, id, group, n, reach = sig[keep], id[keep], group[keep], n[keep], reach[keep]
+    return []
+
+
+def _spread(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, side, row) for a list: its rows in parts of about LIST, of which each meets itself (side 2) and each other one (sides 0 and 1)."""
+    rows = len(data) // 16
+    parts = -(-rows // LIST)
+    own, there = np.repeat(np.arange(rows) % parts, parts), np.tile(np.arange(parts), rows)
+    pair = np.minimum(own, there) * parts + np.maximum(own, there)
+    # Lists whose cells have one name only add pairs to test.
+    cell = common.mix(pair.astype(np.uint64) + np.uint64(xxhash.xxh64_intdigest(data))).view(np.int64)
+    return cell, np.where(own == there, 2, own > there).astype(np.int32), np.repeat(np.arange(rows), parts)
+
+
+def _near(side: np.ndarray, id: np.ndarray, group: np.ndarray, n: np.ndarray, maps: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of ids of a cell's different groups that may be similar by sizes and parity maps."""
+    share, widths = (1 - similarity) / (1 + similarity), np.fromiter(map(len, maps), np.int64, len(maps))
+    rows = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    stacked = {w: np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+    for w, x in rows.items():
+        for y, other in ((x, stacked[w]), *([(rows[2 * w], stacked[2 * w][:, : w // 8] ^ stacked[2 * w][:, w // 8 :])] if 2 * w in rows else [])):
+            step = max(1, (1 << 18) // len(y))
+            for a in range(0, len(x), step):
+                i, j = x[a : a + step, None], y[None]
+                may = ((side[i] != side[j]) | (side[i] == 2)) & (group[i] != group[j]) & (id[i] != id[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                if x is y:
+                    may &= i < j
+                k, m = np.nonzero(may)
+                if not len(k):
+                    continue
+                apart = np.zeros(len(k), np.int64)
+                for c in range(0, len(k), chunk := max(1, (1 << 18) // (w // 8))):
+                    apart[c : c + chunk] = np.bitwise_count(stacked[w][a + k[c : c + chunk]] ^ other[m[c : c + chunk]]).sum(1, dtype=np.int64)
+                i, j = x[a + k], y[m]
+                near = apart <= share * (n[i] + n[j]) + 1e-6
+                i, j = id[i[near]], id[j[near]]
+                yield np.minimum(i, j), np.maximum(i, j)
+
+
+def shared_prefixes(sets: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different groups that share a shingle of their prefixes and may be similar by sizes and parity maps, from rows (id, component, n, prefix) and (id, n, map).
+
+    What share a shingle stay lists until their maps are beside them; a list
+    that many shingles have is looked at once. Only pairs that the maps let through become rows.
+    """
     spark = sets.sparkSession
     total = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(common.shuffle_partitions(spark), -(-total // (8 * BUCKET)))
@@ -316,11 +367,40 @@ def shared_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(bucket, []).append([_unplanes(x, kind) for x, kind in zip(parts, (np.uint32, np.int64, np.int64, np.uint32, np.uint32))])
         for bucket in list(held):
-            for a, b in _sharing(*(np.concatenate(x) for x in zip(*held.pop(bucket))), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = list(dict.fromkeys(_lists(*(np.concatenate(x) for x in zip(*held.pop(bucket))), similarity)))
+            for a, b in common.slices([len(x) for x in found], 1 << 22):
+                yield pa.RecordBatch.from_arrays([pa.array(found[a:b], pa.binary())], names=["list"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                cell, side, row = _spread(data)
+                members = np.frombuffer(data, np.int64).reshape(-1, 2)
+                for a in range(0, len(cell), 1 << 16):
+                    part = members[row[a : a + (1 << 16)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y)) for y in (cell[a : a + (1 << 16)], side[a : a + (1 << 16)], part[:, 0], part[:, 1])], names=["cell", "side", "id", "grp"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in chain(batches, (None,)):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None:
+                continue
+            cell, side, id, group, n = (table.column(c).to_numpy() for c in ("cell", "side", "id", "grp", "n"))
+            edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            whole = edges if batch is None else edges[:-1]  # the last cell may go on in the next batch
+            body, out = table.column("map").to_pylist(), []
+            for a, b in zip(whole[:-1].tolist(), whole[1:].tolist()):
+                out += _near(side[a:b], id[a:b], group[a:b], n[a:b].astype(np.int64), body[a:b], similarity)
+            rest = None if batch is None else table.slice(int(whole[-1]))
+            if out:
+                x, y = (np.concatenate(z) for z in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     dealt = sets.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket int, sig binary, id binary, grp binary, n binary, place binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint").where("a != b").distinct()
+    lists = dealt.repartition(buckets, "bucket").mapInArrow(meet, "list binary").distinct()
+    cells = lists.mapInArrow(spread, "cell bigint, side int, id bigint, grp bigint").join(maps, "id").select("cell", "side", "id", "grp", "n", "map")
+    return cells.repartition(common.shuffle_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def parity_map(shingles: np.ndarray) -> bytes:
@@ -437,7 +517,7 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int
     # Of texts of equal sets only the least id's is compared. Prefixes are shuffled once, after all that is known without them.
     compared = hashed.select("id", "whole").distinct().join(same.select("id", "whole"), ["id", "whole"], "left_anti").join(first, "id")
     sets = hashed.select("id", "whole", "n", "prefix").join(compared, ["id", "whole"])
-    pairs = common.cut(_possible(maps, shared_prefixes(sets, similarity), similarity), files)
+    pairs = common.cut(shared_prefixes(sets, maps, similarity), files)
     joined = _tested(rows, pairs, k, similarity)
     ends = joined.join(first.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
     last = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("component").alias("least"))

@@ -168,3 +168,59 @@ def test_awkward_rows(spark, awkward, empty):
     kept = s.one_of_each(awkward)
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} >= {0, 3, 5, None}
     assert s.one_of_each(empty).count() == 0
+
+
+def made_rows(spark, since):
+    """The most rows that one mapInArrow of the executions after ``since`` put out, but for the sample's shingles (h)."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for e in range(runs.size()):
+        if (k := runs.apply(e).executionId()) >= since:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if node.name() == "MapInArrow" and "[h#" not in node.desc() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_rows_of_a_false_family(spark):
+    """A family of texts below the similarity that share many shingles: the rows that are made follow its texts, not their pairs."""
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(1 << 40, size=604)]
+    rows = [(i, " ".join(edited(base, 10, rng))) for i in range(120)]
+    rows += [(500, rows[7][1] + " end")]
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert_groups(spark, rows)
+    assert 0 < made_rows(spark, since) <= 60 * len(rows)
+
+
+def test_lists_and_cells_against_all_pairs(monkeypatch):
+    """Whatever shares a signature and may be similar by sizes, places and maps is found in lists, in parts of any size."""
+    rng = np.random.default_rng(22)
+    for part in (3, 1024):
+        monkeypatch.setattr(s, "LIST", part)
+        sets = []
+        for _ in range(12):
+            base = rng.integers(0, 1 << 62, int(rng.integers(1, 90))).astype(np.uint64)
+            for _ in range(6):
+                keep = base[rng.random(len(base)) > 0.06]
+                sets.append(np.unique(np.r_[keep, base[:1], rng.integers(0, 1 << 62, int(rng.integers(3))).astype(np.uint64)]))
+        group = np.array([k if k % 5 else k // 2 for k in range(len(sets))])
+        n, maps = np.array([len(x) for x in sets]), [s.parity_map(x) for x in sets]
+        prefixes = [s._prefix(x, np.zeros((2, 0), np.uint64), 0.8) for x in sets]
+        flat = [(h, k, p) for k, x in enumerate(prefixes) for p, h in enumerate(x.tolist())]
+        sig, id, at = (np.array(c, np.uint64 if i == 0 else np.int64) for i, c in enumerate(zip(*flat)))
+        found = set()
+        for data in set(s._lists(sig, id, group[id], n[id], at, 0.8)):
+            members = np.frombuffer(data, np.int64).reshape(-1, 2)
+            cell, side, row = s._spread(data)
+            for c in np.unique(cell):
+                ids = members[row[cell == c], 0]
+                for a, b in s._near(side[cell == c], ids, members[row[cell == c], 1], n[ids], [maps[i] for i in ids], 0.8):
+                    found |= set(zip(a.tolist(), b.tolist()))
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if group[a] != group[b]]
+        shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+        similar = {(a, b) for a, b in pairs if shared[a, b] >= 0.8 * (n[a] + n[b] - shared[a, b])}
+        assert len(similar) > 30 and similar <= found
+        assert all(s.least_difference(maps[a], maps[b]) <= (n[a] + n[b]) / 9 + 1e-6 and group[a] != group[b] for a, b in found)
