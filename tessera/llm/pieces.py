@@ -220,15 +220,22 @@ def vocabulary(path: str = MODEL_PATH) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    """For each code its number among those that occur, from 1 on in their order; -1 for the others."""
+    number = np.full(int(codes.max()) + 1, -1, np.int64)
+    number[codes] = 0
+    there = np.flatnonzero(number == 0)
+    number[there] = np.arange(1, len(there) + 1)
+    return number
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` codes at least; a code beyond the end counts as less than any other.
 
     As many codes as fit are packed into the first key; then prefix doubling.
     """
     n = len(codes)
-    letters = np.zeros(int(codes.max()) + 1, bool)
-    letters[codes] = True
-    code = np.cumsum(letters)[codes]  # 1 and up, in the order of the codes
+    code = _numbers(codes)[codes]
     bits = int(code.max()).bit_length()
     width = max(1, min(62 // bits, depth))
     padded = np.zeros(n + width, np.int64)
@@ -248,27 +255,46 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 
 
 def find(pieces: np.ndarray, lengths: np.ndarray, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece the range [low, high) of the suffix array whose suffixes begin with it: one binary search for all pieces at once."""
+    """For each piece the range [low, high) of the suffix array whose suffixes begin with it: one binary search for all pieces at once.
+
+    The first codes of the suffixes, as many as fit into a key, are searched for
+    as one number; longer pieces that occur so far go on with their next codes within the range found.
+    """
     n, width = len(order), pieces.shape[1]
-    padded = np.r_[codes.astype(np.int64), np.full(width, -1)]
-    bounds = []
-    for upper in (False, True):
-        low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), n, np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            at = order[np.minimum(mid, n - 1)]
-            less, equal = np.zeros(len(pieces), bool), np.ones(len(pieces), bool)
-            for k in range(width):
-                inside = equal & (k < lengths)
-                if not inside.any():
-                    break
-                c, p = padded[at + k], pieces[:, k].astype(np.int64)
-                less |= inside & (c < p)
-                equal &= ~inside | (c == p)
-            go = open_ & (less | (equal & upper))
-            low, high = np.where(go, mid + 1, low), np.where(open_ & ~go, mid, high)
-        bounds.append(low)
-    return bounds[0], bounds[1]
+    number = _numbers(codes)
+    bits = int(number.max()).bit_length()
+    packed = max(1, min(62 // bits, width))
+    text = np.zeros(n + width + packed, np.int64)
+    text[:n] = number[codes]
+    inside = np.arange(width) < lengths[:, None]
+    spelt = np.where(inside, np.where(pieces < len(number), number[np.minimum(pieces, len(number) - 1)], -1), 0)
+    some = np.flatnonzero((spelt >= 0).all(1))
+    low, high = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    done = 0
+    while len(some):
+        keys, parts = np.zeros(n, np.int64), np.zeros(len(some), np.int64)
+        for k in range(done, done + packed):
+            keys = keys << bits | text[k : k + n]
+            parts = parts << bits | (spelt[some, k] if k < width else 0)
+        keys = keys[order]
+        free = np.int64(1) << (bits * np.maximum(done + packed - lengths[some], 0))  # how many keys begin with the part
+        if not done:
+            low[some], high[some] = np.searchsorted(keys, parts), np.searchsorted(keys, parts + free)
+        else:
+            low[some], high[some] = _within(keys, parts, low[some], high[some]), _within(keys, parts + free, low[some], high[some])
+        done += packed
+        some = some[(low[some] < high[some]) & (lengths[some] > done)]
+    return low, high
+
+
+def _within(keys: np.ndarray, parts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The first place in [low, high), where the keys are in order, whose key is not less than the part; else high."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        less = open_ & (keys[np.minimum(mid, len(keys) - 1)] < parts)
+        low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    return low
 
 
 def edges(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

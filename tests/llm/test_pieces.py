@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,34 @@ def test_every_occurrence_is_found():
     assert found == expected and all(vocab.string(i) == text[s:e] for s, e, i in zip(start.tolist(), end.tolist(), piece.tolist()))
 
 
+def test_search_of_all_pieces():
+    """Ranges against plain counts, with so many characters that a key holds few; and the search takes no more than twice the time of the suffix array."""
+    vocab, rng = p.vocabulary(), random.Random(3)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+    words = [f"▁{rng.choice(vocab.usable)}{rng.choice(wide)}" for _ in range(3000)] + ["international" * 3, "\U0010ffff"]
+    for some in (words, ["a"]):
+        codes = np.array([ord(c) for w in some for c in [*w, "\x00"]])
+        order = p.suffix_array(codes, vocab.longest)
+        low, high = p.find(vocab.codes, vocab.lengths, codes, order)
+        text = "".join(map(chr, codes))
+        plain = {}
+        for i in range(len(text)):
+            for n in range(1, min(vocab.longest, len(text) - i) + 1):
+                plain.setdefault(text[i : i + n], []).append(i)
+        assert all(sorted(order[a:b].tolist()) == plain.get(s, []) for s, a, b in zip(vocab.usable, low.tolist(), high.tolist()))
+    codes = np.array([ord(c) for _ in range(40_000) for c in [*(rng.choice("etaoinshrdlu") for _ in range(6)), "\x00"]])
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    order = p.suffix_array(codes, vocab.longest)
+    build = min(seconds(lambda: p.suffix_array(codes, vocab.longest)) for _ in range(5))
+    search = min(seconds(lambda: p.find(vocab.codes, vocab.lengths, codes, order)) for _ in range(5))
+    assert search < 2 * build, (search, build)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("ab ▁éthein\n", max_size=60), max_size=4))
 def test_same_ids_as_the_library(texts):
