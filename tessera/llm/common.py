@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that go to a Python worker at once. Texts may be long, and each batch is held a few times over, in Arrow and as Python strings.
 BATCH_ROWS = 1000
+#: Bytes of such a batch in the pipeline, whose stages share their executors' memory.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session's batches for Python end at about BATCH_BYTES too, so that what Spark and a worker hold of one doesn't follow the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(key).rstrip("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -42,7 +42,7 @@ BETWEEN = 0x110000
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of a batch of texts and of a batch of new words, and words remembered by a task: what one worker holds.
-CHUNK, WORD_CHARS, REMEMBERED = 1 << 20, 1 << 18, 150_000
+CHUNK, WORD_CHARS, REMEMBERED = 1 << 20, 1 << 17, 150_000
 #: Words beyond this length are relaxed by themselves, in parts of PART characters.
 LONG, PART = 1024, 1 << 16
 

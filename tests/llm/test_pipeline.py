@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as c
-from tessera.llm import simhash, surrogates, toxicity
+from tessera.llm import common, simhash, surrogates, toxicity
 from tests.llm.test_simhash import jaccard, union
 
 D = "/root/testdata/sf0.01"
@@ -95,3 +96,29 @@ def test_near_duplicates_against_all_pairs(spark):
     kept = [r.doc_id for r in c.drop_near_duplicates(spark, docs, D).collect()]
     assert sorted(kept) == sorted(set(truth.values()))
     assert max(np.bincount(code)) >= 60
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """Each stage that runs Python leaves the session with batches of about a megabyte, however long the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    # What these two compute before they return doesn't matter here.
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", lambda df, _: df.selectExpr("*", "0.0 AS score"))
+    monkeypatch.setattr(simhash, "one_of_each", lambda df: df)
+    long = spark.range(0, 600, 1, 1).selectExpr("repeat('x', 20000) AS t")
+    for name, stage in c.STAGES:
+        if name != "mixing":
+            spark.conf.unset(key)
+            stage(spark, docs, "/root/testdata/sf0.001")
+            found = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+            assert sum(found) > 12e6 and max(found) <= 1.1 * common.BATCH_BYTES, name
+    spark.conf.set(key, "1000")
+    common.bound_batches(spark)
+    assert spark.conf.get(key) == "1000"  # a smaller bound stays
+    spark.conf.unset(key)
