@@ -137,9 +137,18 @@ def check_manifest(tiles: DataFrame) -> DataFrame:
 
 
 def match_uploads(tiles: DataFrame, uploads: DataFrame, path: str = "path", name: str = "name") -> DataFrame:
-    """Add the upload of each tile by the base name of its path; ``missing`` where there is none."""
-    base = F.regexp_extract(path, r"([^/\\]+)$", 1)
-    return tiles.join(uploads.select(F.col(name).alias("upload")), base == F.col("upload"), "left").withColumn("missing", F.col("upload").isNull())
+    """Add the upload of each tile; ``missing`` where there is none. Every tile stays one row.
+
+    An upload's name must end the path at a folder's border: a plain name is the path's base name, and one with folders says in which of
+    several folders with files of that name it belongs. The longest name that fits is taken.
+    """
+    parts = lambda c: F.split(F.col(c).cast("string"), r"[/\\]")
+    named = uploads.select(F.array_join(parts(name), "/").alias("__end"), F.col(name).alias("upload")).groupBy("__end").agg(F.min("upload").alias("upload"))
+    # A path's ends, one for each of its folders and one without any, make this an equi-join.
+    ends = tiles.select(F.col(path).alias("__path"), parts(path).alias("p")).distinct().select("__path", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"))
+    ends = ends.select("__path", "n", F.array_join(F.slice("p", -F.col("n"), F.col("n")), "/").alias("__end")).where("__end <> ''")
+    found = ends.join(named, "__end").groupBy("__path").agg(F.max_by("upload", "n").alias("upload"))
+    return tiles.join(found, tiles[path] == found["__path"], "left").drop("__path").withColumn("missing", F.col("upload").isNull())
 
 
 def watch_images(spark: SparkSession, directory: str) -> DataFrame:
