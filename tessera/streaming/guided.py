@@ -27,8 +27,8 @@ DECISIONS = "session string, seq bigint, status string, reason string, x double,
 COMMITS = "version bigint, run string, batch bigint, artifact string"
 FITS = "session string, seq bigint, reference bigint, inliers bigint, matches bigint, dx double, dy double"
 PLACED = ("seeded", "added")
-#: Parts over which the placed originals of one session are dealt.
-SALTS = 16
+#: Parts over which the placed originals of one session are dealt at most, and originals that one part has before there is another.
+SALTS, PART = 16, 64
 #: Pixels that must be shared and added, the share of the map that must be added, the limits of a map, and how far places may disagree.
 MIN_SHARED, MIN_ADDED, MIN_SHARE, MAX_SIDE, MAX_PIXELS, DISAGREE = 100, 100, 0.001, 16_000, 40_000_000, 12.0
 
@@ -55,11 +55,14 @@ def extract(frames: DataFrame, limit: int = 256) -> DataFrame:
 def matched(new: DataFrame, known: DataFrame, salts: int = SALTS) -> DataFrame:
     """Reliable displacements (``FITS``) of frames against originals of the same session: (dx, dy) is the frame's place in the original's coordinates.
 
-    The originals of a session are dealt over ``salts`` parts and the frames sent to each, so one session with most of all originals isn't one task.
+    The originals of a session are dealt over up to ``salts`` parts, as their number asks for, and the frames sent to each, so one session
+    with most of all originals isn't one task, and a session of few isn't sent about many times.
     """
-    side = lambda df, s: df.select("session", F.col("seq").alias(f"seq_{s}"), F.struct("width", "height", "points", "descriptors").alias(s))
-    a = side(new, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = side(known, "b").withColumn("salt", F.pmod(F.xxhash64("seq_b"), F.lit(salts)).cast("int"))
+    parts = known.groupBy("session").agg(F.least(F.ceil(F.count("*") / PART), F.lit(salts)).cast("int").alias("parts"))
+    # Spark doesn't know how long descriptors are, so the joins are named: they are never broadcast.
+    side = lambda df, s: df.select("session", F.col("seq").alias(f"seq_{s}"), F.struct("width", "height", "points", "descriptors").alias(s)).hint("merge").join(parts, "session")
+    a = side(new, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    b = side(known, "b").withColumn("salt", F.pmod(F.xxhash64("seq_b"), F.col("parts")).cast("int")).drop("parts")
 
     def run(batches):
         for pdf in batches:
@@ -73,7 +76,7 @@ def matched(new: DataFrame, known: DataFrame, salts: int = SALTS) -> DataFrame:
                     rows.append((r["session"], r["seq_a"], r["seq_b"], found["inliers"], found["n"], found["tx"], found["ty"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FITS.split(", ")])
 
-    return a.join(b, ["session", "salt"]).where("seq_a <> seq_b").drop("salt").mapInPandas(run, FITS)
+    return a.hint("merge").join(b, ["session", "salt"]).where("seq_a <> seq_b").drop("salt").mapInPandas(run, FITS)
 
 
 def unpack(r: dict) -> tuple[np.ndarray, np.ndarray]:
